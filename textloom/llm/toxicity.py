@@ -176,3 +176,20 @@ def locate_toxic_sentences(docs: DataFrame, model: dict, id_col: str = "doc_id",
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(_locator(model, threshold), f"id {kind}, start bigint, end bigint, score double").withColumnRenamed("id", id_col)
+
+
+def _dropper(model: dict, place: int, threshold: float):
+    score = _scorer(model)
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([batch.column(place), batch.column(place)], names=["id", "text"])
+            for scored in score(iter([pair])):
+                yield batch.filter(pa.array(scored.column(1).to_numpy() < threshold))
+
+    return drop
+
+
+def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold; in one pass, without a join."""
+    return docs.mapInArrow(_dropper(model, docs.columns.index(text_col), threshold), docs.schema)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of one slice of an Arrow batch; bounds the arrays that a Python worker holds.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 800_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 from .components import connected_components
 
+#: Parts of the bound's vector: more parts, tighter bound.
+PARTS = 96
+
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have den * intersection >= num * union."""
@@ -23,8 +26,9 @@ def link_members(members: DataFrame, sizes: DataFrame, sets: DataFrame, num: int
     least are its hubs. sizes (sid, n), sets (sid, items): size and distinct items of every set.
 
     Each member is first compared with its buckets' hubs. Buckets that then still span several components give their
-    cross-component pairs, but only those that a bound admits: of a set of n items of which u occur in no other set of
-    these buckets at most n - u are shared. The bound is exact, so no link within a bucket is lost.
+    cross-component pairs, but only those that a bound admits. Items that occur in no other set of these buckets are
+    shared with none; the others are dealt to PARTS parts by their hash, and two sets share at most the smaller count
+    of each part. The bound is never below the true intersection, so no link within a bucket is lost.
     """
     hubs = members.where("prio = hub_prio").select("band", F.col("sid").alias("b"))
     star = materialize(members.join(hubs, "band").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct(), "star")
@@ -33,14 +37,19 @@ def link_members(members: DataFrame, sizes: DataFrame, sets: DataFrame, num: int
     placed = members.select("band", "sid").join(first.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
     open_ = materialize(placed.join(mixed, "band"), "open")
-    lone = sets.join(open_.select("sid").distinct(), "sid", "left_semi").select("sid", F.explode("items").alias("item"))
-    lone = lone.groupBy("item").agg(F.count("*").alias("df"), F.min("sid").alias("sid")).where("df = 1").groupBy("sid").agg(F.count("*").alias("u"))
-    known = open_.join(sizes, "sid").join(lone, "sid", "left").select("band", "sid", "label", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most"))
-    known = known.where(F.col("most") * den >= F.col("n") * num)
-    other = known.select("band", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "n", "most")))
-    common = F.least("most", "most2")
-    cross = known.join(other, "band").where((F.col("sid") < F.col("sid2")) & (F.col("label") != F.col("label2")) & (common * den >= (F.col("n") + F.col("n2") - common) * num))
+    own = sets.join(open_.select("sid").distinct(), "sid", "left_semi").select("sid", F.explode("items").alias("item"))
+    part = F.pmod(F.col("item"), F.lit(PARTS)).cast("int").alias("part")
+    lone = own.groupBy("item").agg(F.count("*").alias("df"), F.min("sid").alias("sid")).where("df = 1").groupBy("sid", part).agg(F.count("*").alias("u"))
+    counts = own.groupBy("sid", part).agg(F.count("*").alias("c")).join(lone, ["sid", "part"], "left").withColumn("c", (F.col("c") - F.coalesce("u", F.lit(0))).cast("int"))
+    counts = counts.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("part", "c"))).alias("m"), F.sum("c").alias("most"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda j: F.coalesce(F.element_at("m", j), F.lit(0)))
+    known = open_.join(sizes, "sid").join(counts.select("sid", "most", vector.alias("v")), "sid").select("band", "sid", "label", "n", "most", "v")
+    known = materialize(known.where(F.col("most") * den >= F.col("n") * num), "known")
+    other = known.select("band", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "n", "most", "v")))
+    enough = lambda common: common * den >= (F.col("n") + F.col("n2") - common) * num
+    shared = F.aggregate(F.zip_with("v", "v2", F.least), F.lit(0), lambda a, x: a + x)
+    cross = known.join(other, "band").where((F.col("sid") < F.col("sid2")) & (F.col("label") != F.col("label2")) & enough(F.least("most", "most2")) & enough(shared))
     late = _verified(cross.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct(), sets, num, den)
     labels = materialize(connected_components(links.unionByName(late)), "labels")
-    discard(star, links, open_)
+    discard(star, links, open_, known)
     return labels

@@ -4,9 +4,9 @@
    similarity sketch. Texts with equal sets are one class; only classes are compared.
 2. Every member of a band bucket is compared with the bucket's hub (its most copied class), which is linear in the
    bucket. A pair inside one component needs no further look.
-3. Buckets that still span several components give their cross-component pairs, bounded first: of a set with n
-   shingles of which u occur in no other set of these buckets, at most n - u can be shared. That bound is exact, so
-   no link is lost, and it stops all pairs of a large group of loose copies from being emitted.
+3. Buckets that still span several components give their cross-component pairs, bounded first by counts of the
+   shingles that any other set of these buckets has, dealt to parts by hash. The bound is never below the true
+   intersection, so no link is lost, and it stops all pairs of a large group of loose copies from being emitted.
 4. Pairs are verified on full sets; large-star/small-star joins the links.
 
 Nothing is capped. With 32 bands of 4 bins a pair at similarity 0.85 is missed with probability 6e-11, at 0.8 with

@@ -47,7 +47,7 @@ def link_members(members: DataFrame, sizes: DataFrame, sets: DataFrame, num: int
     known = materialize(known.where(F.col("most") * den >= F.col("n") * num), "known")
     other = known.select("band", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "n", "most", "v")))
     enough = lambda common: common * den >= (F.col("n") + F.col("n2") - common) * num
-    shared = F.aggregate(F.zip_with("v", "v2", F.least), F.lit(0), lambda a, x: a + x)
+    shared = F.aggregate(F.zip_with("v", "v2", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
     cross = known.join(other, "band").where((F.col("sid") < F.col("sid2")) & (F.col("label") != F.col("label2")) & enough(F.least("most", "most2")) & enough(shared))
     late = _verified(cross.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct(), sets, num, den)
     labels = materialize(connected_components(links.unionByName(late)), "labels")

@@ -159,7 +159,10 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc
     keyed = found.withColumn("key", F.when(F.size("stretches") > 0, F.sha2(F.concat_ws("\n", "stretches"), 256)))
     used = keyed.where("key is not null").select("key", "stretches").dropDuplicates(["key"]).select("key", F.explode("stretches").alias("stretch")).withColumn("sid", F.sha2("stretch", 256)).join(per, "sid")
     docs_hit = used.groupBy("key").agg(F.sum("hit").alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    out = keyed.select("id", "n_words", "key").join(docs_hit, "key", "left")
+    # Most documents have no stretch: they stay out of the join, where their null key would be one hot key.
+    some = keyed.where("key is not null").select("id", "n_words", "key").join(docs_hit, "key", "left").drop("key")
+    none = keyed.where("key is null").select("id", "n_words", F.lit(None).cast("long").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
+    out = some.unionByName(none)
     n_hit, named_ = F.coalesce("hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), named_.alias("items"), F.size(named_).cast("long").alias("n_items"), (n_hit > 0).alias("contaminated"))
 

@@ -167,7 +167,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     out = lone.select(*cols, ref(F.lit(False)).alias("refers_to"))
     if twice.limit(1).count():
         out = out.unionByName(many.withColumn("place", place).select(*cols, ref(F.col("place") > 1).alias("refers_to")))
-    sample = src.orderBy(F.xxhash64("page_id"), "page_id").limit(samples).collect()
+    # Ids first, pages then: a sort that carries pages would send every task's candidates to the driver.
+    some = src.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(samples)
+    sample = src.join(F.broadcast(some), "page_id").select("page_id", "url", "html").limit(2 * samples).collect()
     dictionary = build_dictionary([record(x["page_id"], x["url"], b := (x["html"] or "").encode(), base32_sha1(b), None) for x in sample])
     frames = out.repartition(max(1, -(-total // per_archive)), F.xxhash64("page_id")).mapInArrow(_packer(dictionary, level), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", _SEPARATOR).text(path)

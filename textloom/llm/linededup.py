@@ -2,13 +2,14 @@
 
 One pass cuts texts into lines and emits a 128-bit name and the band keys of each line's signature. Band keys that
 two different lines share are found by a map-side-combined aggregation; a bitmap of fixed size then picks the lines
-that have such keys, so that only those are joined. A second pass fetches the shingle sets of these lines, every
-candidate is verified on them, and union-find joins the links. One line per component stays: the first by document
+that have such keys, so that only those are joined. A second pass fetches these lines, every candidate is verified
+on its full shingle set, and union-find joins the links. One line per component stays: the first by document
 id, then by place. Lines equal after normalisation are one node from the start.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +19,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, discard, in_bitmap, materialize, mix, slices
-from .linking import link_members
+from .linking import link_members, set_bits
 from .sketch import band_keys, fast_similarity_sketch
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _normal(line: bytes) -> bytes:
-    return b" ".join(line.lower().split())
+_ODD = re.compile(rb"[\t\x0b\x0c\r]|  ")
+
+
+def _normal_lines(text: bytes) -> list[bytes]:
+    """Lines with A-Z lower-cased, white space collapsed and trimmed."""
+    lines = text.lower().split(b"\n")
+    return [b" ".join(x.split()) for x in lines] if _ODD.search(text) else [x.strip(b" ") for x in lines]
+
+
+def _polynomial(cps: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k consecutive values, by doubling: log2(k) steps."""
+    n = len(cps) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, have, block, width = None, 0, cps, 1  # block: hashes of `width` consecutive values
+    power = lambda m: np.uint64(pow(int(_BASE), m, 1 << 64))
+    while True:
+        if k & width:
+            part = block[have : have + n]
+            out = part.copy() if out is None else out * power(width) + part
+            have += width
+        if have == k:
+            return out
+        block = block[:-width] * power(width) + block[width:]
+        width *= 2
 
 
 def _shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,19 +58,19 @@ def _shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     cuts = np.flatnonzero(cps == 10)
     starts = np.concatenate(([0], cuts + 1)).astype(np.int64)
     lengths = np.concatenate((cuts, [len(cps)])) - starts
-    h = np.zeros(max(len(cps) - k + 1, 0), np.uint64)
-    for j in range(k):
-        h *= _BASE
-        h += cps[j : j + len(h)]
+    h = _polynomial(cps, k)
     counts = np.maximum(lengths - k + 1, 0)
     owner = np.repeat(np.arange(len(lines), dtype=np.int64), counts)
-    at = np.arange(len(owner), dtype=np.int64) + np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-    out = h[at]
+    inside = np.ones(len(h), bool)
+    for j in range(k):  # a shingle that holds a line feed is no line's
+        at = cuts - j
+        inside[at[(at >= 0) & (at < len(h))]] = False
+    out = h[inside]
     short = np.flatnonzero(counts == 0)
     if len(short):
         own = np.array([xxhash.xxh3_64_intdigest(lines[i], seed=k) for i in short], np.uint64)
         out, owner = np.concatenate((out, own)), np.concatenate((owner, short))
-    return mix(out), owner
+    return out, owner
 
 
 def _chosen(texts: list[bytes | None], min_chars: int):
@@ -55,8 +79,8 @@ def _chosen(texts: list[bytes | None], min_chars: int):
     for i, j in slices([len(t) for t in texts], 1_000_000):
         rows, nos, lines = [], [], []
         for r in range(i, j):
-            for no, line in enumerate(texts[r].split(b"\n")):
-                if len(line) >= min_chars and len((s := _normal(line)).decode()) >= min_chars:
+            for no, s in enumerate(_normal_lines(texts[r])):
+                if len(s) >= 4 * min_chars or len(s) >= min_chars and len(s.decode()) >= min_chars:
                     rows.append(r)
                     nos.append(no)
                     lines.append(s)
@@ -99,24 +123,46 @@ def _repeated(words: np.ndarray):
 
 
 def _setter(k: int, min_chars: int, words: np.ndarray):
-    """Texts -> (sid, items) of the lines whose name's bit is set, once per slice."""
+    """Texts -> (sid, line, n, bits) of the lines whose name's bit is set, once per slice."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, lines in _chosen(batch.column(0).cast(pa.binary()).to_pylist(), min_chars):
                 names = [_name(s) for s in lines]
                 hit = in_bitmap(words, np.frombuffer(b"".join(names), ">u8")[::2].astype(np.uint64))
-                some = {names[i]: lines[i] for i in np.flatnonzero(hit).tolist()}
-                if some:
-                    h, owner = _shingles(list(some.values()), k)
-                    order = np.argsort(owner, kind="stable")
-                    parts = np.split(h[order], np.cumsum(np.bincount(owner, minlength=len(some)))[:-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.binary()), pa.array([np.unique(p).view(np.int64) for p in parts], pa.list_(pa.int64()))], names=["sid", "items"])
+                if some := {names[i]: lines[i] for i in np.flatnonzero(hit).tolist()}:
+                    sets = _line_sets(list(some.values()), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.binary()), pa.array([s.decode() for s in some.values()]), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_bits(s) for s in sets], pa.list_(pa.int64()))], names=["sid", "line", "n", "bits"])
 
     return sets_of
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 7, num: int = 80, den: int = 100, bands: int = 12, rows: int = 4, min_chars: int = 20, log2_bits: int = 22) -> DataFrame:
+def _line_sets(lines: list[bytes], k: int) -> list[np.ndarray]:
+    h, owner = _shingles(lines, k)
+    order = np.argsort(owner, kind="stable")
+    return [np.unique(p) for p in np.split(mix(h[order]), np.cumsum(np.bincount(owner, minlength=len(lines)))[:-1])]
+
+
+def _checker(k: int, num: int, den: int):
+    """(a, b, line of a, line of b) -> the pairs whose exact Jaccard similarity is enough."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
+            keep = np.zeros(len(left), bool)
+            for i, j in slices([len(x) + len(y) for x, y in zip(left, right, strict=True)], 1_000_000):
+                lines = list({*left[i:j], *right[i:j]})
+                sets = dict(zip(lines, _line_sets(lines, k), strict=True))
+                for r in range(i, j):
+                    x, y = sets[left[r]], sets[right[r]]
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[r] = den * common >= num * (len(x) + len(y) - common)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return check
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, num: int = 80, den: int = 100, bands: int = 10, rows: int = 4, min_chars: int = 20, log2_bits: int = 22) -> DataFrame:
     """docs with text_col rewritten, and n_lines and n_dropped (long) added, a row for each row.
 
     Lines are parts between line feeds, compared after lower-casing A-Z and collapsing ASCII white space, by the
@@ -125,7 +171,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     feed. Lines of fewer than min_chars characters say too little and always stay. Rows equal in id and text are one
     document: each gets the same text. Null texts stay null, with 0 lines; a text whose lines all go is empty. Other
     columns pass through; columns named n_lines or n_dropped are replaced. A pair at similarity 0.8 is missed with
-    probability 2e-3, at 0.9 with 3e-6 (12 bands of 4 bins).
+    probability 5e-3, at 0.9 with 3e-5 (10 bands of 4 bins).
     """
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.drop("n_lines", "n_dropped")
@@ -136,20 +182,31 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     picked = lines.select("sid", "prio", "bands").mapInArrow(_repeated(bits), "band bigint, sid binary, prio bigint").distinct()
     members = materialize(picked.join(buckets, "band"), "members")
     wanted = bitmap(members.select("prio").distinct(), "prio", log2_bits)
-    sets = src.select("text").mapInArrow(_setter(k, min_chars, wanted), "sid binary, items array<bigint>").dropDuplicates(["sid"])
-    sets = materialize(sets.join(members.select("sid").distinct(), "sid", "left_semi"), "sets")
-    labels = link_members(members, sets.select("sid", F.size("items").cast("long").alias("n")), sets, num, den)
-    discard(buckets, members, sets)
-
+    sets = src.select("text").mapInArrow(_setter(k, min_chars, wanted), "sid binary, line string, n bigint, bits array<bigint>").dropDuplicates(["sid"])
+    sets = sets.join(members.select("sid").distinct(), "sid", "left_semi")
+    # Longs as nodes from here on: they aggregate by hash, names would by sorting.
+    sets = materialize(sets.select(F.col("sid").alias("name"), "line", "n", "bits", F.monotonically_increasing_id().alias("sid")), "sets")
+    ids = sets.select("name", "sid")
+    placed = materialize(members.withColumnRenamed("sid", "name").join(ids, "name").drop("name"), "placed")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = sets.select(F.col("sid").alias("a"), F.col("line").alias("x")), sets.select(F.col("sid").alias("b"), F.col("line").alias("y"))
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_checker(k, num, den), "a bigint, b bigint")
+
+    labels = link_members(placed, sets.select("sid", "n", "bits"), verified, num, den)
+    labels = labels.join(ids, labels["node"] == ids["sid"]).select(F.col("name").alias("sid"), "label")
+
+    # Only lines of a component or with equal ones matter from here on.
+    equal = lines.groupBy("sid").agg(F.count("*").alias("times")).where("times > 1").select("sid")
+    group = equal.join(labels, "sid", "full").select("sid", F.coalesce(F.hex("sid"), F.lit("")).alias("own"), "label")
+    group = group.select("sid", F.coalesce(F.col("label").cast("string"), "own").alias("label"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "no")
-    names = lines.groupBy("sid").agg(F.count("*").alias("times"), F.min(place).alias("first")).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-    names = names.where("times > 1 or label is not null").withColumn("label", F.coalesce("label", "sid"))
-    names = materialize(names, "names")
-    firsts = names.groupBy("label").agg(F.min("first").alias("stays"))
-    keep = names.select("sid", "label").join(firsts, "label").select("sid", "stays")
-    gone = lines.select("id", "th", "no", "sid").join(keep, "sid").where(~place.eqNullSafe(F.col("stays")))
-    gone = materialize(gone.distinct().groupBy("id", "th").agg(F.collect_list("no").alias("gone")), "gone")
-    discard(lines, names)
+    some = materialize(lines.select("id", "th", "no", "sid").join(group, "sid").select("id", "th", "no", "label"), "some")
+    discard(lines, buckets, members, placed, sets)
+    firsts = some.groupBy("label").agg(F.min(place).alias("stays"))
+    gone = some.join(firsts, "label").where(~place.eqNullSafe(F.col("stays"))).select("id", "th", "no").distinct()
+    gone = materialize(gone.groupBy("id", "th").agg(F.collect_list("no").alias("gone")), "gone")
+    discard(some)
 
     key = [F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_th")]
     marked = docs.select("*", *key)

@@ -2,54 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 from .components import connected_components
 
-#: Parts of the bound's vector: more parts, tighter bound.
-PARTS = 96
+#: Longs of a set's bits.
+BITS = 24
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have den * intersection >= num * union."""
-    a, b = sets.select(F.col("sid").alias("a"), F.col("items").alias("ia")), sets.select(F.col("sid").alias("b"), F.col("items").alias("ib"))
-    joined = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ia", "ib")).cast("long"))
-    return joined.where(F.col("common") * den >= (F.size("ia") + F.size("ib") - F.col("common")) * num).select("a", "b")
+def set_bits(items: np.ndarray) -> np.ndarray:
+    """64 * BITS bits of a set of uint64 hashes: bit i is on if an item falls on i."""
+    on = np.zeros(64 * BITS, bool)
+    on[((items >> np.uint64(32)) * np.uint64(64 * BITS) >> np.uint64(32)).astype(np.int64)] = True
+    return np.packbits(on).view(np.int64)
 
 
-def link_members(members: DataFrame, sizes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def link_members(members: DataFrame, facts: DataFrame, verified: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """(node, label) for each sid linked with another one; label is the smallest sid of its component.
 
-    members (band, sid, prio, hub_prio): the sids of every bucket of two or more; the ones whose prio is the bucket's
-    least are its hubs. sizes (sid, n), sets (sid, items): size and distinct items of every set.
+    sids are longs. members (band, sid, prio, hub_prio): the sids of every bucket of two or more; the ones whose prio is
+    the bucket's least are its hubs. facts (sid, n, bits): size and set_bits of every set. verified: of pairs (a, b) of sids, those
+    with den * intersection >= num * union.
 
     Each member is first compared with its buckets' hubs. Buckets that then still span several components give their
-    cross-component pairs, but only those that a bound admits. Items that occur in no other set of these buckets are
-    shared with none; the others are dealt to PARTS parts by their hash, and two sets share at most the smaller count
-    of each part. The bound is never below the true intersection, so no link within a bucket is lost.
+    cross-component pairs, but only those that a bound admits: an item whose bit is off in the other set is not shared,
+    so of n items at most n less the bits that only this set has are. The bound is never below the true intersection,
+    so no link within a bucket is lost.
     """
     hubs = members.where("prio = hub_prio").select("band", F.col("sid").alias("b"))
     star = materialize(members.join(hubs, "band").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct(), "star")
-    links = materialize(_verified(star, sets, num, den), "links")
+    links = materialize(verified(star), "links")
     first = connected_components(links)
     placed = members.select("band", "sid").join(first.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    open_ = materialize(placed.join(mixed, "band"), "open")
-    own = sets.join(open_.select("sid").distinct(), "sid", "left_semi").select("sid", F.explode("items").alias("item"))
-    part = F.pmod(F.col("item"), F.lit(PARTS)).cast("int").alias("part")
-    lone = own.groupBy("item").agg(F.count("*").alias("df"), F.min("sid").alias("sid")).where("df = 1").groupBy("sid", part).agg(F.count("*").alias("u"))
-    counts = own.groupBy("sid", part).agg(F.count("*").alias("c")).join(lone, ["sid", "part"], "left").withColumn("c", (F.col("c") - F.coalesce("u", F.lit(0))).cast("int"))
-    counts = counts.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("part", "c"))).alias("m"), F.sum("c").alias("most"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda j: F.coalesce(F.element_at("m", j), F.lit(0)))
-    known = open_.join(sizes, "sid").join(counts.select("sid", "most", vector.alias("v")), "sid").select("band", "sid", "label", "n", "most", "v")
-    known = materialize(known.where(F.col("most") * den >= F.col("n") * num), "known")
-    other = known.select("band", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "n", "most", "v")))
-    enough = lambda common: common * den >= (F.col("n") + F.col("n2") - common) * num
-    shared = F.aggregate(F.zip_with("v", "v2", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
-    cross = known.join(other, "band").where((F.col("sid") < F.col("sid2")) & (F.col("label") != F.col("label2")) & enough(F.least("most", "most2")) & enough(shared))
-    late = _verified(cross.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct(), sets, num, den)
+    known = placed.join(mixed, "band").select("band", "sid", "label")
+    known = known.join(known.groupBy("sid").agg(F.collect_set("band").alias("bands")), "sid")
+    known = materialize(known.join(facts, "sid").select("band", "sid", "label", "bands", "n", "bits"), "known")
+    other = known.select("band", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "bands", "n", "bits")))
+
+    def enough(common: F.Column) -> F.Column:
+        """Whether this many common items could make a link: den * common >= num * (n + n2 - common)."""
+        return common * (den + num) >= (F.col("n") + F.col("n2")) * num
+
+    def admits(places: range) -> list[F.Column]:
+        """What either set has that is not shared, by these longs of their bits, leaves enough."""
+        only = lambda x, y: sum((F.bit_count(F.get(F.col(x), F.lit(i)).bitwiseAND(F.bitwise_not(F.get(F.col(y), F.lit(i))))) for i in places), F.lit(0))
+        return [enough(F.col("n") - only("bits", "bits2")), enough(F.col("n2") - only("bits2", "bits"))]
+
+    # Cheap conditions first; a pair is made in the first of its common bands only.
+    admitted = (F.col("sid") < F.col("sid2")) & (F.col("label") != F.col("label2")) & enough(F.least("n", "n2"))
+    for condition in (*admits(range(4)), *admits(range(BITS))):
+        admitted = admitted & condition
+    once = F.array_min(F.array_intersect("bands", "bands2")) == F.col("band")
+    cross = materialize(known.join(other, "band").where(admitted & once).select(F.col("sid").alias("a"), F.col("sid2").alias("b")), "cross")
+    late = verified(cross)
     labels = materialize(connected_components(links.unionByName(late)), "labels")
-    discard(star, links, open_, known)
+    discard(star, links, known, cross)
     return labels

@@ -7,6 +7,7 @@ of document labels only, so the sentences that make a document toxic are found,
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,37 +38,42 @@ def held_out(doc_id) -> F.Column:
 
 def _train(texts: list[bytes], y: np.ndarray, weight: np.ndarray, rounds: int, l2: float, rate: float) -> tuple[np.ndarray, float]:
     vocabulary: dict[bytes, int] = {}
-    word, sent, doc, n_sent = [], [], [], 0
+    word, sent, doc, n_sent = array("i"), array("i"), array("i"), 0
     for d, t in enumerate(texts):
         for s in _sentences(t):
             if ws := s.split():
                 word.extend(vocabulary.setdefault(w, len(vocabulary)) for w in ws)
-                sent.append(np.full(len(ws), n_sent, np.int32))
+                sent.extend([n_sent] * len(ws))
                 doc.append(d)
                 n_sent += 1
     w = np.zeros(DIM)
     if not n_sent:
         return w, -6.0
-    word, sent, doc = np.array(word, np.int32), np.concatenate(sent), np.array(doc)
-    feats = [_features(v) for v in vocabulary]
-    owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    feats = np.array([f for fs in feats for f in fs])
+    word, sent, doc = (np.frombuffer(x, np.int32) for x in (word, sent, doc))
+    feats, owner = array("i"), array("i")
+    for i, v in enumerate(vocabulary):
+        f = _features(v)
+        feats.extend(f)
+        owner.extend([i] * len(f))
+    n_words = len(vocabulary)
+    vocabulary.clear()
+    feats, owner = np.frombuffer(feats, np.int32), np.frombuffer(owner, np.int32)
     # A feature of fewer than four documents says nothing that carries over.
     pairs = np.unique(word.astype(np.int64) * len(texts) + doc[sent])
-    seen = np.bincount(pairs // len(texts), minlength=len(vocabulary))
+    seen = np.bincount(pairs // len(texts), minlength=n_words)
     df = np.bincount(feats, weights=seen[owner], minlength=DIM)
     keep = df[feats] >= 4
     owner, feats = owner[keep], feats[keep]
     bias, m, v, mb, vb = -4.0, np.zeros(DIM), np.zeros(DIM), 0.0, 0.0
     sign = y[doc] == 1
     for step in range(1, rounds + 1):
-        value = np.bincount(owner, weights=w[feats], minlength=len(vocabulary))
+        value = np.bincount(owner, weights=w[feats], minlength=n_words)
         z = bias + np.bincount(sent, weights=value[word], minlength=n_sent)
         p = 0.5 * (1 + np.tanh(z / 2))
         log_clean = np.bincount(doc, weights=-np.logaddexp(0, z), minlength=len(texts))
         clean = np.exp(np.minimum(log_clean, -1e-9))
         dz = np.where(sign, -(clean / (1 - clean))[doc], 1.0) * p * weight[doc]
-        gv = np.bincount(word, weights=dz[sent], minlength=len(vocabulary))
+        gv = np.bincount(word, weights=dz[sent], minlength=n_words)
         g = np.bincount(feats, weights=gv[owner], minlength=DIM) / len(texts) + l2 * w
         gb = dz.sum() / len(texts)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g

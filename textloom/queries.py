@@ -2,14 +2,303 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import codepoints as cp
+from .functions import identity as ident
+from .functions import text as tx
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents")
+
+
+def _space(spark: SparkSession) -> DataFrame:
+    return spark.range(0, 0x110000).select(F.col("id").cast("int").alias("cp"))
+
+
+def _decomposed(col: str) -> str:
+    """DuckDB: the Latin-1 letters of a column decomposed, letter by letter."""
+    out = col
+    for c in range(0xC0, 0x100):
+        d = unicodedata.normalize("NFD", chr(c))
+        if d != chr(c):
+            out = f"replace({out},chr({c}),'{d[0]}'||chr({ord(d[1])}))"
+    return out
+
+
+_WORDS = r"""len(list_filter(regexp_extract_all(text,'(?:\p{L}(?:[.:''’·]\p{L})*|\p{Nd}(?:[.,;''’]\p{Nd})*|_)+'), lambda x: regexp_matches(x,'[\p{L}\p{Nd}]')))"""
+_CODESPACE = "(SELECT CAST(range AS INTEGER) AS cp FROM range(1114112))"
+
+
+@_query(f"SELECT lang, count(*) AS n_docs, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, CAST(sum(length(text)) AS BIGINT) AS n_codepoints, CAST(sum(length_grapheme(text)) AS BIGINT) AS n_graphemes, CAST(sum({_WORDS}) AS BIGINT) AS n_words FROM documents GROUP BY lang")
+def text_profile_by_lang(spark, sf_dir):
+    return _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.octet_length("text").cast("long")).alias("n_bytes"), F.sum(F.char_length("text").cast("long")).alias("n_codepoints"), F.sum(tx.grapheme_count("text")).alias("n_graphemes"), F.sum(tx.latin_word_count("text")).alias("n_words"))
+
+
+@_query(f"SELECT doc_id, CAST({_WORDS} AS BIGINT) AS n_words FROM documents")
+def word_count(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.word_count("text").alias("n_words"))
+
+
+@_query(f"SELECT doc_id, md5({_decomposed('text')}) AS digest, CAST(length({_decomposed('text')}) AS BIGINT) AS n FROM documents")
+def normalize_nfd(spark, sf_dir):
+    out = _docs(spark, sf_dir).select("doc_id", tx.normalize("text", "NFD").alias("t"))
+    return out.select("doc_id", F.md5("t").alias("digest"), F.char_length("t").cast("long").alias("n"))
+
+
+@_query(f"SELECT doc_id, md5(nfc_normalize({_decomposed('text')})) AS digest FROM documents")
+def normalize_nfc(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(tx.normalize(tx.normalize("text", "NFD"), "NFC")).alias("digest"))
+
+
+@_query("SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM documents")
+def normalize_nfkc(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(tx.normalize("text", "NFKC")).alias("digest"))
+
+
+@_query(f"SELECT doc_id, CAST(length_grapheme({_decomposed('text')}) AS BIGINT) AS n FROM documents")
+def grapheme_count_nfd(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.grapheme_count(tx.normalize("text", "NFD")).alias("n"))
+
+
+@_query(f"SELECT doc_id, CASE WHEN {_decomposed('text')} = text THEN 'YES' ELSE 'MAYBE' END AS nfc, CASE WHEN {_decomposed('text')} = text THEN 'YES' ELSE 'NO' END AS nfd FROM documents")
+def quick_check(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.quick_check(tx.normalize("text", "NFD"), "NFC").alias("nfc"), tx.quick_check("text", "NFD").alias("nfd"))
+
+
+@_query("SELECT doc_id, md5(upper(replace(text,'ß','SS'))) AS up, md5(lower(text)) AS low FROM documents")
+def map_case_upper_lower(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(tx.map_case("text", "upper")).alias("up"), F.md5(tx.map_case("text", "lower")).alias("low"))
+
+
+@_query("SELECT conv_id, turn, md5(lower(replace(text,'ß','ss'))) AS fold, md5(lower(text)) AS simple FROM conversations")
+def map_case_fold(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(tx.map_case("text", "casefold")).alias("fold"), F.md5(tx.map_case("text", "casefold_simple")).alias("simple"))
+
+
+@_query("SELECT doc_id, md5(nfc_normalize(lower(replace(text,'ß','ss')))) AS digest FROM documents")
+def nfkc_casefold(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(tx.nfkc_casefold("text")).alias("digest"))
+
+
+@_query(r"SELECT doc_id, md5(regexp_replace(text,'[\t\n\v\f\r ]','  ','g')) AS widened, md5(regexp_replace(text,'[\t\n\v\f\r ]+',' ','g')) AS collapsed, md5(regexp_replace(text,'[\x00-\x08\x0E-\x1F\x7F]','','g')) AS printable FROM documents")
+def filter_flags(spark, sf_dir):
+    wide = F.regexp_replace("text", r"[\t-\r ]", "  ")
+    return _docs(spark, sf_dir).select("doc_id", F.md5(tx.filter_text(wide, spaces=True)).alias("widened"), F.md5(tx.filter_text(wide, spaces=True, collapse=True)).alias("collapsed"), F.md5(tx.filter_text("text", controls=True)).alias("printable"))
+
+
+@_query("SELECT doc_id, md5(text) AS digest FROM documents")
+def filter_numeric(spark, sf_dir):
+    arabic = F.translate("text", "0123456789", "٠١٢٣٤٥٦٧٨٩")
+    return _docs(spark, sf_dir).select("doc_id", F.md5(tx.filter_text(arabic, numeric=True)).alias("digest"))
+
+
+@_query("SELECT doc_id, strlen(text) > 0 AND strlen(text) = length(text) AS ascii, strlen(text) > 0 AS utf8, CASE WHEN text = '' THEN 0 WHEN strlen(text) = length(text) THEN 3 ELSE 2 END AS detected, CAST(length(text) AS BIGINT) AS n FROM documents")
+def encoding_predicates(spark, sf_dir):
+    b = F.encode("text", "UTF-8")
+    return _docs(spark, sf_dir).select("doc_id", tx.is_ascii(b).alias("ascii"), tx.is_utf8(b).alias("utf8"), tx.detect_encoding(b).alias("detected"), tx.codepoint_count(b).alias("n"))
+
+
+@_query("SELECT doc_id, md5(text) AS digest, CAST(2 * length(text) AS BIGINT) AS n16, CAST(4 * length(text) AS BIGINT) AS n32 FROM documents")
+def convert_encoding_roundtrip(spark, sf_dir):
+    b = F.encode("text", "UTF-8")
+    wide, wider = tx.convert_encoding(b, "UTF-8", "UTF-16LE"), tx.convert_encoding(b, "UTF-8", "UTF-32LE")
+    d = _docs(spark, sf_dir).select("doc_id", wide.alias("w"), wider.alias("x"))
+    return d.select("doc_id", F.md5(tx.convert_encoding(tx.convert_encoding("w", "UTF-16LE", "UTF-32BE"), "UTF-32BE", "UTF-8")).alias("digest"), F.octet_length("w").cast("long").alias("n16"), F.octet_length("x").cast("long").alias("n32"))
+
+
+@_query("SELECT unicode(c) AS cp, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (first) AS BIGINT) AS n_first FROM (SELECT unnest(string_split(text, '')) AS c, unnest(range(length(text))) = 0 AS first FROM documents WHERE text <> '') GROUP BY 1")
+def codepoint_histogram(spark, sf_dir):
+    chars = _docs(spark, sf_dir).where("text <> ''").select(F.posexplode(F.split("text", "")).alias("i", "c"))
+    return chars.groupBy(F.conv(F.hex(F.encode("c", "UTF-32")), 16, 10).cast("int").alias("cp")).agg(F.count("*").alias("n"), F.count_if(F.col("i") == 0).alias("n_first"))
+
+
+@_query("SELECT md5(lower(replace(text,'ß','ss'))) AS k, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_id FROM documents GROUP BY lower(replace(text,'ß','ss')) HAVING count(*) > 1")
+def caseless_groups(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", ident.caseless_key("text", "unnormalized").alias("key"))
+    return d.groupBy(F.md5("key").alias("k")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@_query("SELECT a.n_nationkey AS a, b.c_custkey AS b FROM nation a JOIN customer b ON lower(a.n_name) = lower(upper(b.c_name)) UNION ALL SELECT n_nationkey, -1 FROM nation")
+def caseless_join(spark, sf_dir):
+    n = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("a"), F.col("n_name").alias("t"))
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("b"), F.upper("c_name").alias("t"))
+    self_ = n.select(F.lit(-1).cast("long").alias("b"), F.lower("t").alias("t"))
+    return ident.caseless_join(n, c.unionByName(self_), "t", "canonical").select("a", "b")
+
+
+@_query(f"SELECT cp, cp BETWEEN 0 AND 1114111 AND NOT cp BETWEEN 64976 AND 65007 AND (cp & 65534) <> 65534 AS valid, CASE WHEN NOT cp BETWEEN 64976 AND 65007 AND (cp & 65534) <> 65534 THEN cp >> 16 ELSE -1 END AS plane FROM {_CODESPACE}")
+def codepoint_valid_plane(spark, sf_dir):
+    return _space(spark).select("cp", cp.is_valid("cp").alias("valid"), cp.plane("cp").alias("plane"))
+
+
+@_query(f"""SELECT cp, cp BETWEEN 4352 AND 4370 AS l, cp BETWEEN 4449 AND 4469 AS v, cp BETWEEN 4520 AND 4546 AS t, cp BETWEEN 4352 AND 4370 OR cp BETWEEN 4449 AND 4469 OR cp BETWEEN 4520 AND 4546 AS jamo, cp BETWEEN 44032 AND 55203 AS syllable,
+ cp IN (9,10,11,12,13,32,133,8206,8207,8232,8233) AS pattern_space, cp BETWEEN 127995 AND 127999 AS modifier FROM {_CODESPACE}""")
+def codepoint_hangul(spark, sf_dir):
+    return _space(spark).select("cp", cp.is_hangul_leading("cp").alias("l"), cp.is_hangul_vowel("cp").alias("v"), cp.is_hangul_trailing("cp").alias("t"), cp.is_hangul_jamo("cp").alias("jamo"), cp.is_hangul_syllable("cp").alias("syllable"), cp.is_pattern_white_space("cp").alias("pattern_space"), cp.is_emoji_modifier("cp").alias("modifier"))
+
+
+_EXT = " OR ".join(f"cp BETWEEN {lo} AND {hi}" for lo, hi in cp.CJK_EXTENSIONS)
+
+
+@_query(f"SELECT cp, {_EXT} AS extension, cp BETWEEN 19968 AND 40959 OR {_EXT} AS ideograph FROM {_CODESPACE}")
+def codepoint_cjk(spark, sf_dir):
+    return _space(spark).select("cp", cp.is_cjk_extension("cp").alias("extension"), cp.is_cjk_ideograph("cp").alias("ideograph"))
+
+
+@_query("SELECT p, p BETWEEN 0 AND 16 AS valid, CASE p WHEN 0 THEN 'BMP' WHEN 1 THEN 'SMP' WHEN 2 THEN 'SIP' WHEN 3 THEN 'TIP' WHEN 14 THEN 'SSP' WHEN 15 THEN 'PUA-A' WHEN 16 THEN 'PUA-B' ELSE CASE WHEN p BETWEEN 0 AND 16 THEN 'Unassigned' END END AS name FROM (SELECT range AS p FROM range(-2, 20))")
+def plane_names(spark, sf_dir):
+    return spark.range(-2, 20).select(F.col("id").alias("p"), cp.plane_is_valid("id").alias("valid"), cp.plane_name("id", True).alias("name"))
+
+
+@_query(f"SELECT cp, CASE WHEN cp BETWEEN 55296 AND 57343 THEN '' ELSE hex(encode(chr(cp))) END AS utf8, CASE WHEN cp BETWEEN 55296 AND 57343 THEN '' ELSE lpad(hex(cp), 8, '0') END AS utf32 FROM {_CODESPACE} WHERE cp > 0")
+def codepoint_encode(spark, sf_dir):
+    return _space(spark).where("cp > 0").select("cp", F.hex(cp.encode("cp")).alias("utf8"), F.hex(cp.encode("cp", "UTF-32BE")).alias("utf32"))
+
+
+@_query("SELECT CAST(44032 + range AS INTEGER) AS cp, CAST(4352 + range // 588 AS INTEGER) AS l, CAST(4449 + range % 588 // 28 AS INTEGER) AS v, CAST(CASE WHEN range % 28 = 0 THEN 0 ELSE 4519 + range % 28 END AS INTEGER) AS t, unicode(nfc_normalize(chr(CAST(4352 + range // 588 AS INTEGER)) || chr(CAST(4449 + range % 588 // 28 AS INTEGER)) || CASE WHEN range % 28 = 0 THEN '' ELSE chr(CAST(4519 + range % 28 AS INTEGER)) END)) AS composed FROM range(11172)")
+def hangul_syllables(spark, sf_dir):
+    s = spark.range(0xAC00, 0xAC00 + 11172).select(F.col("id").cast("int").alias("cp"), cp.hangul_decompose("id").alias("d"))
+    return s.select("cp", F.get("d", F.lit(0)).alias("l"), F.get("d", F.lit(1)).alias("v"), F.get("d", F.lit(2)).alias("t"), F.element_at(cp.hangul_compose(F.filter("d", lambda x: x > 0)), 1).alias("composed"))
+
+
+@_query("SELECT * FROM (VALUES (44032,'HANGUL SYLLABLE GA'),(44033,'HANGUL SYLLABLE GAG'),(45397,'HANGUL SYLLABLE NYEONG'),(55203,'HANGUL SYLLABLE HIH'),(65,NULL)) t(cp,name)")
+def hangul_names(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in (44032, 44033, 45397, 55203, 65)], "cp int").select("cp", cp.hangul_name("cp").alias("name"))
+
+
+@_query(f"SELECT doc_id, CAST(strlen(left_grapheme({_decomposed('text')}, 25)) AS BIGINT) AS n_bytes, md5(left_grapheme({_decomposed('text')}, 25)) AS digest FROM documents")
+def truncate_grapheme(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", tx.truncate(tx.normalize("text", "NFD"), "grapheme", 25).alias("t"))
+    return d.select("doc_id", F.col("t.bytes").alias("n_bytes"), F.md5("t.text").alias("digest"))
+
+
+@_query("SELECT doc_id, CAST(length(line) AS BIGINT) AS narrow, CAST(length(line) + len(regexp_extract_all(line, '[¡¤§¨ª®°±²³´¶·¸¹º¼½¾¿ÆÐ×ØÞßàáæèéêìíðòó÷øùúüþ]')) AS BIGINT) AS wide FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)")
+def terminal_width(spark, sf_dir):
+    lines = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select("doc_id", tx.terminal_width("line").alias("narrow"), tx.terminal_width("line", True).alias("wide"))
+
+
+@_query("SELECT n_name, CAST(rank() OVER (ORDER BY lower(n_name)) AS INTEGER) AS place FROM nation")
+def collation_rank(spark, sf_dir):
+    from pyspark.sql import Window
+
+    return _table(spark, sf_dir, "nation").select("n_name", F.rank().over(Window.orderBy(ident.collated("n_name", "secondary"))).alias("place"))
+
+
+@_query("SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, 0 AS errors FROM pages")
+def idna_hosts(spark, sf_dir):
+    d = _table(spark, sf_dir, "pages").select("page_id", ident.idna(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("h"))
+    return d.select("page_id", F.col("h.output").alias("host"), F.col("h.errors").alias("errors"))
+
+
+@_query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '\p{L}') THEN 'RESOLVED' ELSE 'ALL' END AS kind, CASE WHEN regexp_matches(text, '\p{L}') THEN 'Latn' ELSE '' END AS scripts FROM documents")
+def resolved_scripts(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", ident.resolved_scripts("text").alias("s"))
+    return d.select("doc_id", "s.kind", F.array_join("s.scripts", ",").alias("scripts"))
+
+
+@_query(r"SELECT w, regexp_full_match(w, '\p{L}[\p{L}\p{Nd}_ªº·]*') AS ok FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents)")
+def identifiers(spark, sf_dir):
+    w = _docs(spark, sf_dir).select(F.explode(F.split("text", " ")).alias("w")).distinct()
+    return w.select("w", ident.is_identifier("w").alias("ok"))
+
+
+def _golden(rows: str, cols: str) -> str:
+    return f"SELECT * FROM (VALUES {rows}) t({cols})"
+
+
+@_query(_golden("('mixed CASE words','Mixed Case Words'),('rock''n''ROLL','Rock''n''roll'),('😀grinning','😀Grinning'),('123abc','123Abc'),('ⅲ times','Ⅲ Times')", "t,title"))
+def title_case(spark, sf_dir):
+    rows = [("mixed CASE words",), ("rock'n'ROLL",), ("😀grinning",), ("123abc",), ("ⅲ times",)]
+    return spark.createDataFrame(rows, "t string").select("t", tx.map_case("t", "title").alias("title"))
+
+
+@_query(_golden("('ISPARTA','tr','lower','ısparta'),('İSTANBUL','tr','lower','istanbul'),('diyarbakır','tr','upper','DİYARBAKIR'),('ILIK','tr','title','Ilık'),('ΑΣ','en','lower','ας')", "t,locale,op,mapped"))
+def locale_case(spark, sf_dir):
+    rows = [("ISPARTA", "tr", "lower"), ("İSTANBUL", "tr", "lower"), ("diyarbakır", "tr", "upper"), ("ILIK", "tr", "title"), ("ΑΣ", "en", "lower")]
+    parts = [spark.createDataFrame([r], "t string, locale string, op string").withColumn("mapped", tx.map_case("t", r[2], r[1])) for r in rows]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@_query(_golden("('Hello. How are you? Fine!',3),('Wait... then more.',1),('Dr. Smith went.',2),('a b',1),('',0)", "t,n"))
+def sentence_count(spark, sf_dir):
+    rows = [("Hello. How are you? Fine!",), ("Wait... then more.",), ("Dr. Smith went.",), ("a b",), ("",)]
+    return spark.createDataFrame(rows, "t string").select("t", tx.sentence_count("t").cast("int").alias("n"))
+
+
+@_query(_golden("('Hello, world! It works.',4),('don''t stop',2),('e.g. example.com',2),('state-of-the-art',4),('3.14 is pi',3),('foo_bar baz',2),('_ _',0),('東京',2),('カタカナ',1)", "t,n"))
+def word_count_cases(spark, sf_dir):
+    rows = [(x,) for x in ("Hello, world! It works.", "don't stop", "e.g. example.com", "state-of-the-art", "3.14 is pi", "foo_bar baz", "_ _", "東京", "カタカナ")]
+    return spark.createDataFrame(rows, "t string").select("t", tx.word_count("t").cast("int").alias("n"))
+
+
+@_query(_golden("('Straße','STRASSE','unnormalized',true),(chr(197),'A'||chr(778),'unnormalized',false),(chr(197),'A'||chr(778),'canonical',true),('㎒','MHz','canonical',false),('㎒','MHz','compatibility',true),('ab'||chr(173),'ab','compatibility',false),('ab'||chr(173),'ab','identifier',true),('I','ı','unnormalized',false)", "a,b,mode,ok"))
+def caseless_cases(spark, sf_dir):
+    ring = ("\u00c5", "A\u030a")
+    rows = [("Straße", "STRASSE", "unnormalized"), (*ring, "unnormalized"), (*ring, "canonical"), ("㎒", "MHz", "canonical"), ("㎒", "MHz", "compatibility"), ("ab\xad", "ab", "compatibility"), ("ab\xad", "ab", "identifier"), ("I", "ı", "unnormalized")]
+    d = spark.createDataFrame(rows, "a string, b string, mode string")
+    ok = F.when(F.col("mode") == "canonical", ident.caseless_match("a", "b", "canonical")).when(F.col("mode") == "compatibility", ident.caseless_match("a", "b", "compatibility")).when(F.col("mode") == "identifier", ident.caseless_match("a", "b", "identifier")).otherwise(ident.caseless_match("a", "b", "unnormalized"))
+    return d.withColumn("ok", ok)
+
+
+@_query(_golden("('zh-cmn-Hans-CN','zh|cmn|Hans|CN||||'),('de-CH-1901','de|||CH|1901|||'),('en-US-u-islamcal','en|||US||u-islamcal||'),('de-CH-x-phonebk','de|||CH|||x-phonebk|'),('i-enochian','|||||||i-enochian'),('x-whatever','||||||x-whatever|'),('de-419-DE',NULL),('a-DE',NULL),('ar-a-aaa-b-bbb-a-ccc',NULL),('de-1901-1901',NULL),('en-abcdefghi',NULL)", "tag,parts"))
+def locale_tags(spark, sf_dir):
+    rows = [(x,) for x in ("zh-cmn-Hans-CN", "de-CH-1901", "en-US-u-islamcal", "de-CH-x-phonebk", "i-enochian", "x-whatever", "de-419-DE", "a-DE", "ar-a-aaa-b-bbb-a-ccc", "de-1901-1901", "en-abcdefghi")]
+    d = spark.createDataFrame(rows, "tag string").select("tag", ident.parse_locale("tag").alias("p"))
+    return d.select("tag", F.when(F.col("p").isNotNull(), F.concat_ws("|", *(F.col(f"p.{f}") for f in ident.LOCALE_FIELDS))).alias("parts"))
+
+
+@_query(_golden("('Circle','RESOLVED','Latn'),('hеllo','EMPTY',''),('123!','ALL',''),('','ALL',''),('ー','RESOLVED','Hira,Jpan,Kana'),('ねガ','RESOLVED','Jpan'),('〆切','RESOLVED','Hanb,Hani,Jpan,Kore')", "t,kind,scripts"))
+def script_cases(spark, sf_dir):
+    rows = [(x,) for x in ("Circle", "hеllo", "123!", "", "ー", "ねガ", "〆切")]
+    d = spark.createDataFrame(rows, "t string").select("t", ident.resolved_scripts("t").alias("s"))
+    return d.select("t", "s.kind", F.array_join("s.scripts", ",").alias("scripts"))
+
+
+@_query(_golden("('',0),(' ',1),('é',1),('中',2),('中文',4),('Ａ',2),('Hello',5),('Hello中',7),(chr(9),NULL),(chr(8232),NULL)", "t,w"))
+def width_cases(spark, sf_dir):
+    rows = [(x,) for x in ("", " ", "é", "中", "中文", "Ａ", "Hello", "Hello中", "\t", " ")]
+    return spark.createDataFrame(rows, "t string").select("t", tx.terminal_width("t").cast("int").alias("w"))
+
+
+@_query(_golden("('bücher.example','xn--bcher-kva.example',0),('a..b','a..b',2),('EXAMPLE.com','example.com',0)", "t,host,errors"))
+def idna_cases(spark, sf_dir):
+    d = spark.createDataFrame([("bücher.example",), ("a..b",), ("EXAMPLE.com",)], "t string").select("t", ident.idna("t").alias("h"))
+    return d.select("t", F.col("h.output").alias("host"), F.col("h.errors").alias("errors"))
+
 
-def text_profile_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.octet_length("text").cast("long")).alias("n_bytes"), F.sum(F.char_length("text").cast("long")).alias("n_codepoints"))
+@_query()
+def codepoint_properties(spark, sf_dir):
+    """All named binary properties over the code space."""
+    return _space(spark).select("cp", *(cp.has_property("cp", p).alias(n) for n, p in cp.NAMED.items()))
 
 
-QUERIES = {"text_profile_by_lang": text_profile_by_lang}
-ORACLES = {"text_profile_by_lang": "SELECT lang, count(*) AS n_docs, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, CAST(sum(length(text)) AS BIGINT) AS n_codepoints FROM documents GROUP BY lang"}
+@_query()
+def codepoint_records(spark, sf_dir):
+    return cp.characters(spark)

@@ -13,6 +13,8 @@ from .components import connected_components
 
 #: Longs of a set's bits.
 BITS = 24
+#: Hubs drawn from each bucket that is open after the first round.
+HUBS = 4
 
 
 def set_bits(items: np.ndarray) -> np.ndarray:
@@ -29,7 +31,8 @@ def link_members(members: DataFrame, facts: DataFrame, verified: Callable[[DataF
     the bucket's least are its hubs. facts (sid, n, bits): size and set_bits of every set. verified: of pairs (a, b) of sids, those
     with den * intersection >= num * union.
 
-    Each member is first compared with its buckets' hubs. Buckets that then still span several components give their
+    Each member is first compared with its buckets' hubs, then, in buckets that still span several components, with a
+    few drawn members. Buckets that then still span several components give their
     cross-component pairs, but only those that a bound admits: an item whose bit is off in the other set is not shared,
     so of n items at most n less the bits that only this set has are. The bound is never below the true intersection,
     so no link within a bucket is lost.
@@ -37,13 +40,6 @@ def link_members(members: DataFrame, facts: DataFrame, verified: Callable[[DataF
     hubs = members.where("prio = hub_prio").select("band", F.col("sid").alias("b"))
     star = materialize(members.join(hubs, "band").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct(), "star")
     links = materialize(verified(star), "links")
-    first = connected_components(links)
-    placed = members.select("band", "sid").join(first.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    known = placed.join(mixed, "band").select("band", "sid", "label")
-    known = known.join(known.groupBy("sid").agg(F.collect_set("band").alias("bands")), "sid")
-    known = materialize(known.join(facts, "sid").select("band", "sid", "label", "bands", "n", "bits"), "known")
-    other = known.select("band", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "bands", "n", "bits")))
 
     def enough(common: F.Column) -> F.Column:
         """Whether this many common items could make a link: den * common >= num * (n + n2 - common)."""
@@ -54,12 +50,37 @@ def link_members(members: DataFrame, facts: DataFrame, verified: Callable[[DataF
         only = lambda x, y: sum((F.bit_count(F.get(F.col(x), F.lit(i)).bitwiseAND(F.bitwise_not(F.get(F.col(y), F.lit(i))))) for i in places), F.lit(0))
         return [enough(F.col("n") - only("bits", "bits2")), enough(F.col("n2") - only("bits2", "bits"))]
 
-    # Cheap conditions first; a pair is made in the first of its common bands only.
-    admitted = (F.col("sid") < F.col("sid2")) & (F.col("label") != F.col("label2")) & enough(F.least("n", "n2"))
+    # Cheap conditions first.
+    admitted = (F.col("label") != F.col("label2")) & enough(F.least("n", "n2"))
     for condition in (*admits(range(4)), *admits(range(BITS))):
         admitted = admitted & condition
+    second = lambda df: df.select("band", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "bands", "n", "bits")))
+
+    def open_buckets() -> DataFrame:
+        """The members of the buckets that by the links so far span several components."""
+        labels = connected_components(links).withColumnRenamed("node", "sid")
+        placed = members.select("band", "sid").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+        left = placed.join(mixed, "band").select("band", "sid", "label")
+        left = left.join(left.groupBy("sid").agg(F.collect_set("band").alias("bands")), "sid")
+        return materialize(left.join(facts, "sid").select("band", "sid", "label", "bands", "n", "bits"), "open")
+
+    # A few drawn members of each open bucket are hubs of a second round: it links most of what can be linked.
+    known = open_buckets()
+    salted = known.select("band", "sid", F.posexplode(F.array(*(F.xxhash64("sid", F.lit(i)) for i in range(HUBS)))).alias("salt", "draw"))
+    drawn = salted.groupBy("band", "salt").agg(F.min("draw").alias("draw"))
+    drawn = salted.join(drawn, ["band", "salt", "draw"]).select("band", "sid").distinct()
+    pairs = known.join(second(known.join(drawn, ["band", "sid"])), "band").where(admitted)
+    pairs = materialize(pairs.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b")).distinct(), "pairs")
+    more = materialize(links.unionByName(verified(pairs)), "links")
+    discard(links, known, pairs)
+    links = more
+
+    # All that is left, each pair in the first of its common bands only.
+    known = open_buckets()
     once = F.array_min(F.array_intersect("bands", "bands2")) == F.col("band")
-    cross = materialize(known.join(other, "band").where(admitted & once).select(F.col("sid").alias("a"), F.col("sid2").alias("b")), "cross")
+    cross = known.join(second(known), "band").where((F.col("sid") < F.col("sid2")) & admitted & once)
+    cross = materialize(cross.select(F.col("sid").alias("a"), F.col("sid2").alias("b")), "cross")
     late = verified(cross)
     labels = materialize(connected_components(links.unionByName(late)), "labels")
     discard(star, links, known, cross)

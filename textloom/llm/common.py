@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -16,7 +18,19 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 800_000
 
 
+#: Rows of an Arrow batch. Spark's default of 10,000 long texts would not fit beside a worker's own arrays.
+BATCH_ROWS = 800
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have Spark send Python workers at most BATCH_ROWS rows at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,6 +64,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -81,6 +96,13 @@ def in_bitmap(words: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (words.view(np.uint64)[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, where the C library can; numpy's work leaves much of it."""
+    with contextlib.suppress(OSError, AttributeError):
+        gc.collect()
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class HashCache(dict):
     """bytes -> 64-bit hash, emptied when it has grown to its limit."""
 

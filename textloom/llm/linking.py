@@ -24,22 +24,31 @@ def set_bits(items: np.ndarray) -> np.ndarray:
     return np.packbits(on).view(np.int64)
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) with further links (a, b) between any nodes: only the graph of labels is searched."""
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    found = connected_components(between)
+    to = found.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    moved = labels.join(to, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return materialize(moved.unionByName(found.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
 def link_members(members: DataFrame, facts: DataFrame, verified: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """(node, label) for each sid linked with another one; label is the smallest sid of its component.
 
     sids are longs. members (band, sid, prio, hub_prio): the sids of every bucket of two or more; the ones whose prio is
-    the bucket's least are its hubs. facts (sid, n, bits): size and set_bits of every set. verified: of pairs (a, b) of sids, those
-    with den * intersection >= num * union.
+    the bucket's least are its hubs. facts (sid, n, bits): size and set_bits of every set. verified: of pairs (a, b) of
+    sids, those with den * intersection >= num * union.
 
     Each member is first compared with its buckets' hubs, then, in buckets that still span several components, with a
-    few drawn members. Buckets that then still span several components give their
-    cross-component pairs, but only those that a bound admits: an item whose bit is off in the other set is not shared,
-    so of n items at most n less the bits that only this set has are. The bound is never below the true intersection,
-    so no link within a bucket is lost.
+    few drawn members. What is left after that are cross-component pairs, but only those that a bound admits: an item
+    whose bit is off in the other set is not shared, so of n items at most n less the bits that only this set has are.
+    The bound is never below the true intersection, so no link within a bucket is lost.
     """
     hubs = members.where("prio = hub_prio").select("band", F.col("sid").alias("b"))
     star = materialize(members.join(hubs, "band").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct(), "star")
-    links = materialize(verified(star), "links")
+    labels = materialize(connected_components(verified(star)), "labels")
 
     def enough(common: F.Column) -> F.Column:
         """Whether this many common items could make a link: den * common >= num * (n + n2 - common)."""
@@ -58,8 +67,7 @@ def link_members(members: DataFrame, facts: DataFrame, verified: Callable[[DataF
 
     def open_buckets() -> DataFrame:
         """The members of the buckets that by the links so far span several components."""
-        labels = connected_components(links).withColumnRenamed("node", "sid")
-        placed = members.select("band", "sid").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        placed = members.select("band", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
         left = placed.join(mixed, "band").select("band", "sid", "label")
         left = left.join(left.groupBy("sid").agg(F.collect_set("band").alias("bands")), "sid")
@@ -72,16 +80,14 @@ def link_members(members: DataFrame, facts: DataFrame, verified: Callable[[DataF
     drawn = salted.join(drawn, ["band", "salt", "draw"]).select("band", "sid").distinct()
     pairs = known.join(second(known.join(drawn, ["band", "sid"])), "band").where(admitted)
     pairs = materialize(pairs.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b")).distinct(), "pairs")
-    more = materialize(links.unionByName(verified(pairs)), "links")
-    discard(links, known, pairs)
-    links = more
+    labels = _merged(labels, verified(pairs))
+    discard(star, known, pairs)
 
     # All that is left, each pair in the first of its common bands only.
     known = open_buckets()
     once = F.array_min(F.array_intersect("bands", "bands2")) == F.col("band")
     cross = known.join(second(known), "band").where((F.col("sid") < F.col("sid2")) & admitted & once)
     cross = materialize(cross.select(F.col("sid").alias("a"), F.col("sid2").alias("b")), "cross")
-    late = verified(cross)
-    labels = materialize(connected_components(links.unionByName(late)), "labels")
-    discard(star, links, known, cross)
+    labels = _merged(labels, verified(cross))
+    discard(known, cross)
     return labels

@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 DIM = 1 << 18
 #: Everything but letters, digits and bytes of non-ASCII characters parts words; . ! ? and line feeds part sentences.
 _TABLE = bytes((b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 10 if b in b".!?\n" else 32) for b in range(256))
@@ -84,7 +86,7 @@ def _train(texts: list[bytes], y: np.ndarray, weight: np.ndarray, rounds: int, l
     return w, float(bias)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_each: int = 2000, rounds: int = 250, l2: float = 2e-4, rate: float = 0.05) -> dict:
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_each: int = 1500, rounds: int = 250, l2: float = 2e-4, rate: float = 0.05) -> dict:
     """A model from at most max_each labelled documents of either label, the first by crc32 of the id.
 
     Rows held out (crc32 mod 4 = 2), unlabelled or absent from docs are not used. The two labels are weighed by how
@@ -107,7 +109,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return {"at": np.zeros(0, np.int64), "w": np.zeros(0), "bias": -6.0}
     share = np.array([total.get(0, 0) / taken[0], total.get(1, 0) / taken[1]])
     weight = share[y] / share[y].mean()
-    w, bias = _train([bytes(r["text"]) for r in rows], y, weight, rounds, l2, rate)
+    texts = [bytes(r["text"]) for r in rows]
+    rows.clear()
+    w, bias = _train(texts, y, weight, rounds, l2, rate)
+    texts.clear()
+    release_memory()
     at = np.flatnonzero(np.abs(w) > 1e-4)
     return {"at": at, "w": w[at], "bias": bias}
 

@@ -9,7 +9,6 @@ id, then by place. Lines equal after normalisation are one node from the start.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +23,13 @@ from .sketch import band_keys, fast_similarity_sketch
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-
-_ODD = re.compile(rb"[\t\x0b\x0c\r]|  ")
+_ODD = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")
 
 
 def _normal_lines(text: bytes) -> list[bytes]:
     """Lines with A-Z lower-cased, white space collapsed and trimmed."""
     lines = text.lower().split(b"\n")
-    return [b" ".join(x.split()) for x in lines] if _ODD.search(text) else [x.strip(b" ") for x in lines]
+    return [b" ".join(x.split()) for x in lines] if any(o in text for o in _ODD) else [x.strip(b" ") for x in lines]
 
 
 def _polynomial(cps: np.ndarray, k: int) -> np.ndarray:
@@ -93,12 +91,10 @@ def _name(line: bytes) -> bytes:
 
 
 def _signer(k: int, bands: int, rows: int, min_chars: int):
-    bins = 1 << (bands * rows - 1).bit_length()
-
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rs, nos, lines in _chosen(batch.column(2).cast(pa.binary()).to_pylist(), min_chars):
-                keys = band_keys(fast_similarity_sketch(*_shingles(lines, k), len(lines), bins), rows)[:, :bands]
+                keys = band_keys(fast_similarity_sketch(*_shingles(lines, k), len(lines), bands * rows), rows)
                 at = pa.array(rs, pa.int64())
                 names = [_name(s) for s in lines]
                 prio = np.frombuffer(b"".join(names), ">i8")[::2].astype(np.int64)
@@ -122,17 +118,30 @@ def _repeated(words: np.ndarray):
     return pick
 
 
-def _setter(k: int, min_chars: int, words: np.ndarray):
-    """Texts -> (sid, line, n, bits) of the lines whose name's bit is set, once per slice."""
+def _fetcher(min_chars: int, words: np.ndarray):
+    """Texts -> (sid, line) of the lines whose name's bit is set, once per slice."""
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, lines in _chosen(batch.column(0).cast(pa.binary()).to_pylist(), min_chars):
                 names = [_name(s) for s in lines]
                 hit = in_bitmap(words, np.frombuffer(b"".join(names), ">u8")[::2].astype(np.uint64))
                 if some := {names[i]: lines[i] for i in np.flatnonzero(hit).tolist()}:
-                    sets = _line_sets(list(some.values()), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.binary()), pa.array([s.decode() for s in some.values()]), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_bits(s) for s in sets], pa.list_(pa.int64()))], names=["sid", "line", "n", "bits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.binary()), pa.array(list(some.values()), pa.binary()).cast(pa.string())], names=["sid", "line"])
+
+    return fetch
+
+
+def _setter(k: int):
+    """(sid, line) -> (sid, line, n, bits) with the size and bits of the line's shingle set."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column(1).cast(pa.binary()).to_pylist()
+            for i, j in slices([len(s) for s in lines], 1_000_000):
+                sets = _line_sets(lines[i:j], k)
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_bits(s) for s in sets], pa.list_(pa.int64()))], names=["sid", "line", "n", "bits"])
 
     return sets_of
 
@@ -162,7 +171,7 @@ def _checker(k: int, num: int, den: int):
     return check
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, num: int = 80, den: int = 100, bands: int = 10, rows: int = 4, min_chars: int = 20, log2_bits: int = 22) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, num: int = 80, den: int = 100, bands: int = 10, rows: int = 4, min_chars: int = 20, log2_bits: int = 25) -> DataFrame:
     """docs with text_col rewritten, and n_lines and n_dropped (long) added, a row for each row.
 
     Lines are parts between line feeds, compared after lower-casing A-Z and collapsing ASCII white space, by the
@@ -182,8 +191,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     picked = lines.select("sid", "prio", "bands").mapInArrow(_repeated(bits), "band bigint, sid binary, prio bigint").distinct()
     members = materialize(picked.join(buckets, "band"), "members")
     wanted = bitmap(members.select("prio").distinct(), "prio", log2_bits)
-    sets = src.select("text").mapInArrow(_setter(k, min_chars, wanted), "sid binary, line string, n bigint, bits array<bigint>").dropDuplicates(["sid"])
-    sets = sets.join(members.select("sid").distinct(), "sid", "left_semi")
+    fetched = src.select("text").mapInArrow(_fetcher(min_chars, wanted), "sid binary, line string").dropDuplicates(["sid"])
+    fetched = fetched.join(members.select("sid").distinct(), "sid", "left_semi")
+    sets = fetched.mapInArrow(_setter(k), "sid binary, line string, n bigint, bits array<bigint>")
     # Longs as nodes from here on: they aggregate by hash, names would by sorting.
     sets = materialize(sets.select(F.col("sid").alias("name"), "line", "n", "bits", F.monotonically_increasing_id().alias("sid")), "sets")
     ids = sets.select("name", "sid")
@@ -198,14 +208,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Only lines of a component or with equal ones matter from here on.
     equal = lines.groupBy("sid").agg(F.count("*").alias("times")).where("times > 1").select("sid")
-    group = equal.join(labels, "sid", "full").select("sid", F.coalesce(F.hex("sid"), F.lit("")).alias("own"), "label")
-    group = group.select("sid", F.coalesce(F.col("label").cast("string"), "own").alias("label"))
+    group = equal.join(labels, "sid", "full").select("sid", F.coalesce(F.col("label").cast("string").cast("binary"), "sid").alias("label"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "no")
     some = materialize(lines.select("id", "th", "no", "sid").join(group, "sid").select("id", "th", "no", "label"), "some")
     discard(lines, buckets, members, placed, sets)
     firsts = some.groupBy("label").agg(F.min(place).alias("stays"))
-    gone = some.join(firsts, "label").where(~place.eqNullSafe(F.col("stays"))).select("id", "th", "no").distinct()
-    gone = materialize(gone.groupBy("id", "th").agg(F.collect_list("no").alias("gone")), "gone")
+    gone = some.join(firsts, "label").where(~place.eqNullSafe(F.col("stays"))).select("id", "th", "no")
+    gone = materialize(gone.groupBy("id", "th").agg(F.collect_set("no").alias("gone")), "gone")
     discard(some)
 
     key = [F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_th")]
@@ -215,5 +224,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text, no = F.col(text_col).cast("string"), F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
     parts = F.split(text, "\n", -1)
     lines_left = F.array_join(F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains(no, i), x)), lambda x: x.isNotNull()), "\n")
-    out = joined.withColumns({text_col: F.when(F.size(no) == 0, text).otherwise(lines_left), "n_lines": F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long"), "n_dropped": F.size(no).cast("long")})
+    out = joined.withColumns({text_col: F.when(F.size(no) == 0, text).otherwise(lines_left), "n_lines": F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"), "n_dropped": F.size(no).cast("long")})
     return out.drop("_gone")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,10 +43,11 @@ def link_members(members: DataFrame, facts: DataFrame, verified: Callable[[DataF
     the bucket's least are its hubs. facts (sid, n, bits): size and set_bits of every set. verified: of pairs (a, b) of
     sids, those with den * intersection >= num * union.
 
-    Each member is first compared with its buckets' hubs, then, in buckets that still span several components, with a
-    few drawn members. What is left after that are cross-component pairs, but only those that a bound admits: an item
-    whose bit is off in the other set is not shared, so of n items at most n less the bits that only this set has are.
-    The bound is never below the true intersection, so no link within a bucket is lost.
+    Each member is first compared with its buckets' hubs, then, in buckets whose other members still span several
+    components, with a few drawn members. What is left after that are cross-component pairs of members that were
+    neither, but only those that a bound admits: an item whose bit is off in the other set is not shared, so of n
+    items at most n less the bits that only this set has are. The bound is never below the true intersection, so no
+    link within a bucket is lost: a pair with a hub or a drawn member is settled in the round of that member.
     """
     hubs = members.where("prio = hub_prio").select("band", F.col("sid").alias("b"))
     star = materialize(members.join(hubs, "band").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct(), "star")
@@ -65,26 +68,27 @@ def link_members(members: DataFrame, facts: DataFrame, verified: Callable[[DataF
         admitted = admitted & condition
     second = lambda df: df.select("band", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "bands", "n", "bits")))
 
-    def open_buckets() -> DataFrame:
-        """The members of the buckets that by the links so far span several components."""
-        placed = members.select("band", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    def open_buckets(left: DataFrame) -> DataFrame:
+        """left (band, sid) of the buckets that by the links so far span several components."""
+        placed = left.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
         left = placed.join(mixed, "band").select("band", "sid", "label")
         left = left.join(left.groupBy("sid").agg(F.collect_set("band").alias("bands")), "sid")
         return materialize(left.join(facts, "sid").select("band", "sid", "label", "bands", "n", "bits"), "open")
 
     # A few drawn members of each open bucket are hubs of a second round: it links most of what can be linked.
-    known = open_buckets()
-    salted = known.select("band", "sid", F.posexplode(F.array(*(F.xxhash64("sid", F.lit(i)) for i in range(HUBS)))).alias("salt", "draw"))
-    drawn = salted.groupBy("band", "salt").agg(F.min("draw").alias("draw"))
-    drawn = salted.join(drawn, ["band", "salt", "draw"]).select("band", "sid").distinct()
-    pairs = known.join(second(known.join(drawn, ["band", "sid"])), "band").where(admitted)
+    first = open_buckets(members.where("prio <> hub_prio").select("band", "sid"))
+    draw = [F.xxhash64("sid", F.lit(i)) for i in range(HUBS)]
+    least = first.groupBy("band").agg(*(F.min(d).alias(f"d{i}") for i, d in enumerate(draw)))
+    is_drawn = reduce(or_, (d == F.col(f"d{i}") for i, d in enumerate(draw)))
+    drawn = materialize(first.select("band", "sid").join(least, "band").where(is_drawn).select("band", "sid"), "drawn")
+    pairs = first.join(second(first.join(drawn, ["band", "sid"])), "band").where(admitted)
     pairs = materialize(pairs.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b")).distinct(), "pairs")
     labels = _merged(labels, verified(pairs))
-    discard(star, known, pairs)
 
     # All that is left, each pair in the first of its common bands only.
-    known = open_buckets()
+    known = open_buckets(first.select("band", "sid").join(drawn, ["band", "sid"], "left_anti"))
+    discard(star, first, drawn, pairs)
     once = F.array_min(F.array_intersect("bands", "bands2")) == F.col("band")
     cross = known.join(second(known), "band").where((F.col("sid") < F.col("sid2")) & admitted & once)
     cross = materialize(cross.select(F.col("sid").alias("a"), F.col("sid2").alias("b")), "cross")

@@ -44,7 +44,7 @@ def fast_similarity_sketch(elements: np.ndarray, owner: np.ndarray, n: int, bins
     elements are 64-bit hashes, owner the set of each; repeats change nothing. In round i < bins every element is
     hashed to a bin with value i + u; in round i >= bins every element goes to bin i - bins. A set leaves after a
     round that has filled its bins, so all get filled in 2 * bins rounds. Earlier rounds have smaller values, so a
-    bin's minimum is what its first round put there. bins is a power of two, at most 128; an empty set stays EMPTY.
+    bin's minimum is what its first round put there. bins is at most 128; an empty set stays EMPTY.
     """
     sketch = np.full((n, bins), EMPTY, np.uint64)
     flat = sketch.reshape(-1)
@@ -52,7 +52,7 @@ def fast_similarity_sketch(elements: np.ndarray, owner: np.ndarray, n: int, bins
         if not len(elements):
             break
         h = mix(elements + np.uint64((i + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
-        spot = (h & np.uint64(bins - 1)).astype(np.int64) if i < bins else i - bins
+        spot = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64) if i < bins else i - bins
         np.minimum.at(flat, owner * bins + spot, (h >> np.uint64(8)) | np.uint64(i << 56))
         if i < 6 or i % 4 == 3 or i >= bins:  # a set that stays for longer is not changed: its bins are full
             open_ = (sketch == EMPTY).any(axis=1)[owner]

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, discard, in_bitmap, materialize, mix, slices
+from .common import bitmap, discard, in_bitmap, join_hot, materialize, mix, slices
 from .linking import link_members, set_bits
 from .sketch import band_keys, fast_similarity_sketch
 
@@ -212,10 +212,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "no")
     some = materialize(lines.select("id", "th", "no", "sid").join(group, "sid").select("id", "th", "no", "label"), "some")
     discard(lines, buckets, members, placed, sets)
-    firsts = some.groupBy("label").agg(F.min(place).alias("stays"))
-    gone = some.join(firsts, "label").where(~place.eqNullSafe(F.col("stays"))).select("id", "th", "no")
+    firsts = materialize(some.groupBy("label").agg(F.min(place).alias("stays"), F.count("*").alias("n")), "firsts")
+    gone = join_hot(some, firsts.drop("n"), "label", firsts.select("label", "n")).where(~place.eqNullSafe(F.col("stays"))).select("id", "th", "no")
     gone = materialize(gone.groupBy("id", "th").agg(F.collect_set("no").alias("gone")), "gone")
-    discard(some)
+    discard(some, firsts)
 
     key = [F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_th")]
     marked = docs.select("*", *key)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, join_hot, materialize
 from .components import connected_components
 
 #: Longs of a set's bits.
@@ -32,7 +32,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     found = connected_components(between)
     to = found.select(F.col("node").alias("label"), F.col("label").alias("new"))
-    moved = labels.join(to, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    moved = join_hot(labels, to, "label", labels.groupBy("label").agg(F.count("*").alias("n")), "left").select("node", F.coalesce("new", "label").alias("label"))
     return materialize(moved.unionByName(found.join(labels.select("node"), "node", "left_anti")), "labels")
 
 

@@ -1,6 +1,7 @@
 """Every query with SQL gives what DuckDB gives on the smallest data; properties that hold for any text."""
 
 import os
+import random
 import unicodedata
 from collections import Counter
 
@@ -10,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from textloom import queries as q
+from textloom.functions import bidi
 from textloom.functions import identity as ident
 from textloom.functions import text as tx
 
@@ -57,3 +59,21 @@ def test_decoding_never_fails(b):
 def test_linker_of_unicode_18():
     assert len(tx.segments_str("्̀क", "grapheme")) == 1
     assert len(tx.segments_str("A\r\nB", "grapheme")) == 3
+
+
+def test_bidi_levels_are_those_of_icu(spark):
+    """ICU skips the rules for texts of one direction, so only mixed ones are compared."""
+    _, brackets = bidi.pairs()
+    rnd, some = random.Random(7), 0
+    alphabet = "ab\u05d0\u05d1\u063912\u0663+,.$%() []<\t\u0300\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069\u200f \xad"
+    for _ in range(600):
+        t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 14)))
+        for direction, level in (("LTR", 0), ("RTL", 1), ("AUTO", 126)):
+            icu = spark._jvm.com.ibm.icu.text.Bidi()
+            icu.setPara(t, level, None)
+            if icu.getDirection() == 2:
+                base, levels, _ = bidi.resolve_levels(t, direction, brackets)
+                assert base == icu.getParaLevel()
+                assert all(a in (-1, b) for a, b in zip(levels, icu.getLevels(), strict=True)), ascii(t)
+                some += 1
+    assert some > 500

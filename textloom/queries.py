@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import bidi
 from .functions import codepoints as cp
 from .functions import identity as ident
+from .functions import security as sec
 from .functions import text as tx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -293,6 +295,41 @@ def idna_cases(spark, sf_dir):
     return d.select("t", F.col("h.output").alias("host"), F.col("h.errors").alias("errors"))
 
 
+_BIDI_REMOVED = r"[\x00-\x08\x0E-\x1B\x7F-\x84\x86-\x9F\xAD]"
+
+
+@_query(f"SELECT conv_id, turn, 'LTR' AS direction, CAST(length(regexp_replace(text,'{_BIDI_REMOVED}','','g')) AS BIGINT) AS n, 0 AS level, CASE WHEN text = '' THEN 0 ELSE 1 END AS n_runs FROM conversations")
+def bidi_conversations(spark, sf_dir):
+    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", bidi.bidi_resolve("text").alias("b"))
+    return d.select("conv_id", "turn", "b.direction", F.size("b.chars").cast("long").alias("n"), "b.level", F.size("b.runs").alias("n_runs"))
+
+
+@_query(_golden("('abc','0,0,0','0,1,2','abc'),('אבג','1,1,1','2,1,0','גבא'),('a(א)','0,0,1,0','0,1,2,3','a(א)'),('א(1)','1,1,2,1','3,2,1,0','(1)א'),('א 12','1,1,2,2','2,3,1,0','12 א')", "t,levels,visual,shown"))
+def bidi_cases(spark, sf_dir):
+    rows = [(x,) for x in ("abc", "אבג", "a(א)", "א(1)", "א 12")]
+    d = spark.createDataFrame(rows, "t string").select("t", bidi.bidi_resolve("t").alias("b"))
+    shown = F.transform("b.visual", lambda i: F.decode(F.unhex(F.lpad(F.hex(F.get("b.chars", i)["mirror"]), 8, "0")), "UTF-32"))
+    return d.select("t", F.array_join(F.transform("b.chars", lambda x: x["level"].cast("string")), ",").alias("levels"), F.array_join(F.col("b.visual").cast("array<string>"), ",").alias("visual"), F.array_join(shown, "").alias("shown"))
+
+
+@_query(_golden("('paypal','pаypаl',true),('','',false),('rn','m',true),('abc','abd',false),('O0','OO',true)", "a,b,ok"))
+def confusable_cases(spark, sf_dir):
+    rows = [("paypal", "pаypаl"), ("", ""), ("rn", "m"), ("abc", "abd"), ("O0", "OO")]
+    return spark.createDataFrame(rows, "a string, b string").withColumn("ok", sec.confusable_match("a", "b"))
+
+
+@_query("SELECT n_nationkey, replace(replace(replace(replace(n_name,'I','l'),'0','O'),'1','l'),'m','rn') AS skeleton FROM nation")
+def confusable_skeletons(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select("n_nationkey", sec.confusable_skeleton("n_name").alias("skeleton"))
+
+
+@_query(_golden("('😀','BASIC','FULLY_QUALIFIED',1,true),('1️⃣','KEYCAP','FULLY_QUALIFIED',3,true),('❤','BASIC','UNQUALIFIED',1,false),('👍🏽','MODIFIER','FULLY_QUALIFIED',2,true),('🇫🇷','FLAG','FULLY_QUALIFIED',2,true),('👩‍❤‍👨','ZWJ','MINIMALLY_QUALIFIED',5,false),('a',NULL,NULL,NULL,false)", "t,kind,qualification,n,rgi"))
+def emoji_cases(spark, sf_dir):
+    rows = [(x,) for x in ("😀", "1️⃣", "❤", "👍🏽", "🇫🇷", "👩‍❤‍👨", "a")]
+    d = spark.createDataFrame(rows, "t string").select("t", sec.emoji_sequence_info("t").alias("e"), sec.is_rgi_emoji("t").alias("rgi"))
+    return d.select("t", "e.kind", "e.qualification", F.col("e.count").alias("n"), "rgi")
+
+
 @_query()
 def codepoint_properties(spark, sf_dir):
     """All named binary properties over the code space."""

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from textloom import queries as q
 from textloom.functions import bidi
 from textloom.functions import identity as ident
+from textloom.functions import linebreak
 from textloom.functions import text as tx
 
 DATA = "/root/testdata/sf0.001"
@@ -77,3 +78,17 @@ def test_bidi_levels_are_those_of_icu(spark):
                 assert all(a in (-1, b) for a, b in zip(levels, icu.getLevels(), strict=True)), ascii(t)
                 some += 1
     assert some > 500
+
+
+def test_line_breaks_are_those_of_icu(spark):
+    """Without word-initial hyphens before letters, where the installed ICU has an older rule than the properties."""
+    jvm, rnd = spark._jvm, random.Random(3)
+    icu = jvm.com.ibm.icu.text.BreakIterator.getLineInstance(jvm.java.util.Locale.ROOT)
+    alphabet = [*"ab1 2,.()[]!?/%$«»\"“”‘’\n\r é　中文「」。ァ…​⁠ ́‍—가각①⌚￼", "\U0001F1E6", "\U0001F466", "\U0001F3FD", "\u1b05", "\u1b44", "\ua98f", "\ua9c0", "\u25cc"]
+    for _ in range(2000):
+        t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 9)))
+        icu.setText(t)
+        want = []
+        while (b := icu.next()) != -1:
+            want.append(len(t.encode("utf-16-le")[: 2 * b].decode("utf-16-le")))
+        assert [x["at"] for x in linebreak.line_breaks_str(t)] == want, ascii(t)

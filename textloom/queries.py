@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import bidi
 from .functions import codepoints as cp
 from .functions import identity as ident
+from .functions import linebreak as lb
 from .functions import security as sec
 from .functions import text as tx
 
@@ -330,6 +331,22 @@ def emoji_cases(spark, sf_dir):
     return d.select("t", "e.kind", "e.qualification", F.col("e.count").alias("n"), "rgi")
 
 
+_HARD = r"\r\n|[\n\x0B\f\r\x85\x{2028}\x{2029}]"
+
+
+@_query(f"SELECT conv_id, turn, CAST(len(regexp_extract_all(text,'{_HARD}')) + CASE WHEN text = '' OR regexp_matches(text,'[\\n\\x0B\\f\\r\\x85\\x{{2028}}\\x{{2029}}]$') THEN 0 ELSE 1 END AS BIGINT) AS n_mandatory FROM conversations")
+def line_breaks_mandatory(spark, sf_dir):
+    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", lb.line_breaks("text").alias("b"))
+    return d.select("conv_id", "turn", F.size(F.filter("b", lambda x: x["kind"] == "MANDATORY")).cast("long").alias("n_mandatory"))
+
+
+@_query(_golden("('Hello world','6A,11M'),('a-b 3.14','2A,4A,8M'),('x'||chr(13)||chr(10)||'y','3M,4M'),('中文。','1A,3M'),('(a) $5','4A,6M'),('','')", "t,breaks"))
+def line_break_cases(spark, sf_dir):
+    rows = [(x,) for x in ("Hello world", "a-b 3.14", "x\r\ny", "中文。", "(a) $5", "")]
+    d = spark.createDataFrame(rows, "t string").select("t", lb.line_breaks("t").alias("b"))
+    return d.select("t", F.array_join(F.transform("b", lambda x: F.concat(x["at"].cast("string"), F.left(x["kind"], F.lit(1)))), ",").alias("breaks"))
+
+
 @_query()
 def codepoint_properties(spark, sf_dir):
     """All named binary properties over the code space."""

@@ -14,6 +14,8 @@ from textloom import queries as q
 from textloom.functions import bidi
 from textloom.functions import identity as ident
 from textloom.functions import linebreak
+from textloom.functions import properties as props
+from textloom.functions import session
 from textloom.functions import text as tx
 
 DATA = "/root/testdata/sf0.001"
@@ -92,3 +94,21 @@ def test_line_breaks_are_those_of_icu(spark):
         while (b := icu.next()) != -1:
             want.append(len(t.encode("utf-16-le")[: 2 * b].decode("utf-16-le")))
         assert [x["at"] for x in linebreak.line_breaks_str(t)] == want, ascii(t)
+
+
+def test_session(spark):
+    assert session.get_locale(spark) == "en"
+    session.set_locale(spark, "tr")
+    with pytest.raises(ValueError):
+        session.set_locale(spark, "a-DE")
+    assert session.get_locale(spark) == "tr"
+    session.reset_locale(spark)
+    assert session.get_locale(spark) == "en"
+    assert session.version_number() == 0x10 and session.version() == "0.1.0"
+
+
+def test_property_ranges_cover_the_code_space(spark):
+    assert props.property_name("lb") == "Line_Break" and props.property_name("no such thing") == "Unknown"
+    for prop in ("Block", "Script", "East_Asian_Width", "Line_Break", "Canonical_Combining_Class"):
+        rs = props.enumerated_ranges(prop)
+        assert rs[0][0] == 0 and rs[-1][1] == 0x10FFFF and all(a[1] + 1 == b[0] for a, b in zip(rs, rs[1:], strict=False))

@@ -10,6 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import properties
 from .codepoints import ranges
 from .text import _col, _mapped, nfkc_casefold_str
 
@@ -60,24 +61,23 @@ def collation_compare(a, b, strength: str = "tertiary") -> Column:
     return F.when(x < y, -1).when(x > y, 1).otherwise(0)
 
 
-#: Scripts whose sets are resolved; others resolve to Zzzz.
-SCRIPTS = "Adlm Arab Armn Beng Bopo Cher Copt Cyrl Deva Ethi Geor Goth Grek Gujr Guru Hang Hani Hebr Hira Kana Khmr Knda Laoo Latn Mlym Mong Mymr Orya Sinh Syrc Taml Telu Thaa Thai Tibt".split()
+#: What a script implies in resolution.
 _AUGMENTED = {"Hani": ("Hanb", "Jpan", "Kore"), "Hira": ("Jpan",), "Kana": ("Jpan",), "Hang": ("Kore",), "Bopo": ("Hanb",)}
 
 
 @functools.lru_cache(maxsize=50_000)
-def _augmented(c: str) -> frozenset[str] | None:
+def _augmented(c: str, scripts: tuple[str, ...]) -> frozenset[str] | None:
     """Scripts of a character with what they imply; None for Common and Inherited: any."""
     if regex.match(r"[\p{scx=Zyyy}\p{scx=Zinh}]", c):
         return None
-    own = {s for s in SCRIPTS if regex.match(rf"\p{{scx={s}}}", c)} or {"Zzzz"}
+    own = {s for s in scripts if regex.match(rf"\p{{scx={s}}}", c)} or {"Zzzz"}
     return frozenset(own.union(*(_AUGMENTED.get(s, ()) for s in own)))
 
 
-def resolve_scripts_str(t: str) -> dict:
+def resolve_scripts_str(t: str, scripts: tuple[str, ...]) -> dict:
     out: frozenset[str] | None = None
     for c in set(t):
-        if (s := _augmented(c)) is not None:
+        if (s := _augmented(c, scripts)) is not None:
             out = s if out is None else out & s
     return {"kind": "ALL" if out is None else "RESOLVED" if out else "EMPTY", "scripts": sorted(out or ())}
 
@@ -85,7 +85,8 @@ def resolve_scripts_str(t: str) -> dict:
 def resolved_scripts(text) -> Column:
     """struct<kind, scripts>: the scripts that all characters share; EMPTY means mixed, ALL means common characters only."""
     kind = pa.struct([("kind", pa.string()), ("scripts", pa.list_(pa.string()))])
-    return _mapped(resolve_scripts_str, kind, "struct<kind:string,scripts:array<string>>")(_col(text))
+    known = properties.scripts()
+    return _mapped(lambda t: resolve_scripts_str(t, known), kind, "struct<kind:string,scripts:array<string>>")(_col(text))
 
 
 def is_identifier(text, xid: bool = False) -> Column:

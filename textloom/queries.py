@@ -12,7 +12,9 @@ from .functions import bidi
 from .functions import codepoints as cp
 from .functions import identity as ident
 from .functions import linebreak as lb
+from .functions import properties as pr
 from .functions import security as sec
+from .functions import session as ses
 from .functions import text as tx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -347,6 +349,25 @@ def line_break_cases(spark, sf_dir):
     return d.select("t", F.array_join(F.transform("b", lambda x: F.concat(x["at"].cast("string"), F.left(x["kind"], F.lit(1)))), ",").alias("breaks"))
 
 
+@_query("SELECT s, CASE s WHEN 0 THEN 'The operation completed successfully' WHEN 3 THEN 'The codepoint is not a valid Unicode scalar value' WHEN 8 THEN 'The input contains a malformed code-unit sequence' ELSE 'The status code is unknown' END AS message FROM (VALUES (-1),(0),(3),(8),(13)) t(s)")
+def status_messages(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in (-1, 0, 3, 8, 13)], "s int").select("s", ses.status_message("s").alias("message"))
+
+
+@_query(_golden("(65,'Basic Latin','Latin','Narrow','Latn',NULL),(178,'Latin-1 Supplement','Common','Ambiguous','Zyyy','2'),(189,'Latin-1 Supplement','Common','Ambiguous','Zyyy','1/2'),(1632,'Arabic','Arabic','Neutral','Arab,Thaa,Yezi','0'),(20013,'CJK Unified Ideographs','Han','Wide','Hani',NULL),(8544,'Number Forms','Latin','Ambiguous','Latn','1'),(1114112,NULL,NULL,NULL,NULL,NULL)", "cp,block,script,width,extensions,number"))
+def codepoint_value_cases(spark, sf_dir):
+    d = spark.createDataFrame([(x,) for x in (65, 178, 189, 1632, 20013, 8544, 1114112)], "cp int")
+    d = pr.with_property(pr.with_property(pr.codepoint_block(d, "cp"), "cp", "Script", "script"), "cp", "East_Asian_Width", "width")
+    return d.select("cp", "block", "script", "width", F.array_join(F.array_sort(pr.script_extensions("cp")), ",").alias("extensions"), pr.numeric_value("cp")["numeric"].alias("number"))
+
+
+@_query(f"SELECT cp, CASE WHEN cp < 128 THEN 'Basic Latin' WHEN cp < 256 THEN 'Latin-1 Supplement' WHEN cp < 384 THEN 'Latin Extended-A' WHEN cp BETWEEN 8192 AND 8303 THEN 'General Punctuation' ELSE 'other' END AS block, n FROM (SELECT unicode(c) AS cp, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents WHERE text <> '') GROUP BY 1)")
+def codepoint_blocks(spark, sf_dir):
+    d = pr.codepoint_block(codepoint_histogram(spark, sf_dir), "cp")
+    few = F.col("block").isin("Basic Latin", "Latin-1 Supplement", "Latin Extended-A", "General Punctuation")
+    return d.select("cp", F.when(few, F.col("block")).otherwise("other").alias("block"), "n")
+
+
 @_query()
 def codepoint_properties(spark, sf_dir):
     """All named binary properties over the code space."""

@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier one repeats; a document whose lines all go, goes."""
-    out = linededup.dedup_lines(docs).where((F.col("n_dropped") == 0) | (F.length("text") > 0))
+    out = linededup.dedup_lines(docs, **linededup.WHOLE).where((F.col("n_dropped") == 0) | (F.length("text") > 0))
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

@@ -23,6 +23,9 @@ from .sketch import band_keys, fast_similarity_sketch
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
+#: How op9_line_dedup and the pipeline call dedup_lines, whose own defaults leave short lines alone.
+WHOLE = {"equal_short": True}
+
 _ODD = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")
 
 
@@ -71,34 +74,37 @@ def _shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, owner
 
 
-def _chosen(texts: list[bytes | None], min_chars: int):
-    """(row, line number, normalised line) of lines long enough, by slices of the batch."""
+def _chosen(texts: list[bytes | None], min_chars: int, equal_short: bool = False):
+    """(row, line number, normalised line, long enough) of lines by slices of the batch; short ones only if equal_short."""
     texts = [t or b"" for t in texts]
     for i, j in slices([len(t) for t in texts], 1_000_000):
-        rows, nos, lines = [], [], []
+        rows, nos, lines, long = [], [], [], []
         for r in range(i, j):
             for no, s in enumerate(_normal_lines(texts[r])):
-                if len(s) >= 4 * min_chars or len(s) >= min_chars and len(s.decode()) >= min_chars:
+                enough = len(s) >= 4 * min_chars or len(s) >= min_chars and len(s.decode()) >= min_chars
+                if enough or equal_short and s:
                     rows.append(r)
                     nos.append(no)
                     lines.append(s)
+                    long.append(enough)
         if lines:
-            yield rows, nos, lines
+            yield rows, nos, lines, long
 
 
 def _name(line: bytes) -> bytes:
     return xxhash.xxh3_128_digest(line)
 
 
-def _signer(k: int, bands: int, rows: int, min_chars: int):
+def _signer(k: int, bands: int, rows: int, min_chars: int, equal_short: bool):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rs, nos, lines in _chosen(batch.column(2).cast(pa.binary()).to_pylist(), min_chars):
-                keys = band_keys(fast_similarity_sketch(*_shingles(lines, k), len(lines), bands * rows), rows)
+            for rs, nos, lines, long in _chosen(batch.column(2).cast(pa.binary()).to_pylist(), min_chars, equal_short):
+                signed = [s for s, x in zip(lines, long, strict=True) if x]  # short lines have a name only
+                keys = band_keys(fast_similarity_sketch(*_shingles(signed, k), len(signed), bands * rows), rows) if signed else np.zeros((0, bands), np.int64)
                 at = pa.array(rs, pa.int64())
                 names = [_name(s) for s in lines]
                 prio = np.frombuffer(b"".join(names), ">i8")[::2].astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(range(0, keys.size + 1, bands), pa.int32()), pa.array(np.ascontiguousarray(keys).reshape(-1)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(long) * bands)), pa.int32()), pa.array(np.ascontiguousarray(keys).reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(nos, pa.int32()), pa.array(names, pa.binary()), pa.array(prio), lists], names=["id", "th", "no", "sid", "prio", "bands"])
 
     return sign
@@ -123,7 +129,7 @@ def _fetcher(min_chars: int, words: np.ndarray):
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, lines in _chosen(batch.column(0).cast(pa.binary()).to_pylist(), min_chars):
+            for _, _, lines, _ in _chosen(batch.column(0).cast(pa.binary()).to_pylist(), min_chars):
                 names = [_name(s) for s in lines]
                 hit = in_bitmap(words, np.frombuffer(b"".join(names), ">u8")[::2].astype(np.uint64))
                 if some := {names[i]: lines[i] for i in np.flatnonzero(hit).tolist()}:
@@ -171,21 +177,21 @@ def _checker(k: int, num: int, den: int):
     return check
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, num: int = 80, den: int = 100, bands: int = 10, rows: int = 4, min_chars: int = 20, log2_bits: int = 22) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, num: int = 80, den: int = 100, bands: int = 10, rows: int = 4, min_chars: int = 20, log2_bits: int = 22, equal_short: bool = False) -> DataFrame:
     """docs with text_col rewritten, and n_lines and n_dropped (long) added, a row for each row.
 
     Lines are parts between line feeds, compared after lower-casing A-Z and collapsing ASCII white space, by the
     Jaccard similarity of their k-character shingles (linked if den * intersection >= num * union). Of each component
     the line of the smallest id (null last), then of the first place, stays; the others are cut out with their line
-    feed. Lines of fewer than min_chars characters say too little and always stay. Rows equal in id and text are one
-    document: each gets the same text. Null texts stay null, with 0 lines; a text whose lines all go is empty. Other
+    feed. Lines of fewer than min_chars characters are compared for equality only if equal_short, else they stay; blank
+    lines always stay. Rows equal in id and text are one document: each gets the same text. Null texts stay null, with 0 lines; a text whose lines all go is empty. Other
     columns pass through; columns named n_lines or n_dropped are replaced. A pair at similarity 0.8 is missed with
     probability 5e-3, at 0.9 with 3e-5 (10 bands of 4 bins).
     """
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.drop("n_lines", "n_dropped")
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text"))
-    lines = materialize(src.mapInArrow(_signer(k, bands, rows, min_chars), f"id {kind}, th bigint, no int, sid binary, prio bigint, bands array<bigint>"), "lines")
+    lines = materialize(src.mapInArrow(_signer(k, bands, rows, min_chars, equal_short), f"id {kind}, th bigint, no int, sid binary, prio bigint, bands array<bigint>"), "lines")
     buckets = materialize(lines.select("prio", F.explode("bands").alias("band")).groupBy("band").agg(F.min("prio").alias("hub_prio"), F.max("prio").alias("hi")).where("hub_prio <> hi").drop("hi"), "buckets")
     bits = bitmap(buckets, "band", log2_bits)
     picked = lines.select("sid", "prio", "bands").mapInArrow(_repeated(bits), "band bigint, sid binary, prio bigint").distinct()

@@ -48,7 +48,7 @@ def op8_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"), **linededup.WHOLE)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

@@ -11,3 +11,10 @@ def _left(spark, texts):
 def test_short_lines_are_compared_for_equality(spark):
     got = _left(spark, ["Yes.\n\n yes.\nno", "\nYES.\t\nNo\n\nYes!", "é", "É\né"])
     assert got == {0: "Yes.\n\nno", 1: "\n\nYes!", 2: "é", 3: "É"}
+
+
+def test_one_replaced_character_links_lines_of_seventy(spark):
+    line = "seventy characters with one replaced in the middle are 7-shingle kin.."
+    assert len(line) == 70
+    other = line[:35] + "#" + line[36:]
+    assert _left(spark, [line, other, line[:50], line[:25] + "#" + line[26:50]]) == {0: line, 2: line[:50], 3: line[:25] + "#" + line[26:50]}

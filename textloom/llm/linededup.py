@@ -23,8 +23,9 @@ from .sketch import band_keys, fast_similarity_sketch
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-#: How op9_line_dedup and the pipeline call dedup_lines, whose own defaults leave short lines alone.
-WHOLE = {"equal_short": True}
+#: How op9_line_dedup and the pipeline call dedup_lines, whose own defaults leave short lines alone and are stricter.
+#: With k=7 a character replaced in mid-line links lines of 69 or more characters, with k=8 of 79 or more.
+WHOLE = {"equal_short": True, "k": 7}
 
 _ODD = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")
 

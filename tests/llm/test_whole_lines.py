@@ -1,6 +1,11 @@
 """Line dedup as op9_line_dedup and the pipeline call it."""
 
+import inspect
+import random
+
 import corpus_pipeline
+from textloom.llm import linededup
+from textloom.llm.sketch import band_keys, fast_similarity_sketch
 
 
 def _left(spark, texts):
@@ -18,3 +23,13 @@ def test_one_replaced_character_links_lines_of_seventy(spark):
     assert len(line) == 70
     other = line[:35] + "#" + line[36:]
     assert _left(spark, [line, other, line[:50], line[:25] + "#" + line[26:50]]) == {0: line, 2: line[:50], 3: line[:25] + "#" + line[26:50]}
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    chosen = {n: p.default for n, p in inspect.signature(linededup.dedup_lines).parameters.items()} | linededup.WHOLE
+    r, k, bands, rows = random.Random(5), chosen["k"], chosen["bands"], chosen["rows"]
+    one = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(69)) for _ in range(4000)]
+    two = [x[:34] + "#" + x[35:] for x in one]
+    keys = [band_keys(fast_similarity_sketch(*linededup._shingles([x.encode() for x in lines], k), len(lines), bands * rows), rows) for lines in (one, two)]
+    assert all(len(x & y) == 56 and len(x | y) == 70 for x, y in zip(*([set(s.tolist()) for s in linededup._line_sets([x.encode() for x in lines], k)] for lines in (one, two)), strict=True))
+    assert int((keys[0] != keys[1]).all(axis=1).sum()) == 0

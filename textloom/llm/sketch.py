@@ -14,7 +14,9 @@ EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 def rolling(values: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each k consecutive values."""
     n = len(values) - k + 1
-    out = np.zeros(max(n, 0), np.uint64)
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
     for j in range(k):
         out += mix(values[j : j + n] + _MULT[j % 8]) * _MULT[(j + 3) % 8]
         out = (out << np.uint64(7)) | (out >> np.uint64(57))

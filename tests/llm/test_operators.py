@@ -77,10 +77,10 @@ def test_line_dedup(docs, rows):
     seen = {(r[0], r[1]) for r in rows}
     for i, t in seen:
         for no, line in enumerate((t or "").split("\n")):
-            if len(s := " ".join(x for x in re.split(r"[ \t\r\x0b\x0c]+", _lower(line)) if x)) >= 20:
+            if s := " ".join(x for x in re.split(r"[ \t\r\x0b\x0c]+", _lower(line)) if x):
                 lines[s].append((i is None, i or 0, no, t))
     names = list(lines)
-    comp = _components([{s[j : j + 8] for j in range(len(s) - 7)} for s in names], 80)
+    comp = _components([{s[j : j + 7] for j in range(len(s) - 6)} or {s} for s in names], 80)
     groups = defaultdict(list)
     for s, c in zip(names, comp, strict=True):
         groups[c] += lines[s]

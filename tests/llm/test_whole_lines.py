@@ -26,7 +26,7 @@ def test_one_replaced_character_links_lines_of_seventy(spark):
 
 
 def test_pairs_at_the_threshold_share_a_band():
-    chosen = {n: p.default for n, p in inspect.signature(linededup.dedup_lines).parameters.items()} | linededup.WHOLE
+    chosen = {n: p.default for n, p in inspect.signature(linededup.dedup_lines).parameters.items()}
     r, k, bands, rows = random.Random(5), chosen["k"], chosen["bands"], chosen["rows"]
     one = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(69)) for _ in range(4000)]
     two = [x[:34] + "#" + x[35:] for x in one]

@@ -84,14 +84,14 @@ def discard(*tables: DataFrame) -> None:
 def join_hot(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how: str = "inner", most: int = 500) -> DataFrame:
     """left.join(right, key, how) for a right side with one row per key at most, without gathering left's hot keys.
 
-    counts (key, n): left's rows by key. Keys with over 1/most of left's rows, fewer than `most` whatever the size, are
-    joined by broadcast; the others by shuffle. Skew joins of Spark go by compressed bytes and miss equal rows.
+    counts (key, n): left's rows by key, best materialized. Keys with over 1/most of left's rows, fewer than `most`
+    whatever the size, are joined by broadcast; the others by shuffle. Skew joins of Spark go by compressed bytes and
+    miss equal rows.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = materialize(counts.where(F.col("n") * most > F.lit(total)).select(key), "hot")
-    if hot.isEmpty():
+    total, top = counts.agg(F.sum("n"), F.max("n")).first()
+    if not total or top * most <= total:
         return left.join(right, key, how)
-    few = F.broadcast(hot)
+    few = F.broadcast(materialize(counts.where(F.col("n") * most > F.lit(total)).select(key), "hot"))
     warm = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how)
     return warm.unionByName(left.join(few, key, "left_anti").join(right, key, how))
 

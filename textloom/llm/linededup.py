@@ -1,10 +1,10 @@
 """Fuzzy line deduplication: character-shingle signatures, banding, exact Jaccard, distributed union-find.
 
-One pass cuts texts into lines and emits a 128-bit name and the band keys of each line's signature. Band keys that
-two different lines share are found by a map-side-combined aggregation; a bitmap of fixed size then picks the lines
-that have such keys, so that only those are joined. A second pass fetches these lines, every candidate is verified
-on its full shingle set, and union-find joins the links. One line per component stays: the first by document
-id, then by place. Lines equal after normalisation are one node from the start.
+One pass cuts texts into lines and names each by 128 bits; lines equal after normalisation are one node. A second
+pass signs them, once for a line that repeats within a task, and sends the band keys in packed blobs, of which only
+what two different lines share comes back (see banding). A third fetches the lines that share a key. Candidates are
+verified on their full shingle sets, and union-find joins the links. One line per component stays: the first by
+document id, then by place. No line is left out: one of fewer than k characters is a shingle of its own.
 """
 
 from __future__ import annotations
@@ -17,16 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .banding import PACKED_TYPE, bucket_bits, members_of, pack, pairs_of, shared_bands
 from .common import bitmap, discard, in_bitmap, join_hot, materialize, mix, slices
 from .linking import link_members, set_bits
 from .sketch import band_keys, fast_similarity_sketch
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-#: How op9_line_dedup and the pipeline call dedup_lines, whose own defaults leave short lines alone and are stricter.
-#: With k=7 a character replaced in mid-line links lines of 69 or more characters, with k=8 of 79 or more.
-WHOLE = {"equal_short": True, "k": 7}
-
 _ODD = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")
 
 
@@ -56,7 +53,7 @@ def _polynomial(cps: np.ndarray, k: int) -> np.ndarray:
 
 def _shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-character shingles of lines, and the line of each; a shorter line is one shingle."""
-    cps = np.frombuffer(b"\n".join(lines).decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    cps = np.frombuffer(b"\n".join(lines).decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     cuts = np.flatnonzero(cps == 10)
     starts = np.concatenate(([0], cuts + 1)).astype(np.int64)
     lengths = np.concatenate((cuts, [len(cps)])) - starts
@@ -75,80 +72,94 @@ def _shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, owner
 
 
-def _chosen(texts: list[bytes | None], min_chars: int, equal_short: bool = False):
-    """(row, line number, normalised line, long enough) of lines by slices of the batch; short ones only if equal_short."""
+#: Bytes of lines that are worked on at once: their arrays then fit into a processor's cache.
+SLICE = 200_000
+#: Names that a signer remembers, so that it signs a repeated line once.
+SEEN = 500_000
+
+
+def _lines(texts: list[bytes | None], limit: int = SLICE):
+    """(row, line number, normalised line) of the lines that are not blank, by slices of the batch."""
     texts = [t or b"" for t in texts]
-    for i, j in slices([len(t) for t in texts], 1_000_000):
-        rows, nos, lines, long = [], [], [], []
+    for i, j in slices([len(t) for t in texts], limit):
+        rows, nos, lines = [], [], []
         for r in range(i, j):
-            for no, s in enumerate(_normal_lines(texts[r])):
-                enough = len(s) >= 4 * min_chars or len(s) >= min_chars and len(s.decode()) >= min_chars
-                if enough or equal_short and s:
-                    rows.append(r)
-                    nos.append(no)
-                    lines.append(s)
-                    long.append(enough)
+            own = _normal_lines(texts[r])
+            if all(own):
+                rows += [r] * len(own)
+                nos += range(len(own))
+                lines += own
+            else:
+                for no, s in enumerate(own):
+                    if s:
+                        rows.append(r)
+                        nos.append(no)
+                        lines.append(s)
         if lines:
-            yield rows, nos, lines, long
-
+            yield rows, nos, lines
 
-def _name(line: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(line)
 
+def _names(lines: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """128-bit names, and their first halves as signed longs."""
+    names = [xxhash.xxh3_128_digest(x) for x in lines]
+    return names, np.frombuffer(b"".join(names), ">i8")[::2].astype(np.int64)
 
-def _signer(k: int, bands: int, rows: int, min_chars: int, equal_short: bool):
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rs, nos, lines, long in _chosen(batch.column(2).cast(pa.binary()).to_pylist(), min_chars, equal_short):
-                signed = [s for s, x in zip(lines, long, strict=True) if x]  # short lines have a name only
-                keys = band_keys(fast_similarity_sketch(*_shingles(signed, k), len(signed), bands * rows), rows) if signed else np.zeros((0, bands), np.int64)
-                at = pa.array(rs, pa.int64())
-                names = [_name(s) for s in lines]
-                prio = np.frombuffer(b"".join(names), ">i8")[::2].astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(long) * bands)), pa.int32()), pa.array(np.ascontiguousarray(keys).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(nos, pa.int32()), pa.array(names, pa.binary()), pa.array(prio), lists], names=["id", "th", "no", "sid", "prio", "bands"])
-
-    return sign
 
+def _namer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, nos, lines in _lines(batch.column(2).cast(pa.binary()).to_pylist(), 1_000_000):
+            at = pa.array(rows, pa.int64())
+            names, prio = _names(lines)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(nos, pa.int32()), pa.array(names, pa.binary()), pa.array(prio)], names=["id", "th", "no", "sid", "prio"])
 
-def _repeated(words: np.ndarray):
-    """(sid, prio, bands) -> (band, sid, prio) for the bands whose bit is set."""
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signer(k: int, bands: int, rows: int, bits: int):
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        seen: set[int] = set()
         for batch in batches:
-            lists = batch.column(2)
-            keys = lists.flatten().to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero(in_bitmap(words, keys.view(np.uint64)))
-            owner = pa.array(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), batch.column(0).take(owner), batch.column(1).take(owner)], names=["band", "sid", "prio"])
+            for _, _, lines in _lines(batch.column(0).cast(pa.binary()).to_pylist()):
+                _, prio = _names(lines)
+                fresh = [i for i, p in enumerate(prio.tolist()) if not (p in seen or seen.add(p))]
+                if fresh:
+                    some = [lines[i] for i in fresh]
+                    yield prio[fresh], band_keys(fast_similarity_sketch(*_shingles(some, k), len(some), bands * rows), rows)
+                if len(seen) > SEEN:
+                    seen.clear()
 
-    return pick
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pack(signed(batches), bits)
+
+    return sign
 
 
-def _fetcher(min_chars: int, words: np.ndarray):
-    """Texts -> (sid, line) of the lines whose name's bit is set, once per slice."""
+def _fetcher(words: np.ndarray | None):
+    """Texts, and with words None the numbers of lines -> (sid, prio, line) of lines: those whose name's bit is set, or those numbers'."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, lines, _ in _chosen(batch.column(0).cast(pa.binary()).to_pylist(), min_chars):
-                names = [_name(s) for s in lines]
-                hit = in_bitmap(words, np.frombuffer(b"".join(names), ">u8")[::2].astype(np.uint64))
-                if some := {names[i]: lines[i] for i in np.flatnonzero(hit).tolist()}:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.binary()), pa.array(list(some.values()), pa.binary()).cast(pa.string())], names=["sid", "line"])
+            wanted = None if words is not None else [set(x) for x in batch.column(1).to_pylist()]
+            for rows, nos, lines in _lines(batch.column(0).cast(pa.binary()).to_pylist(), 1_000_000):
+                if wanted is not None:
+                    lines = [s for r, no, s in zip(rows, nos, lines, strict=True) if no in wanted[r]]
+                names, prio = _names(lines)
+                at = range(len(lines)) if wanted is not None else np.flatnonzero(in_bitmap(words, prio.view(np.uint64))).tolist()
+                if some := {names[i]: i for i in at}:
+                    own = list(some.values())
+                    yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.binary()), pa.array(prio[own]), pa.array([lines[i] for i in own], pa.binary())], names=["sid", "prio", "line"])
 
     return fetch
 
 
 def _setter(k: int):
-    """(sid, line) -> (sid, line, n, bits) with the size and bits of the line's shingle set."""
+    """(sid, prio, line) -> the same with n and bits, the size and bits of the line's shingle set."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = batch.column(1).cast(pa.binary()).to_pylist()
-            for i, j in slices([len(s) for s in lines], 1_000_000):
+            lines = batch.column(2).to_pylist()
+            for i, j in slices([len(s) for s in lines], SLICE):
                 sets = _line_sets(lines[i:j], k)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_bits(s) for s in sets], pa.list_(pa.int64()))], names=["sid", "line", "n", "bits"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_bits(s) for s in sets], pa.list_(pa.int64()))], names=["sid", "prio", "line", "n", "bits"])
 
     return sets_of
 
@@ -164,9 +175,9 @@ def _checker(k: int, num: int, den: int):
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
+            left, right = (batch.column(i).to_pylist() for i in (2, 3))
             keep = np.zeros(len(left), bool)
-            for i, j in slices([len(x) + len(y) for x, y in zip(left, right, strict=True)], 1_000_000):
+            for i, j in slices([len(x) + len(y) for x, y in zip(left, right, strict=True)], SLICE):
                 lines = list({*left[i:j], *right[i:j]})
                 sets = dict(zip(lines, _line_sets(lines, k), strict=True))
                 for r in range(i, j):
@@ -178,47 +189,64 @@ def _checker(k: int, num: int, den: int):
     return check
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, num: int = 80, den: int = 100, bands: int = 24, rows: int = 4, min_chars: int = 20, log2_bits: int = 22, equal_short: bool = False) -> DataFrame:
+def _fetched(src: DataFrame, lines: DataFrame, wanted: DataFrame, bitmap_most: int) -> DataFrame:
+    """(sid, prio, line) of the lines whose prio is wanted, once each, and of a few more.
+
+    Of up to bitmap_most wanted lines, every worker gets a bitmap of eight times as many bits and looks through all
+    texts; more are looked up where they stand.
+    """
+    n = wanted.count()
+    if n <= bitmap_most:
+        bits = bitmap(wanted, "prio", max(16, (8 * n).bit_length()))
+        return src.select("text").mapInArrow(_fetcher(bits), "sid binary, prio bigint, line binary").dropDuplicates(["sid"])
+    places = lines.join(wanted, "prio").dropDuplicates(["sid"]).groupBy(F.col("id").alias("_i"), F.col("th").alias("_t")).agg(F.collect_set("no").alias("nos"))
+    found = src.join(places, src["id"].eqNullSafe(places["_i"]) & src["th"].eqNullSafe(places["_t"])).select("text", "nos")
+    return found.mapInArrow(_fetcher(None), "sid binary, prio bigint, line binary").dropDuplicates(["sid"])
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 7, num: int = 80, den: int = 100, bands: int = 24, rows: int = 4, bitmap_most: int = 1 << 19) -> DataFrame:
     """docs with text_col rewritten, and n_lines and n_dropped (long) added, a row for each row.
 
     Lines are parts between line feeds, compared after lower-casing A-Z and collapsing ASCII white space, by the
-    Jaccard similarity of their k-character shingles (linked if den * intersection >= num * union). Of each component
-    the line of the smallest id (null last), then of the first place, stays; the others are cut out with their line
-    feed. Lines of fewer than min_chars characters are compared for equality only if equal_short, else they stay; blank
-    lines always stay. Rows equal in id and text are one document: each gets the same text. Null texts stay null, with 0 lines; a text whose lines all go is empty. Other
-    columns pass through; columns named n_lines or n_dropped are replaced. A pair at similarity 0.8 is missed with
-    probability 3e-6, at 0.9 with 1e-11 (24 bands of 4 bins).
+    Jaccard similarity of their k-character shingles (linked if den * intersection >= num * union); a line of fewer
+    characters is one shingle, and equals only itself. Of each component the line of the smallest id (null last), then
+    of the first place, stays; the others are cut out with their line feed. Blank lines always stay. Rows equal in id
+    and text are one document: each gets the same text. Null texts stay null, with 0 lines; a text whose lines all go
+    is empty. Bytes that are not UTF-8 are compared as U+FFFD. Other columns pass through; columns named n_lines or
+    n_dropped are replaced. An empty table gives no rows. A pair at similarity 0.8 is missed with probability 3e-6, at
+    0.9 with 1e-11 (24 bands of 4 bins).
     """
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.drop("n_lines", "n_dropped")
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text"))
-    lines = materialize(src.mapInArrow(_signer(k, bands, rows, min_chars, equal_short), f"id {kind}, th bigint, no int, sid binary, prio bigint, bands array<bigint>"), "lines")
-    buckets = materialize(lines.select("prio", F.explode("bands").alias("band")).groupBy("band").agg(F.min("prio").alias("hub_prio"), F.max("prio").alias("hi")).where("hub_prio <> hi").drop("hi"), "buckets")
-    bits = bitmap(buckets, "band", log2_bits)
-    picked = lines.select("sid", "prio", "bands").mapInArrow(_repeated(bits), "band bigint, sid binary, prio bigint").distinct()
-    members = materialize(picked.join(buckets, "band"), "members")
-    wanted = bitmap(members.select("prio").distinct(), "prio", log2_bits)
-    fetched = src.select("text").mapInArrow(_fetcher(min_chars, wanted), "sid binary, line string").dropDuplicates(["sid"])
-    fetched = fetched.join(members.select("sid").distinct(), "sid", "left_semi")
-    sets = fetched.mapInArrow(_setter(k), "sid binary, line string, n bigint, bits array<bigint>")
+    lines = materialize(src.mapInArrow(_namer, f"id {kind}, th bigint, no int, sid binary, prio bigint"), "lines")
+    signed = src.select("text").mapInArrow(_signer(k, bands, rows, bucket_bits(spark, bands * lines.count())), PACKED_TYPE)
+    shared = materialize(shared_bands(signed), "shared")
+    wanted = materialize(shared.select(F.explode(F.array("a", "b")).alias("prio")).where("prio is not null").distinct(), "wanted")
+    fetched = _fetched(src, lines, wanted, bitmap_most).join(wanted, "prio", "left_semi")
+    sets = fetched.select("sid", "prio", "line").mapInArrow(_setter(k), "sid binary, prio bigint, line binary, n bigint, bits array<bigint>")
     # Longs as nodes from here on: they aggregate by hash, names would by sorting.
-    sets = materialize(sets.select(F.col("sid").alias("name"), "line", "n", "bits", F.monotonically_increasing_id().alias("sid")), "sets")
-    ids = sets.select("name", "sid")
-    placed = materialize(members.withColumnRenamed("sid", "name").join(ids, "name").drop("name"), "placed")
+    sets = materialize(sets.select(F.col("sid").alias("name"), "prio", "line", "n", "bits", F.monotonically_increasing_id().alias("sid")), "sets")
+    nodes = materialize(sets.select("prio", "sid", "name"), "nodes")
+    node = lambda c: nodes.select(F.col("prio").alias(c), F.col("sid").alias(f"n{c}"))
+    pairs = pairs_of(shared).join(node("a"), "a").join(node("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    members = members_of(shared).withColumnRenamed("order", "prio").join(nodes.select("prio", "sid"), "prio").select("band", "sid", "prio")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("sid").alias("a"), F.col("line").alias("x")), sets.select(F.col("sid").alias("b"), F.col("line").alias("y"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_checker(k, num, den), "a bigint, b bigint")
 
-    labels = link_members(placed, sets.select("sid", "n", "bits"), verified, num, den)
-    labels = labels.join(ids, labels["node"] == ids["sid"]).select(F.col("name").alias("sid"), "label")
+    labels = link_members(pairs, members, sets.select("sid", "n", "bits"), verified, num, den)
+    # A component goes by the name of its least node.
+    named = labels.join(nodes.select(F.col("sid").alias("node"), F.col("name").alias("sid")), "node").join(nodes.select(F.col("sid").alias("label"), F.col("name").alias("group")), "label").select("sid", "group")
 
     # Only lines of a component or with equal ones matter from here on.
     equal = lines.groupBy("sid").agg(F.count("*").alias("times")).where("times > 1").select("sid")
-    group = equal.join(labels, "sid", "full").select("sid", F.coalesce(F.col("label").cast("string").cast("binary"), "sid").alias("label"))
+    group = equal.join(named, "sid", "full").select("sid", F.coalesce("group", "sid").alias("label"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "no")
     some = materialize(lines.select("id", "th", "no", "sid").join(group, "sid").select("id", "th", "no", "label"), "some")
-    discard(lines, buckets, members, placed, sets)
+    discard(lines, shared, wanted, sets, nodes)
     firsts = materialize(some.groupBy("label").agg(F.min(place).alias("stays"), F.count("*").alias("n")), "firsts")
     gone = join_hot(some, firsts.drop("n"), "label", firsts.select("label", "n")).where(~place.eqNullSafe(F.col("stays"))).select("id", "th", "no")
     gone = materialize(gone.groupBy("id", "th").agg(F.collect_set("no").alias("gone")), "gone")

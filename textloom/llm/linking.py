@@ -1,4 +1,4 @@
-"""From band buckets to components of verified links, without all pairs of a bucket."""
+"""From shared bands to components of verified links, without all pairs of a large bucket."""
 
 from __future__ import annotations
 
@@ -13,17 +13,40 @@ from pyspark.sql import functions as F
 from .common import discard, join_hot, materialize
 from .components import connected_components
 
-#: Longs of a set's bits.
-BITS = 24
+#: Longs of the bits of a set of up to ROOM items; a larger set has a power of two times as many.
+BITS, ROOM = 24, 1500
 #: Hubs drawn from each bucket that is open after the first round.
 HUBS = 4
 
 
 def set_bits(items: np.ndarray) -> np.ndarray:
-    """64 * BITS bits of a set of uint64 hashes: bit i is on if an item falls on i."""
-    on = np.zeros(64 * BITS, bool)
-    on[((items >> np.uint64(32)) * np.uint64(64 * BITS) >> np.uint64(32)).astype(np.int64)] = True
-    return np.packbits(on).view(np.int64)
+    """Bits of a set of uint64 hashes, 64 * BITS for every ROOM items or fewer: bit i is on if an item falls on i.
+
+    A hash falls on its value modulo the number of bits, so the halves of a large set's bits, united, are those of half
+    the length.
+    """
+    size = 64 * BITS << max(0, -(-len(items) // ROOM) - 1).bit_length()
+    on = np.zeros(size, bool)
+    on[((items >> np.uint64(20)) % np.uint64(size)).astype(np.int64)] = True
+    return np.packbits(on, bitorder="little").view(np.int64)
+
+
+def _folded(bits: F.Column, to: F.Column) -> F.Column:
+    """The bits of a large set at the length `to`, at most a few halvings shorter."""
+    places = F.sequence(F.lit(0), to - 1)
+    times = F.sequence(F.lit(0), (F.size(bits) / to).cast("int") - 1)
+    return F.when(F.size(bits) == to, bits).otherwise(F.transform(places, lambda i: F.aggregate(times, F.lit(0).cast("long"), lambda x, j: x.bitwiseOR(F.get(bits, (i + j * to).cast("int"))))))
+
+
+def _only(x: str, y: str, places: range) -> F.Column:
+    """Bits of x that are off in y, at these longs."""
+    return sum((F.bit_count(F.get(F.col(x), F.lit(i)).bitwiseAND(F.bitwise_not(F.get(F.col(y), F.lit(i))))) for i in places), F.lit(0))
+
+
+def _only_long(x: str, y: str) -> F.Column:
+    to = F.least(F.size(x), F.size(y))
+    both = F.zip_with(_folded(F.col(x), to), _folded(F.col(y), to), lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+    return F.aggregate(both, F.lit(0), lambda s, v: s + v)
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -32,66 +55,76 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     found = connected_components(between)
     to = found.select(F.col("node").alias("label"), F.col("label").alias("new"))
-    moved = join_hot(labels, to, "label", labels.groupBy("label").agg(F.count("*").alias("n")), "left").select("node", F.coalesce("new", "label").alias("label"))
+    counts = materialize(labels.groupBy("label").agg(F.count("*").alias("n")), "counts")
+    moved = join_hot(labels, to, "label", counts, "left").select("node", F.coalesce("new", "label").alias("label"))
     return materialize(moved.unionByName(found.join(labels.select("node"), "node", "left_anti")), "labels")
 
 
-def link_members(members: DataFrame, facts: DataFrame, verified: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+def link_members(pairs: DataFrame, members: DataFrame, facts: DataFrame, verified: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """(node, label) for each sid linked with another one; label is the smallest sid of its component.
 
-    sids are longs. members (band, sid, prio, hub_prio): the sids of every bucket of two or more; the ones whose prio is
-    the bucket's least are its hubs. facts (sid, n, bits): size and set_bits of every set. verified: of pairs (a, b) of
-    sids, those with den * intersection >= num * union.
-
-    Each member is first compared with its buckets' hubs, then, in buckets whose other members still span several
-    components, with a few drawn members. What is left after that are cross-component pairs of members that were
-    neither, but only those that a bound admits: an item whose bit is off in the other set is not shared, so of n
-    items at most n less the bits that only this set has are. The bound is never below the true intersection, so no
-    link within a bucket is lost: a pair with a hub or a drawn member is settled in the round of that member.
+    sids are longs. pairs (a, b): candidates of small buckets. members (band, sid, prio): of large ones; the member of
+    the least prio is the bucket's hub. facts (sid, n, bits): size and set_bits of every set. verified: of pairs (a, b)
+    of sids, those with den * intersection >= num * union.
+
+    The pairs, and each member with its buckets' hubs, are compared first. Then, in buckets whose other members still
+    span several components, each with a few drawn members. What is left after that are cross-component pairs of
+    members that were neither: those between a bucket's largest component and the others and among the others, and of
+    them only what a bound admits. An item whose bit is off in the other set is not shared, so of n items at most n
+    less the bits that only this set has are. Bits grow with their set, so the bound does not fade for long ones. It is
+    never below the true intersection, so no link within a bucket is lost: a pair with a hub or a drawn member is
+    settled in the round of that member, a pair inside a component needs none.
     """
-    hubs = members.where("prio = hub_prio").select("band", F.col("sid").alias("b"))
-    star = materialize(members.join(hubs, "band").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct(), "star")
-    labels = materialize(connected_components(verified(star)), "labels")
+    members = materialize(members, "members")
+    many = not members.isEmpty()
+    if many:
+        hubs = materialize(members.groupBy("band").agg(F.min_by("sid", "prio").alias("hub"), F.count("*").alias("n")), "hubs")
+        star = join_hot(members, hubs.select("band", "hub"), "band", hubs.select("band", "n")).where("sid <> hub")
+        pairs = pairs.select("a", "b").unionByName(star.select(F.greatest("sid", "hub").alias("a"), F.least("sid", "hub").alias("b")))
+    pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    labels = materialize(connected_components(verified(pairs)), "labels")
+    discard(pairs)
+    if not many:
+        return labels
 
     def enough(common: F.Column) -> F.Column:
         """Whether this many common items could make a link: den * common >= num * (n + n2 - common)."""
         return common * (den + num) >= (F.col("n") + F.col("n2")) * num
 
-    def admits(places: range) -> list[F.Column]:
-        """What either set has that is not shared, by these longs of their bits, leaves enough."""
-        only = lambda x, y: sum((F.bit_count(F.get(F.col(x), F.lit(i)).bitwiseAND(F.bitwise_not(F.get(F.col(y), F.lit(i))))) for i in places), F.lit(0))
-        return [enough(F.col("n") - only("bits", "bits2")), enough(F.col("n2") - only("bits2", "bits"))]
-
-    # Cheap conditions first.
+    # Cheap conditions first; what either set has that is not shared must leave enough.
+    short = (F.size("bits") == BITS) & (F.size("bits2") == BITS)
     admitted = (F.col("label") != F.col("label2")) & enough(F.least("n", "n2"))
-    for condition in (*admits(range(4)), *admits(range(BITS))):
-        admitted = admitted & condition
-    second = lambda df: df.select("band", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "bands", "n", "bits")))
+    for x, y, n in (("bits", "bits2", "n"), ("bits2", "bits", "n2")):
+        admitted = admitted & F.when(short, enough(F.col(n) - _only(x, y, range(4)))).otherwise(True)
+    for x, y, n in (("bits", "bits2", "n"), ("bits2", "bits", "n2")):
+        admitted = admitted & F.when(short, enough(F.col(n) - _only(x, y, range(BITS)))).otherwise(enough(F.col(n) - _only_long(x, y)))
+    second = lambda df: df.select("band", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "n", "bits")))
 
     def open_buckets(left: DataFrame) -> DataFrame:
-        """left (band, sid) of the buckets that by the links so far span several components."""
-        placed = left.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        left = placed.join(mixed, "band").select("band", "sid", "label")
-        left = left.join(left.groupBy("sid").agg(F.collect_set("band").alias("bands")), "sid")
-        return materialize(left.join(facts, "sid").select("band", "sid", "label", "bands", "n", "bits"), "open")
+        """left (band, sid) of the buckets that by the links so far span several components; major is the largest."""
+        placed = left.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("band", "sid", F.coalesce("label", "sid").alias("label"))
+        parts = placed.groupBy("band", "label").agg(F.count("*").alias("c"))
+        mixed = materialize(parts.groupBy("band").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top")), "mixed")
+        some = mixed.where("k > 1").select("band", F.col("top.label").alias("major"))
+        return materialize(join_hot(placed, some, "band", mixed.select("band", "n")).join(facts, "sid"), "open")
 
     # A few drawn members of each open bucket are hubs of a second round: it links most of what can be linked.
-    first = open_buckets(members.where("prio <> hub_prio").select("band", "sid"))
+    rest = join_hot(members, hubs.select("band", "hub"), "band", hubs.select("band", "n")).where("sid <> hub").select("band", "sid")
+    first = open_buckets(rest)
     draw = [F.xxhash64("sid", F.lit(i)) for i in range(HUBS)]
-    least = first.groupBy("band").agg(*(F.min(d).alias(f"d{i}") for i, d in enumerate(draw)))
+    counts = materialize(first.groupBy("band").agg(F.count("*").alias("n"), *(F.min(d).alias(f"d{i}") for i, d in enumerate(draw))), "counts")
     is_drawn = reduce(or_, (d == F.col(f"d{i}") for i, d in enumerate(draw)))
-    drawn = materialize(first.select("band", "sid").join(least, "band").where(is_drawn).select("band", "sid"), "drawn")
-    pairs = first.join(second(first.join(drawn, ["band", "sid"])), "band").where(admitted)
+    drawn = materialize(join_hot(first, counts.drop("n"), "band", counts.select("band", "n")).where(is_drawn).select(*first.columns), "drawn")
+    pairs = first.join(second(drawn), "band").where(admitted)
     pairs = materialize(pairs.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b")).distinct(), "pairs")
     labels = _merged(labels, verified(pairs))
 
-    # All that is left, each pair in the first of its common bands only.
-    known = open_buckets(first.select("band", "sid").join(drawn, ["band", "sid"], "left_anti"))
-    discard(star, first, drawn, pairs)
-    once = F.array_min(F.array_intersect("bands", "bands2")) == F.col("band")
-    cross = known.join(second(known), "band").where((F.col("sid") < F.col("sid2")) & admitted & once)
-    cross = materialize(cross.select(F.col("sid").alias("a"), F.col("sid2").alias("b")), "cross")
+    # All that is left. Of two members of different components one at least is not of the largest.
+    known = open_buckets(first.select("band", "sid").join(drawn.select("band", "sid"), ["band", "sid"], "left_anti"))
+    discard(members, hubs, first, drawn, pairs)
+    once = (F.col("label2") == F.col("major")) | (F.col("sid") < F.col("sid2"))
+    cross = known.where("label <> major").join(second(known), "band").where(admitted & once)
+    cross = materialize(cross.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b")).distinct(), "cross")
     labels = _merged(labels, verified(cross))
     discard(known, cross)
     return labels

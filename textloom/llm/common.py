@@ -8,8 +8,10 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,24 +20,23 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 800_000
 
 
-#: Rows of an Arrow batch. Spark's default of 10,000 long texts would not fit beside a worker's own arrays.
+#: Rows that a worker turns into Python objects at once. Spark bounds the bytes of the batches themselves.
 BATCH_ROWS = 800
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Have Spark send Python workers at most BATCH_ROWS rows at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most BATCH_ROWS rows, without copying."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(i, BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one where unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a local session may leave it unset."""
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir")
     if told:
@@ -43,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -64,7 +67,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    bound_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -73,12 +75,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialize() wrote and nothing reads any more; the JVM may then drop their shuffle files."""
+    """Delete tables that materialize() wrote and nothing reads any more."""
     for df in tables:
         if path := getattr(df, "_textloom_path", None):
             _remove(df.sparkSession, path)
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how: str = "inner", most: int = 500) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import join_hot, materialize, mix
 
 #: Entries (key and order of a set) that a packer holds before it sends them, and a bucket before it thins them out.
 PACKED, HELD = 1 << 20, 1 << 22
@@ -112,7 +112,7 @@ class _Bucket:
         self.held.append((keys, orders))
         self.size += len(keys)
         if self.size > HELD:
-            yield from self._give(HOT)
+            yield from self._give(HOT, False)
 
     def _distinct(self) -> tuple[np.ndarray, np.ndarray]:
         keys, orders = (np.concatenate([h[i] for h in self.held]) for i in (0, 1))
@@ -122,15 +122,23 @@ class _Bucket:
         new[1:] = (keys[1:] != keys[:-1]) | (orders[1:] != orders[:-1])
         return keys[new], orders[new]
 
-    def _give(self, most: int) -> Iterator[pa.RecordBatch]:
-        """Give away the members of keys of over `most` sets, now and whenever more of them come."""
+    def _give(self, most: int, last: bool) -> Iterator[pa.RecordBatch]:
+        """Give away the members of keys of over `most` sets; unless this is the last time, more of them may come."""
         keys, orders = self._distinct()
         first, n = _runs(keys)
-        self.hot = np.union1d(self.hot, keys[first[n > most]])
-        out = np.isin(keys, self.hot)
-        if out.any():
-            yield _rows(orders[out], None, keys[out])
-        self.held, self.size = [(keys[~out], orders[~out])], int((~out).sum())
+        late = np.isin(keys, self.hot)
+        if last:
+            out = np.repeat(n > most, n) & ~late
+            if out.any():
+                yield _rows(orders[out], np.repeat(orders[first], n)[out], keys[out])
+        else:
+            self.hot = np.union1d(self.hot, keys[first[n > most]])
+            late = np.isin(keys, self.hot)
+            out = np.zeros(len(keys), bool)
+        if late.any():
+            yield _rows(orders[late], None, keys[late])
+        stay = ~(out | late)
+        self.held, self.size = [(keys[stay], orders[stay])], int(stay.sum())
 
     def close(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
@@ -142,7 +150,7 @@ class _Bucket:
             same = keys[1:] == keys[:-1]
             shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
             self.held = [(keys[shared], orders[shared])]
-        yield from self._give(FEW)
+        yield from self._give(FEW, True)
         keys, orders = self.held[0]
         first, n = _runs(keys)
         run = np.repeat(np.arange(len(first)), n)
@@ -175,8 +183,9 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_bands(packed: DataFrame) -> DataFrame:
     """PACKED_TYPE rows of pack() -> (a, b, band), all long.
 
-    A row with a null band is a pair of orders a and b of two sets that share a band key of few sets; a row with a null
-    b says that the set of order a has the key `band` of many. Rows repeat. Sets of equal order count as one.
+    A row with a null band is a pair of orders a and b of two sets that share a band key of few sets. Other rows say that
+    the set of order a has the key `band` of many, whose least order is b, or null where no single task saw them all.
+    Rows repeat. Sets of equal order count as one.
     """
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = packed.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
@@ -198,10 +207,15 @@ def packer(bits: int):
 
 
 def pairs_of(shared: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of a shared_bands() table."""
-    return shared.where("band is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """The distinct pairs (a, b), a > b, to compare first: of keys of few sets all, of the others each set with the hub."""
+    pairs = shared.where("b is not null and a <> b").select("a", "b")
+    hot = shared.where("b is null").select("a", "band").distinct()
+    hubs = materialize(hot.groupBy("band").agg(F.min("a").alias("b"), F.count("*").alias("n")), "hubs")
+    if not hubs.isEmpty():
+        pairs = pairs.unionByName(join_hot(hot, hubs.select("band", "b"), "band", hubs.select("band", "n")).where("a <> b").select("a", "b"))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def members_of(shared: DataFrame) -> DataFrame:
-    """The distinct members (order, band) of a shared_bands() table."""
-    return shared.where("band is not null").select(F.col("a").alias("order"), "band").distinct()
+    """(order, bands): each set with its keys of many sets, but for those whose hub it is."""
+    return shared.where("band is not null and (b is null or a <> b)").groupBy(F.col("a").alias("order")).agg(F.collect_set("band").alias("bands"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HashCache, bitmap, discard, in_bitmap, materialize, slices
+from .common import HashCache, bitmap, discard, in_bitmap, materialize, slices, small
 from .sketch import rolling
 
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of a text whose A-Z are lower-cased, as bytes: all else becomes a space.
@@ -43,7 +43,7 @@ def _windows(window: int, k: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
-        for batch in batches:
+        for batch in small(batches):
             rows, words_, tokens_, ks = [], [], [], []
             for r, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 ws = _words(t or b"")
@@ -65,7 +65,7 @@ def _windows(window: int, k: int):
 def _stretches(bitmaps: dict[int, np.ndarray]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for i, j in slices([len(t) for t in texts]):
                 words = [_words(t) for t in texts[i:j]]
@@ -101,7 +101,7 @@ def _tokens(ks: list[int]):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
-        for batch in batches:
+        for batch in small(batches):
             rows, pos, tok, kk = [], [], [], []
             for r, t in enumerate(batch.column(1).to_pylist()):
                 h = np.array([cache[w] for w in t.encode().split(b" ")], np.uint64)

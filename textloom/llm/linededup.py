@@ -18,11 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .banding import PACKED_TYPE, bucket_bits, members_of, pack, pairs_of, shared_bands
-from .common import bitmap, discard, in_bitmap, join_hot, materialize, mix, slices
+from .common import bitmap, discard, in_bitmap, join_hot, materialize, mix, slices, small
 from .linking import link_members, set_bits
 from .sketch import band_keys, fast_similarity_sketch
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+#: Characters that are hashed at once.
+_PART = 1 << 18
+#: A line of more bytes is compared by hashes, not by a set of strings.
+_LONG = 50_000
 
 _ODD = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")
 
@@ -34,12 +38,13 @@ def _normal_lines(text: bytes) -> list[bytes]:
 
 
 def _polynomial(cps: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k consecutive values, by doubling: log2(k) steps."""
+    """Hashes of all k consecutive values, of their own type, by doubling: log2(k) steps."""
     n = len(cps) - k + 1
+    kind = cps.dtype.type
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    out, have, block, width = None, 0, cps, 1  # block: hashes of `width` consecutive values
-    power = lambda m: np.uint64(pow(int(_BASE), m, 1 << 64))
+        return np.zeros(0, kind)
+    out, have, block, width = None, 0, cps * kind(0x85EBCA6B) ^ (cps >> kind(3)), 1  # block: hashes of `width` consecutive values
+    power = lambda m: kind(pow(_BASE, m, 1 << 8 * cps.itemsize))
     while True:
         if k & width:
             part = block[have : have + n]
@@ -51,13 +56,17 @@ def _polynomial(cps: np.ndarray, k: int) -> np.ndarray:
         width *= 2
 
 
+def _codes(text: bytes) -> np.ndarray:
+    return np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def _shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-character shingles of lines, and the line of each; a shorter line is one shingle."""
-    cps = np.frombuffer(b"\n".join(lines).decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    """32-bit hashes of the k-character shingles of lines, and the line of each; a shorter line is one shingle."""
+    cps = _codes(b"\n".join(lines))
     cuts = np.flatnonzero(cps == 10)
     starts = np.concatenate(([0], cuts + 1)).astype(np.int64)
     lengths = np.concatenate((cuts, [len(cps)])) - starts
-    h = _polynomial(cps, k)
+    h = np.concatenate([_polynomial(cps[i : i + _PART + k - 1], k) for i in range(0, max(1, len(cps) - k + 1), _PART)])
     counts = np.maximum(lengths - k + 1, 0)
     owner = np.repeat(np.arange(len(lines), dtype=np.int64), counts)
     inside = np.ones(len(h), bool)
@@ -67,7 +76,7 @@ def _shingles(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     out = h[inside]
     short = np.flatnonzero(counts == 0)
     if len(short):
-        own = np.array([xxhash.xxh3_64_intdigest(lines[i], seed=k) for i in short], np.uint64)
+        own = np.array([xxhash.xxh32_intdigest(lines[i], seed=k) for i in short], np.uint32)
         out, owner = np.concatenate((out, own)), np.concatenate((owner, short))
     return out, owner
 
@@ -106,7 +115,7 @@ def _names(lines: list[bytes]) -> tuple[list[bytes], np.ndarray]:
 
 
 def _namer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         for rows, nos, lines in _lines(batch.column(2).cast(pa.binary()).to_pylist(), 1_000_000):
             at = pa.array(rows, pa.int64())
             names, prio = _names(lines)
@@ -116,7 +125,7 @@ def _namer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _signer(k: int, bands: int, rows: int, bits: int):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in small(batches):
             for _, _, lines in _lines(batch.column(0).cast(pa.binary()).to_pylist()):
                 _, prio = _names(lines)
                 fresh = [i for i, p in enumerate(prio.tolist()) if not (p in seen or seen.add(p))]
@@ -136,55 +145,82 @@ def _fetcher(words: np.ndarray | None):
     """Texts, and with words None the numbers of lines -> (sid, prio, line) of lines: those whose name's bit is set, or those numbers'."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        seen: set[bytes] = set()
+        for batch in small(batches):
             wanted = None if words is not None else [set(x) for x in batch.column(1).to_pylist()]
             for rows, nos, lines in _lines(batch.column(0).cast(pa.binary()).to_pylist(), 1_000_000):
                 if wanted is not None:
                     lines = [s for r, no, s in zip(rows, nos, lines, strict=True) if no in wanted[r]]
                 names, prio = _names(lines)
                 at = range(len(lines)) if wanted is not None else np.flatnonzero(in_bitmap(words, prio.view(np.uint64))).tolist()
-                if some := {names[i]: i for i in at}:
-                    own = list(some.values())
-                    yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.binary()), pa.array(prio[own]), pa.array([lines[i] for i in own], pa.binary())], names=["sid", "prio", "line"])
+                if own := [i for i in at if not (names[i] in seen or seen.add(names[i]))]:
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in own], pa.binary()), pa.array(prio[own]), pa.array([lines[i] for i in own], pa.binary())], names=["sid", "prio", "line"])
+            if len(seen) > SEEN:
+                seen.clear()
 
     return fetch
 
 
-def _setter(k: int):
-    """(sid, prio, line) -> the same with n and bits, the size and bits of the line's shingle set."""
+def _line_set(line: bytes, k: int) -> set[str]:
+    """The k-character shingles of a line; a shorter line is one."""
+    t = line.decode("utf-8", "replace")
+    return {t[i : i + k] for i in range(len(t) - k + 1)} or {t}
+
+
+def _measurer(k: int):
+    """(sid, line, bands) -> (sid, bands, n, bits) with the size and bits of the line's shingle set."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            n, bits = [], []
+            for line in batch.column(1).to_pylist():
+                own = _hashed_set(line, k) if len(line) > 4 * k else np.array([xxhash.xxh3_64_intdigest(x) for x in _line_set(line, k)], np.uint64)
+                n.append(len(own))
+                bits.append(set_bits(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["sid", "bands", "n", "bits"])
+
+    return measure
+
+
+def _hashed_set(line: bytes, k: int) -> np.ndarray:
+    """64-bit hashes of the shingles of a line of many more than k characters, sorted."""
+    cps = _codes(line)
+    parts = (cps[i : i + _PART + k - 1].astype(np.uint64) for i in range(0, len(cps) - k + 1, _PART))
+    return np.unique(np.concatenate([np.unique(mix(_polynomial(p, k))) for p in parts]))
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines = batch.column(2).to_pylist()
-            for i, j in slices([len(s) for s in lines], SLICE):
-                sets = _line_sets(lines[i:j], k)
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_bits(s) for s in sets], pa.list_(pa.int64()))], names=["sid", "prio", "line", "n", "bits"])
 
-    return sets_of
+class _Sets(dict):
+    """line -> its shingle set; emptied when the lines have grown to the limit."""
 
+    def __init__(self, k: int, limit: int = 1_000_000):
+        self.k, self.limit, self.size = k, limit, 0
 
-def _line_sets(lines: list[bytes], k: int) -> list[np.ndarray]:
-    h, owner = _shingles(lines, k)
-    order = np.argsort(owner, kind="stable")
-    return [np.unique(p) for p in np.split(mix(h[order]), np.cumsum(np.bincount(owner, minlength=len(lines)))[:-1])]
+    def __missing__(self, line: bytes) -> set[str]:
+        if self.size > self.limit:
+            self.clear()
+            self.size = 0
+        own = self[line] = _line_set(line, self.k)
+        self.size += len(line)
+        return own
 
 
 def _checker(k: int, num: int, den: int):
     """(a, b, line of a, line of b) -> the pairs whose exact Jaccard similarity is enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (batch.column(i).to_pylist() for i in (2, 3))
-            keep = np.zeros(len(left), bool)
-            for i, j in slices([len(x) + len(y) for x, y in zip(left, right, strict=True)], SLICE):
-                lines = list({*left[i:j], *right[i:j]})
-                sets = dict(zip(lines, _line_sets(lines, k), strict=True))
-                for r in range(i, j):
-                    x, y = sets[left[r]], sets[right[r]]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[r] = den * common >= num * (len(x) + len(y) - common)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+        sets = _Sets(k)
+        for batch in small(batches):
+            keep = []
+            for left, right in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+                long = max(len(left), len(right)) > _LONG and min(len(left), len(right)) > 4 * k
+                x, y = (_hashed_set(left, k), _hashed_set(right, k)) if long else (sets[left], sets[right])
+                n, m = len(x), len(y)
+                if min(n, m) * den < num * max(n, m):  # the smaller set cannot share more than all it has
+                    keep.append(False)
+                    continue
+                common = len(np.intersect1d(x, y, assume_unique=True)) if long else len(x & y)
+                keep.append(common * den >= num * (n + m - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return check
 
@@ -212,7 +248,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     characters is one shingle, and equals only itself. Of each component the line of the smallest id (null last), then
     of the first place, stays; the others are cut out with their line feed. Blank lines always stay. Rows equal in id
     and text are one document: each gets the same text. Null texts stay null, with 0 lines; a text whose lines all go
-    is empty. Bytes that are not UTF-8 are compared as U+FFFD. Other columns pass through; columns named n_lines or
+    is empty. Bytes that are not UTF-8 are compared
+    as U+FFFD, and become that in a text that loses lines. Other columns pass through; columns named n_lines or
     n_dropped are replaced. An empty table gives no rows. A pair at similarity 0.8 is missed with probability 3e-6, at
     0.9 with 1e-11 (24 bands of 4 bins).
     """
@@ -223,21 +260,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = materialize(src.mapInArrow(_namer, f"id {kind}, th bigint, no int, sid binary, prio bigint"), "lines")
     signed = src.select("text").mapInArrow(_signer(k, bands, rows, bucket_bits(spark, bands * lines.count())), PACKED_TYPE)
     shared = materialize(shared_bands(signed), "shared")
-    wanted = materialize(shared.select(F.explode(F.array("a", "b")).alias("prio")).where("prio is not null").distinct(), "wanted")
+    pairs = materialize(pairs_of(shared), "pairs")
+    members = materialize(members_of(shared), "members")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("prio")).unionByName(members.select(F.col("order").alias("prio"))).distinct()
+    wanted = materialize(wanted, "wanted")
     fetched = _fetched(src, lines, wanted, bitmap_most).join(wanted, "prio", "left_semi")
-    sets = fetched.select("sid", "prio", "line").mapInArrow(_setter(k), "sid binary, prio bigint, line binary, n bigint, bits array<bigint>")
     # Longs as nodes from here on: they aggregate by hash, names would by sorting.
-    sets = materialize(sets.select(F.col("sid").alias("name"), "prio", "line", "n", "bits", F.monotonically_increasing_id().alias("sid")), "sets")
-    nodes = materialize(sets.select("prio", "sid", "name"), "nodes")
+    nodes = materialize(fetched.select("sid", "prio", "line").select(F.col("sid").alias("name"), "prio", "line", F.monotonically_increasing_id().alias("sid")), "nodes")
     node = lambda c: nodes.select(F.col("prio").alias(c), F.col("sid").alias(f"n{c}"))
-    pairs = pairs_of(shared).join(node("a"), "a").join(node("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    members = members_of(shared).withColumnRenamed("order", "prio").join(nodes.select("prio", "sid"), "prio").select("band", "sid", "prio")
+    pairs = pairs.join(node("a"), "a").join(node("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    sets = nodes.join(members.withColumnRenamed("order", "prio"), "prio").select("sid", "line", "bands")
+    sets = sets.mapInArrow(_measurer(k), "sid bigint, bands array<bigint>, n bigint, bits array<bigint>")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = sets.select(F.col("sid").alias("a"), F.col("line").alias("x")), sets.select(F.col("sid").alias("b"), F.col("line").alias("y"))
+        a, b = nodes.select(F.col("sid").alias("a"), F.col("line").alias("x")), nodes.select(F.col("sid").alias("b"), F.col("line").alias("y"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_checker(k, num, den), "a bigint, b bigint")
 
-    labels = link_members(pairs, members, sets.select("sid", "n", "bits"), verified, num, den)
+    labels = link_members(pairs, sets, verified, num, den)
     # A component goes by the name of its least node.
     named = labels.join(nodes.select(F.col("sid").alias("node"), F.col("name").alias("sid")), "node").join(nodes.select(F.col("sid").alias("label"), F.col("name").alias("group")), "label").select("sid", "group")
 
@@ -246,7 +285,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group = equal.join(named, "sid", "full").select("sid", F.coalesce("group", "sid").alias("label"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "no")
     some = materialize(lines.select("id", "th", "no", "sid").join(group, "sid").select("id", "th", "no", "label"), "some")
-    discard(lines, shared, wanted, sets, nodes)
+    discard(lines, shared, wanted, members, nodes)
     firsts = materialize(some.groupBy("label").agg(F.min(place).alias("stays"), F.count("*").alias("n")), "firsts")
     gone = join_hot(some, firsts.drop("n"), "label", firsts.select("label", "n")).where(~place.eqNullSafe(F.col("stays"))).select("id", "th", "no")
     gone = materialize(gone.groupBy("id", "th").agg(F.collect_set("no").alias("gone")), "gone")

@@ -60,32 +60,25 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(found.join(labels.select("node"), "node", "left_anti")), "labels")
 
 
-def link_members(pairs: DataFrame, members: DataFrame, facts: DataFrame, verified: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+def link_members(pairs: DataFrame, sets: DataFrame, verified: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """(node, label) for each sid linked with another one; label is the smallest sid of its component.
 
-    sids are longs. pairs (a, b): candidates of small buckets. members (band, sid, prio): of large ones; the member of
-    the least prio is the bucket's hub. facts (sid, n, bits): size and set_bits of every set. verified: of pairs (a, b)
-    of sids, those with den * intersection >= num * union.
-
-    The pairs, and each member with its buckets' hubs, are compared first. Then, in buckets whose other members still
-    span several components, each with a few drawn members. What is left after that are cross-component pairs of
-    members that were neither: those between a bucket's largest component and the others and among the others, and of
-    them only what a bound admits. An item whose bit is off in the other set is not shared, so of n items at most n
-    less the bits that only this set has are. Bits grow with their set, so the bound does not fade for long ones. It is
-    never below the true intersection, so no link within a bucket is lost: a pair with a hub or a drawn member is
-    settled in the round of that member, a pair inside a component needs none.
+    sids are longs. pairs (a, b): those to compare first. sets (sid, bands, n, bits): the sets in large buckets, without
+    their hubs, with the size and set_bits of each; pairs hold each of them with the hub. verified: of pairs (a, b) of
+    sids, those with den * intersection >= num * union.
+
+    After the first comparison, in buckets whose members still span several components, each is compared with a few
+    drawn members. What is left after that are cross-component pairs of members that were neither: those between a
+    bucket's largest component and the others and among the others, and of them only what a bound admits. An item whose
+    bit is off in the other set is not shared, so of n items at most n less the bits that only this set has are. Bits
+    grow with their set, so the bound does not fade for long ones. It is never below the true intersection, so no link
+    within a bucket is lost: a pair with a hub or a drawn member is settled in the round of that member, a pair inside a
+    component needs none.
     """
-    members = materialize(members, "members")
-    many = not members.isEmpty()
-    if many:
-        hubs = materialize(members.groupBy("band").agg(F.min_by("sid", "prio").alias("hub"), F.count("*").alias("n")), "hubs")
-        star = join_hot(members, hubs.select("band", "hub"), "band", hubs.select("band", "n")).where("sid <> hub")
-        pairs = pairs.select("a", "b").unionByName(star.select(F.greatest("sid", "hub").alias("a"), F.least("sid", "hub").alias("b")))
-    pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    pairs = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), "pairs")
+    sets = materialize(sets, "sets")
     labels = materialize(connected_components(verified(pairs)), "labels")
     discard(pairs)
-    if not many:
-        return labels
 
     def enough(common: F.Column) -> F.Column:
         """Whether this many common items could make a link: den * common >= num * (n + n2 - common)."""
@@ -100,17 +93,22 @@ def link_members(pairs: DataFrame, members: DataFrame, facts: DataFrame, verifie
         admitted = admitted & F.when(short, enough(F.col(n) - _only(x, y, range(BITS)))).otherwise(enough(F.col(n) - _only_long(x, y)))
     second = lambda df: df.select("band", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "n", "bits")))
 
-    def open_buckets(left: DataFrame) -> DataFrame:
-        """left (band, sid) of the buckets that by the links so far span several components; major is the largest."""
-        placed = left.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("band", "sid", F.coalesce("label", "sid").alias("label"))
-        parts = placed.groupBy("band", "label").agg(F.count("*").alias("c"))
-        mixed = materialize(parts.groupBy("band").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("top")), "mixed")
-        some = mixed.where("k > 1").select("band", F.col("top.label").alias("major"))
-        return materialize(join_hot(placed, some, "band", mixed.select("band", "n")).join(facts, "sid"), "open")
+    def open_buckets(sets: DataFrame) -> DataFrame:
+        """(band, sid, label, major, n, bits) of the buckets that still span several components; major is the largest."""
+        placed = sets.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        each = placed.select("sid", "label", F.explode("bands").alias("band"))
+        parts = each.groupBy("band", "label").agg(F.count("*").alias("c"))
+        mixed = parts.groupBy("band").agg(F.count("*").alias("k"), F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top")).where("k > 1")
+        mixed = materialize(mixed.select("band", F.col("size").alias("n"), F.col("top.label").alias("major")), "mixed")
+        if mixed.isEmpty():
+            return mixed
+        there = join_hot(each, mixed.select("band", "major"), "band", mixed.select("band", "n"))
+        return materialize(there.join(placed.select("sid", "n", "bits"), "sid"), "open")
 
     # A few drawn members of each open bucket are hubs of a second round: it links most of what can be linked.
-    rest = join_hot(members, hubs.select("band", "hub"), "band", hubs.select("band", "n")).where("sid <> hub").select("band", "sid")
-    first = open_buckets(rest)
+    first = open_buckets(sets)
+    if first.isEmpty():
+        return labels
     draw = [F.xxhash64("sid", F.lit(i)) for i in range(HUBS)]
     counts = materialize(first.groupBy("band").agg(F.count("*").alias("n"), *(F.min(d).alias(f"d{i}") for i, d in enumerate(draw))), "counts")
     is_drawn = reduce(or_, (d == F.col(f"d{i}") for i, d in enumerate(draw)))
@@ -120,11 +118,13 @@ def link_members(pairs: DataFrame, members: DataFrame, facts: DataFrame, verifie
     labels = _merged(labels, verified(pairs))
 
     # All that is left. Of two members of different components one at least is not of the largest.
-    known = open_buckets(first.select("band", "sid").join(drawn.select("band", "sid"), ["band", "sid"], "left_anti"))
-    discard(members, hubs, first, drawn, pairs)
-    once = (F.col("label2") == F.col("major")) | (F.col("sid") < F.col("sid2"))
-    cross = known.where("label <> major").join(second(known), "band").where(admitted & once)
-    cross = materialize(cross.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b")).distinct(), "cross")
-    labels = _merged(labels, verified(cross))
-    discard(known, cross)
+    left = first.select("band", "sid").join(drawn.select("band", "sid"), ["band", "sid"], "left_anti")
+    known = open_buckets(left.groupBy("sid").agg(F.collect_set("band").alias("bands")).join(sets.select("sid", "n", "bits"), "sid"))
+    if not known.isEmpty():
+        once = (F.col("label2") == F.col("major")) | (F.col("sid") < F.col("sid2"))
+        cross = known.where("label <> major").join(second(known), "band").where(admitted & once)
+        cross = materialize(cross.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b")).distinct(), "cross")
+        labels = _merged(labels, verified(cross))
+        discard(cross)
+    discard(sets, first, drawn, pairs, known)
     return labels

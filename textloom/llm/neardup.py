@@ -2,11 +2,12 @@
 
 1. One pass turns each text into its set of word-shingle hashes, the set's 128-bit name, and band keys of its fast
    similarity sketch. Texts with equal sets are one class; only classes are compared.
-2. Every member of a band bucket is compared with the bucket's hub (its most copied class), which is linear in the
-   bucket. A pair inside one component needs no further look.
-3. Buckets that still span several components give their cross-component pairs, bounded first by 1,536 bits of each
-   set. The bound is never below the true intersection, so no link is lost, and it stops all pairs of a large group
-   of loose copies from being emitted.
+2. Band keys travel in packed blobs, of which only what two classes share comes back (see banding). A key of few
+   classes gives their pairs; the members of one of many are compared with its hub, its most copied class, which is
+   linear in the bucket. A pair inside one component needs no further look.
+3. Buckets that still span several components give their cross-component pairs, bounded first by bits of each set, as
+   many as its size asks for. The bound is never below the true intersection, so no link is lost, and it stops all
+   pairs of a large group of loose copies from being emitted.
 4. Pairs are verified on full sets; large-star/small-star joins the links.
 
 Nothing is capped. With 32 bands of 4 bins a pair at similarity 0.85 is missed with probability 6e-11, at 0.8 with
@@ -22,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashCache, discard, materialize, slices
+from .banding import PACKED_TYPE, bucket_bits, members_of, packer, pairs_of, shared_bands
+from .common import HashCache, discard, materialize, slices, small
 from .linking import link_members, set_bits
 from .sketch import band_keys, sketch_sets, word_shingle_sets
 
@@ -30,7 +32,7 @@ from .sketch import band_keys, sketch_sets, word_shingle_sets
 def _signer(k: int, bins: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
             texts = [t or b"" for t in texts]
             for i, j in slices([len(t) for t in texts]):
@@ -46,7 +48,7 @@ def _signer(k: int, bins: int, rows: int):
 def _setter(k: int):
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
             for i, j in slices([len(t) for t in texts]):
                 sets = [s for s in word_shingle_sets(texts[i:j], k, cache) if len(s)]
@@ -72,27 +74,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return a row. A null id never becomes a component_id while the component has another id, and such a row is kept
     only if it has no linked row with an id. An empty table gives no rows. Other columns are not read.
     """
+    spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     signed = materialize(src.mapInArrow(_signer(k, bins, rows), f"id {kind}, sid binary, n bigint, bands array<bigint>"), "signed")
-    classes = materialize(signed.where("sid is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-
+    # Of sets that share a band key, the one with the most copies comes first: the hub of its bucket.
     high = F.conv(F.hex(F.substring("sid", 1, 6)), 16, 10).cast("long")
     order = F.shiftleft(F.lit(16383) - F.least(F.col("copies"), F.lit(16383)), 48) + high
-    banded = classes.select("sid", order.alias("prio"), F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("prio").alias("hub_prio"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = materialize(banded.join(buckets, "band"), "members")
-    wanted = members.select("sid").distinct().join(classes.select("sid", "rep"), "sid").select("rep").distinct()
-    texts = src.join(wanted, src["id"].eqNullSafe(wanted["rep"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_setter(k), "sid binary, items array<bigint>, bits array<bigint>").dropDuplicates(["sid"]).join(members.select("sid").distinct(), "sid", "left_semi")
+    classes = signed.where("sid is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = materialize(classes.select("sid", "rep", "bands", order.alias("order")), "classes")
+
+    shared = materialize(shared_bands(classes.select("order", "bands").mapInArrow(packer(bucket_bits(spark, bins // rows * classes.count())), PACKED_TYPE)), "shared")
+    pairs, members = materialize(pairs_of(shared), "pairs"), materialize(members_of(shared), "members")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("order")).unionByName(members.select("order")).distinct()
+    wanted = materialize(classes.select("order", "sid", "rep").join(wanted, "order"), "wanted")
+    reps = wanted.select(F.col("rep").alias("_rep")).distinct()
+    texts = src.join(reps, src["id"].eqNullSafe(reps["_rep"]), "left_semi").select("text")
+    sets = texts.mapInArrow(_setter(k), "sid binary, items array<bigint>, bits array<bigint>").dropDuplicates(["sid"]).join(wanted.select("sid", "order"), "sid")
     # Longs as nodes from here on: they aggregate by hash, names would by sorting.
-    sets = materialize(sets.select(F.col("sid").alias("name"), "items", "bits", F.monotonically_increasing_id().alias("sid")), "sets")
-    names = sets.select("name", "sid")
-    placed = materialize(members.withColumnRenamed("sid", "name").join(names, "name").drop("name"), "placed")
-    facts = sets.select("sid", F.size("items").cast("long").alias("n"), "bits")
-    linked = link_members(placed, facts, lambda pairs: _verified(pairs, sets, num, den), num, den)
+    sets = materialize(sets.select(F.col("sid").alias("name"), "order", "items", "bits", F.monotonically_increasing_id().alias("sid")), "sets")
+    names = materialize(sets.select("name", "order", "sid"), "names")
+    node = lambda c: names.select(F.col("order").alias(c), F.col("sid").alias(f"n{c}"))
+    found = pairs.join(node("a"), "a").join(node("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    large = members.join(sets.select("order", "sid", F.size("items").cast("long").alias("n"), "bits"), "order").select("sid", "bands", "n", "bits")
+    linked = link_members(found, large, lambda pairs: _verified(pairs, sets, num, den), num, den)
     labels = materialize(linked.join(names, linked["node"] == names["sid"]).select("name", "label"), "labels")
-    discard(members, placed, sets)
+    discard(shared, pairs, members, wanted, sets, names)
 
     # A component's id is the least of its classes' ids; classes without links are on their own.
     grouped = classes.select(F.col("sid").alias("name"), "rep").join(labels, "name")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -348,7 +348,7 @@ def crf_spans(texts: list[str], model: dict, cache: dict) -> list[list[tuple[str
 def _finder(model: dict):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Classes()
-        for batch in batches:
+        for batch in small(batches):
             counts, base, spans = [[] for _ in BASE_KINDS], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in slices([len(t) for t in texts]):

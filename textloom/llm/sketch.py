@@ -40,26 +40,53 @@ def word_shingle_sets(texts: list[bytes], k: int, cache: HashCache) -> list[np.n
     return out
 
 
+#: Elements that are hashed at once.
+_PART = 1 << 18
+
+
+def _round(elements: np.ndarray, i: int) -> np.ndarray:
+    """32-bit hashes of 32-bit elements for round i (finaliser of MurmurHash3), in place on a copy."""
+    h = elements ^ np.uint32((i + 1) * 0x9E3779B9 & 0xFFFFFFFF)
+    t = h >> np.uint32(16)
+    h ^= t
+    h *= np.uint32(0x85EBCA6B)
+    np.right_shift(h, np.uint32(13), out=t)
+    h ^= t
+    h *= np.uint32(0xC2B2AE35)
+    np.right_shift(h, np.uint32(16), out=t)
+    h ^= t
+    return h
+
+
 def fast_similarity_sketch(elements: np.ndarray, owner: np.ndarray, n: int, bins: int) -> np.ndarray:
     """Of n sets, one row of `bins` values each; two sets agree in a bin with about their Jaccard similarity.
 
-    elements are 64-bit hashes, owner the set of each; repeats change nothing. In round i < bins every element is
-    hashed to a bin with value i + u; in round i >= bins every element goes to bin i - bins. A set leaves after a
-    round that has filled its bins, so all get filled in 2 * bins rounds. Earlier rounds have smaller values, so a
-    bin's minimum is what its first round put there. bins is at most 128; an empty set stays EMPTY.
+    elements are 32-bit hashes, owner the set of each; repeats change nothing. In round i < bins every element is hashed
+    to a bin (the range its hash falls into) with value i + u; in round i >= bins every element goes to bin i - bins. A
+    set leaves after a round that has filled its bins, so all get filled in 2 * bins rounds. Earlier rounds have smaller
+    values, so a bin's minimum is what its first round put there. bins is at most 128; an empty set stays EMPTY.
     """
     sketch = np.full((n, bins), EMPTY, np.uint64)
     flat = sketch.reshape(-1)
+    first = owner * bins
     for i in range(2 * bins):
         if not len(elements):
             break
-        h = mix(elements + np.uint64((i + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
-        spot = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64) if i < bins else i - bins
-        np.minimum.at(flat, owner * bins + spot, (h >> np.uint64(8)) | np.uint64(i << 56))
+        for j in range(0, len(elements), _PART):
+            part = first[j : j + _PART]
+            h = _round(elements[j : j + _PART], i).astype(np.uint64)
+            if i < bins:
+                spot = ((h * np.uint64(bins)) >> np.uint64(32)).view(np.int64)
+                spot += part
+            else:
+                spot = part + (i - bins)
+            h |= np.uint64(i << 32)
+            np.minimum.at(flat, spot, h)
         if i < 6 or i % 4 == 3 or i >= bins:  # a set that stays for longer is not changed: its bins are full
-            open_ = (sketch == EMPTY).any(axis=1)[owner]
+            open_ = (sketch == EMPTY).any(axis=1)
             if not open_.all():
-                owner, elements = owner[open_], elements[open_]
+                stays = open_[owner]
+                owner, first, elements = owner[stays], first[stays], elements[stays]
     return sketch
 
 
@@ -67,7 +94,7 @@ def sketch_sets(sets: list[np.ndarray], bins: int) -> np.ndarray:
     if not sets:
         return np.full((0, bins), EMPTY, np.uint64)
     owner = np.repeat(np.arange(len(sets), dtype=np.int64), [len(s) for s in sets])
-    return fast_similarity_sketch(np.concatenate(sets), owner, len(sets), bins)
+    return fast_similarity_sketch((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32), owner, len(sets), bins)
 
 
 def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:

@@ -3,7 +3,8 @@
 An archive is a .warc.zst file: a skippable frame (magic 0x184D2A5D) that holds the dictionary, then each record as a
 frame of its own, so that any record can be read alone. Archives are written through Spark's text writer, hence to
 any file system Spark reaches: a frame is a row, and the writer's line separator is an empty skippable frame (magic
-0x184D2A50), which readers of Zstandard streams pass over.
+0x184D2A50), which readers of Zstandard streams pass over. No frame holds the separator's bytes, so Spark's text reader
+gives the frames back as rows: archives of any size are split among tasks and never held whole.
 """
 
 from __future__ import annotations
@@ -12,15 +13,20 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, scratch_path
+from .common import discard, materialize, scratch_path, small
 
 _SEPARATOR = "P*M\x18\0\0\0\0"
+_SEPARATOR_BYTES = _SEPARATOR.encode()
+#: ASCII characters that a header holds as they are; the others of a URL, and %, are percent-encoded.
+_URL_SAFE = "".join(chr(c) for c in range(0x20, 0x7F) if chr(c) != "%")
+_URN = "urn:textloom:page"
 _DICT_MAGIC = b"\x5d\x2a\x4d\x18"
 _CRLF = b"\r\n"
 
@@ -29,14 +35,23 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
+def _uid(page_id) -> str:
+    """The record id of a page. Characters that a header cannot hold are percent-encoded; a null id has none."""
+    return f"<{_URN}>" if page_id is None else f"<{_URN}:{quote(str(page_id), safe='')}>"
+
+
+def _page_id(uid: str | None) -> str | None:
+    return unquote(uid[len(_URN) + 2 : -1]) if uid and uid.startswith(f"<{_URN}:") else None
+
+
 def record(page_id, url, payload: bytes, digest: str, refers_to, date: str = "2026-01-01T00:00:00Z") -> bytes:
     """One WARC/1.1 record. A revisit has no block; what it leaves out is told by its headers."""
     revisit = refers_to is not None
-    uid = lambda x: f"<urn:textloom:page:{x}>"
+    uid = _uid
     block = b"" if revisit else b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {uid(page_id)}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        head.append("WARC-Target-URI: " + quote(url, safe=_URL_SAFE))
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {uid(refers_to)}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
@@ -67,19 +82,35 @@ def build_dictionary(samples: list[bytes], size: int = 64 * 1024) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _frame(coder: zstandard.ZstdCompressor, raw: bytes) -> bytes:
+    """The record as one frame that does not hold the separator."""
+    frame = coder.compress(raw)
+    if _SEPARATOR_BYTES not in frame:
+        return frame
+    # Literals of the record: a block that ends within each of them parts them by the next block's header.
+    out, at = coder.compressobj(), 0
+    parts = []
+    while (i := raw.find(_SEPARATOR_BYTES, at)) >= 0:
+        parts += [out.compress(raw[at : i + 4]), out.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)]
+        at = i + 4
+    frame = b"".join([*parts, out.compress(raw[at:]), out.flush()])
+    if _SEPARATOR_BYTES in frame:
+        raise ValueError("a frame holds the separator of frames")
+    return frame
+
+
 def _packer(dictionary: bytes, level: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, first = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True), True
-        for batch in batches:
-            c = batch.to_pydict()
+        coder, first = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None), True
+        for batch in small(batches):
             frames, size = [], 0
-            for page_id, url, html, digest, ref in zip(c["page_id"], c["url"], c["payload"], c["digest"], c["refers_to"], strict=True):
+            for page_id, url, html, digest, ref in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
                 if first:
                     frames.append(_DICT_MAGIC + struct.pack("<I", len(dictionary)) + dictionary)
                     first = False
-                frames.append(coder.compress(record(page_id, url, html or b"", digest, ref)))
+                frames.append(_frame(coder, record(page_id, url, html or b"", digest, ref)))
                 size += len(frames[-1])
-                if size > 8_000_000:
+                if size > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
                     frames, size = [], 0
             if frames:
@@ -117,35 +148,59 @@ def _frame_end(data: bytes, at: int) -> int:
             return pos + 4 * (flags >> 2 & 1)
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Decoder:
+    """Decompresses frames by the dictionaries of their archives; those of one number are tried in turn."""
+
+    def __init__(self, dictionaries: list[bytes]):
+        self.by_id: dict[int, list[zstandard.ZstdDecompressor]] = {0: [zstandard.ZstdDecompressor()]}
+        for d in dictionaries:
+            made = zstandard.ZstdCompressionDict(d)
+            self.by_id.setdefault(made.dict_id(), []).insert(0, zstandard.ZstdDecompressor(dict_data=made))
+
+    def __call__(self, frame: bytes) -> dict:
+        error: Exception = ValueError("no dictionary for a frame")
+        for coder in self.by_id.get(zstandard.get_frame_parameters(frame).dict_id, ()):
+            try:
+                return parse_record(coder.decompressobj().decompress(frame))
+            except (zstandard.ZstdError, ValueError) as e:
+                error = e
+        raise error
+
+
+def _unpacker(dictionaries: list[bytes]):
     names = ["record_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
-    plain = lambda x: x and x.removeprefix("<urn:textloom:page:").removesuffix(">")
-    for batch in batches:
-        for data in batch.column(0).to_pylist():
-            dictionary, frames = split_frames(data)
-            coder, rows = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None), []
-            for f in frames:
-                r = parse_record(coder.decompress(f))
-                digest, n, body = r["warc-payload-digest"].removeprefix("sha1:"), int(r["x-payload-length"]), r["payload"]
-                rows.append((plain(r["warc-record-id"]), r.get("warc-target-uri"), n, digest, r["warc-type"], plain(r.get("warc-refers-to")), body is None or (len(body) == n and base32_sha1(body) == digest)))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = _Decoder(dictionaries)
+        for batch in small(batches):
+            rows = []
+            for frame in batch.column(0).to_pylist():
+                if frame and struct.unpack_from("<I", frame)[0] & 0xFFFFFFF0 != 0x184D2A50:
+                    r = decode(frame)
+                    digest, n, body, url = r["warc-payload-digest"].removeprefix("sha1:"), int(r["x-payload-length"]), r["payload"], r.get("warc-target-uri")
+                    rows.append((_page_id(r["warc-record-id"]), url and unquote(url), n, digest, r["warc-type"], _page_id(r.get("warc-refers-to")), body is None or (len(body) == n and base32_sha1(body) == digest)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=names)
 
+    return unpack
+
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         body = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in body], pa.int64()), pa.array([base32_sha1(x) for x in body]), pa.array([hashlib.sha256(x).digest() for x in body], pa.binary())], names=["page_id", "n", "digest", "full"])
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, per_archive: int = 32 << 20, samples: int = 400, level: int = 3) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, per_archive: int = 1 << 30, samples: int = 400, sample_bytes: int = 100_000, level: int = 3) -> None:
     """Write a record for each row of pages, as .warc.zst archives in the folder `path`.
 
     Of rows with equal payloads (UTF-8 of the html, null as empty) of at least min_bytes, the one with the smallest id
     is the response, the others are revisits of it; of rows that share that id too, one is the response. Smaller
-    payloads are all responses. A null id is larger than any other and its record is named `None`. The dictionary is
-    built from the records of the `samples` pages with the smallest hashes of their ids. An archive holds about
-    per_archive bytes before compression. An empty table writes no archive.
+    payloads are all responses. A null id is larger than any other. The dictionary is built from the first sample_bytes
+    of the records of the `samples` pages with the smallest hashes of their ids, a table of bounded size; every record
+    is written whole. Each task writes an archive of what it has read; small ones are joined as long as there are more
+    than one of per_archive bytes, before compression, or one for each core. Nulls in url leave its header out. An empty
+    table writes no archive; repeated rows each get a record; other columns are not read.
     """
     spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
@@ -157,7 +212,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     twice = ids.where(F.col("page_id").eqNullSafe(F.col("first"))).groupBy("page_id", "digest").agg(F.count("*").alias("c")).where("c > 1").select("page_id", "digest", F.lit(True).alias("again"))
     refs = ids.select("page_id", "digest", "first").distinct().join(twice, ["page_id", "digest"], "left")
     total = known.agg(F.sum("n")).first()[0] or 0
-    body = src.withColumn("payload", F.encode(F.coalesce("html", F.lit("")), "UTF-8")).withColumn("digest", _digest_column("payload"))
+    body = src.withColumn("payload", F.coalesce("html", F.lit("")).cast("binary")).withColumn("digest", _digest_column("payload"))
     r = refs.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first", "again")
     body = body.join(r, body["page_id"].eqNullSafe(r["_p"]) & (body["digest"] == r["_d"]), "left")
     lone, many = body.where(F.col("again").isNull()), body.where(F.col("again"))
@@ -169,9 +224,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         out = out.unionByName(many.withColumn("place", place).select(*cols, ref(F.col("place") > 1).alias("refers_to")))
     # Ids first, pages then: a sort that carries pages would send every task's candidates to the driver.
     some = src.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(samples)
-    sample = src.join(F.broadcast(some), "page_id").select("page_id", "url", "html").limit(2 * samples).collect()
-    dictionary = build_dictionary([record(x["page_id"], x["url"], b := (x["html"] or "").encode(), base32_sha1(b), None) for x in sample])
-    frames = out.repartition(max(1, -(-total // per_archive)), F.xxhash64("page_id")).mapInArrow(_packer(dictionary, level), "frame binary")
+    head = F.substring(F.coalesce("html", F.lit("")).cast("binary"), 1, sample_bytes)
+    sample = src.join(F.broadcast(some), "page_id").select("page_id", "url", head.alias("head")).limit(2 * samples).collect()
+    dictionary = build_dictionary([record(x["page_id"], x["url"], b := bytes(x["head"]), base32_sha1(b), None) for x in sample])
+    frames = out.coalesce(max(spark.sparkContext.defaultParallelism, -(-total // per_archive))).mapInArrow(_packer(dictionary, level), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", _SEPARATOR).text(path)
     discard(known, ids)
 
@@ -188,9 +244,14 @@ def _digest_column(payload: str) -> F.Column:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, url, payload_bytes, payload_digest, record_type, refers_to, intact) of each record below path."""
+    """(record_id, url, payload_bytes, payload_digest, record_type, refers_to, intact) of each record below path.
+
+    record_id and refers_to are the pages' ids as text. An empty folder gives no rows.
+    """
     kind = "record_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, intact boolean"
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(_unpack, kind)
+    frames = spark.read.option("lineSep", _SEPARATOR).option("pathGlobFilter", "part-*").text(path).select(F.col("value").cast("binary").alias("frame"))
+    heads = frames.where(F.substring("frame", 1, 4) == F.lit(_DICT_MAGIC)).distinct().collect()  # one for each writing
+    return frames.mapInArrow(_unpacker([bytes(r["frame"])[8:] for r in heads if len(r["frame"]) > 8]), kind)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", **options) -> DataFrame:
@@ -202,6 +263,6 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", **options) -> DataF
     path = scratch_path(spark, "warc")
     write_archives(pages, path, id_col=id_col, **options)
     kind = pages.schema[id_col].dataType
-    id_ = lambda c: F.when(F.col(c) != "None", F.col(c).cast(kind))
+    id_ = lambda c: F.col(c).cast(kind)
     rows = read_archives(spark, path).where(F.when(F.col("intact"), F.lit(True)).otherwise(F.raise_error(F.lit("archive damaged")).cast("boolean")))
     return rows.select(id_("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", id_("refers_to").alias("refers_to"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory
+from .common import release_memory, small
 
 DIM = 1 << 18
 #: Everything but letters, digits and bytes of non-ASCII characters parts words; . ! ? and line feeds part sentences.
@@ -29,8 +29,18 @@ def _features(word: bytes) -> list[int]:
     return [xxhash.xxh32_intdigest(p) & (DIM - 1) for p in parts]
 
 
+#: Full stops, exclamation and question marks of other scripts.
+_ENDS = [c.encode() for c in "。！？｡؟۔।॥…"]
+
+
 def _sentences(text: bytes) -> list[bytes]:
-    return text.translate(_TABLE).split(b"\n")
+    """The sentences, each as long as in the text; the bytes between two of them are one mark's."""
+    plain = text.translate(_TABLE)
+    if not text.isascii():
+        for mark in _ENDS:
+            if mark in plain:
+                plain = plain.replace(mark, b"\n" + b" " * (len(mark) - 1))
+    return plain.split(b"\n")
 
 
 def held_out(doc_id) -> F.Column:
@@ -86,10 +96,10 @@ def _train(texts: list[bytes], y: np.ndarray, weight: np.ndarray, rounds: int, l
     return w, float(bias)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_each: int = 1500, rounds: int = 250, l2: float = 2e-4, rate: float = 0.05) -> dict:
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_each: int = 1500, max_bytes: int = 200_000, rounds: int = 250, l2: float = 2e-4, rate: float = 0.05) -> dict:
     """A model from at most max_each labelled documents of either label, the first by crc32 of the id.
 
-    Rows held out (crc32 mod 4 = 2), unlabelled or absent from docs are not used. The two labels are weighed by how
+    What is learned from is bounded: max_bytes of a text, one text of an id. Rows held out (crc32 mod 4 = 2), unlabelled or absent from docs are not used. The two labels are weighed by how
     many labels each has in the whole table. Without both labels the model scores every document as the bias says.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
@@ -100,8 +110,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(*rank).limit(max_each)
         chosen = part if chosen is None else chosen.unionByName(part)
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = text.join(F.broadcast(chosen), "id").select("y", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), "id").collect()
+    text = docs.select(F.col(id_col).alias("id"), F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 1, max_bytes).alias("text"))
+    # Rows that share an id share its label; the driver gets one of them, the first by its hash.
+    rows = text.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     rows.sort(key=lambda r: (str(r["id"]), r["text"]))
     y = np.array([r["y"] for r in rows], int)
     taken = np.bincount(y, minlength=2)
@@ -129,16 +140,34 @@ class _Weights(dict):
         return v
 
 
-def _scorer(model: dict):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Scorer:
+    """Scores texts; one for all batches of a task, so that weights and words are looked up once."""
+
+    def __init__(self, model: dict):
         w = np.zeros(DIM)
         w[model["at"]] = model["w"]
-        cache, bias = _Weights(w), model["bias"]
-        for batch in batches:
+        self.cache, self.bias = _Weights(w), model["bias"]
+
+    def sentences(self, text: bytes) -> list[tuple[bytes, float]]:
+        """Each sentence and its log odds; wordless ones are out of the question."""
+        return [(s, self.bias + sum(map(self.cache.__getitem__, ws)) if (ws := s.split()) else -60.0) for s in _sentences(text)]
+
+    def odds(self, text: bytes | None) -> np.ndarray:
+        return np.array([z for _, z in self.sentences(text or b"")])
+
+
+def _noisy_or(z: np.ndarray) -> float:
+    return float(-np.expm1(-np.logaddexp(0, z).sum()))
+
+
+def _scorer(model: dict):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(model)
+        for batch in small(batches):
             scores, worst, top, flagged = [], [], [], []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
-                z = np.array([bias + sum(map(cache.__getitem__, ws)) if (ws := s.split()) else -60.0 for s in _sentences(t or b"")])
-                scores.append(float(-np.expm1(-np.logaddexp(0, z).sum())))
+                z = scorer.odds(t)
+                scores.append(_noisy_or(z))
                 k = int(z.argmax())
                 worst.append(k)
                 top.append(float(1 / (1 + np.exp(-z[k]))))
@@ -161,47 +190,51 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
 
 def _locator(model: dict, threshold: float):
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.zeros(DIM)
-        w[model["at"]] = model["w"]
-        cache, bias = _Weights(w), model["bias"]
-        for batch in batches:
-            ids, starts, ends, ps, rows = [], [], [], [], []
+        scorer = _Scorer(model)
+        for batch in small(batches):
+            owners, starts, ends, ps = [], [], [], []
             for r, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 at, raw = 0, t or b""
-                for s in _sentences(raw):
-                    if ws := s.split():
-                        p = 1 / (1 + np.exp(-(bias + sum(map(cache.__getitem__, ws)))))
-                        if p >= threshold:
-                            a = len(raw[:at].decode("utf-8", "ignore"))
-                            rows.append(r)
-                            starts.append(a)
-                            ends.append(a + len(raw[at : at + len(s)].decode("utf-8", "ignore")))
-                            ps.append(float(p))
+                seen = chars = 0  # bytes of the text whose code points are counted
+                for s, z in scorer.sentences(raw):
+                    if (p := 1 / (1 + np.exp(-z))) >= threshold:
+                        a, b = at + len(s) - len(s.lstrip()), at + len(s)
+                        chars += len(raw[seen:a].decode("utf-8", "replace"))
+                        owners.append(r)
+                        starts.append(chars)
+                        chars += len(raw[a:b].decode("utf-8", "replace"))
+                        ends.append(chars)
+                        ps.append(float(p))
+                        seen = b
                     at += len(s) + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(ps, pa.float64())], names=["id", "start", "end", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(ps, pa.float64())], names=["id", "start", "end", "score"])
 
     return locate
 
 
 def locate_toxic_sentences(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(id, start, end, score): a row for each sentence whose probability reaches the threshold; code points, end exclusive."""
+    """(id, start, end, score): a row for each sentence whose probability reaches the threshold; code points, end exclusive.
+
+    Blanks in front of a sentence are not part of it. Null, empty and wordless texts give no row, repeated rows each
+    their own, an empty table none. Bytes that are not UTF-8 count as U+FFFD. Other columns are not read.
+    """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(_locator(model, threshold), f"id {kind}, start bigint, end bigint, score double").withColumnRenamed("id", id_col)
 
 
 def _dropper(model: dict, place: int, threshold: float):
-    score = _scorer(model)
-
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pair = pa.RecordBatch.from_arrays([batch.column(place), batch.column(place)], names=["id", "text"])
-            for scored in score(iter([pair])):
-                yield batch.filter(pa.array(scored.column(1).to_numpy() < threshold))
+        scorer = _Scorer(model)
+        for batch in small(batches):
+            yield batch.filter(pa.array([_noisy_or(scorer.odds(t)) < threshold for t in batch.column(place).cast(pa.binary()).to_pylist()], pa.bool_()))
 
     return drop
 
 
 def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below the threshold; in one pass, without a join."""
+    """The rows of docs, with all their columns, whose score is below the threshold; in one pass, without a join.
+
+    Null, empty and wordless texts score about 0 and stay. Repeated rows are scored alike. An empty table stays empty.
+    """
     return docs.mapInArrow(_dropper(model, docs.columns.index(text_col), threshold), docs.schema)

@@ -139,14 +139,15 @@ def test_line_dedup_looks_lines_up_where_they_stand(spark):
     assert {x[1] for x in one if x[0] == 5} <= {"41EFBFBD42", ""}
 
 
-def test_long_lines_are_compared_by_hashes():
+def test_lines_are_compared_on_their_sets(monkeypatch):
     r = random.Random(6)
-    line = "".join(r.choice("abcdefgh ") for _ in range(60_000))
-    other = "".join(c if r.random() > 0.02 else "#" for c in line)
-    sets = [linededup._line_set(x.encode(), 7) for x in (line, other)]
-    hashed = [linededup._hashed_set(x.encode(), 7) for x in (line, other)]
-    assert [len(s) for s in sets] == [len(s) for s in hashed]
-    assert len(sets[0] & sets[1]) == len(np.intersect1d(*hashed, assume_unique=True))
+    lines = ["".join(r.choice("abé ") for _ in range(n)).encode() for n in (1, 3, 6, 7, 8, 20, 21, 300, 60_000)] + [b"aaaaaaaaaaaa", b"aaaaaaaa", b"ab\xffcdefghi"]
+    sets = [{t[i : i + 7] for i in range(len(t) - 6)} or {t} for t in (x.decode("utf-8", "replace") for x in lines)]
+    pairs = [(i, j) for i in range(len(lines)) for j in range(len(lines))]
+    for part in (1 << 18, 11):
+        monkeypatch.setattr(linededup, "_PART", part if part > 11 else 1000)
+        n, m, common = linededup._common([lines[i] for i, _ in pairs], [lines[j] for _, j in pairs], 7)
+        assert [tuple(map(int, x)) for x in zip(n, m, common, strict=True)] == [(len(sets[i]), len(sets[j]), len(sets[i] & sets[j])) for i, j in pairs]
 
 
 def test_bitmap_has_no_false_negative():

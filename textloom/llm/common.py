@@ -91,9 +91,9 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how
     total, top = counts.agg(F.sum("n"), F.max("n")).first()
     if not total or top * most <= total:
         return left.join(right, key, how)
-    few = F.broadcast(materialize(counts.where(F.col("n") * most > F.lit(total)).select(key), "hot"))
-    warm = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how)
-    return warm.unionByName(left.join(few, key, "left_anti").join(right, key, how))
+    hot = F.col(key).isin([r[0] for r in counts.where(F.col("n") * most > F.lit(total)).select(key).collect()])
+    warm = left.where(hot).join(F.broadcast(right.where(hot)), key, how)
+    return warm.unionByName(left.where(~F.coalesce(hot, F.lit(False))).join(right, key, how))
 
 
 def bitmap(df: DataFrame, col: str, log2: int = 22) -> np.ndarray:
@@ -131,6 +131,12 @@ class HashCache(dict):
         return h
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values. np.unique() hashes integers, which takes ten times as long."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, over uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -18,15 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .banding import PACKED_TYPE, bucket_bits, members_of, pack, pairs_of, shared_bands
-from .common import bitmap, discard, in_bitmap, join_hot, materialize, mix, slices, small
+from .common import bitmap, discard, distinct, in_bitmap, join_hot, materialize, mix, slices, small
 from .linking import link_members, set_bits
 from .sketch import band_keys, fast_similarity_sketch
 
 _BASE = 0x9E3779B97F4A7C15
 #: Characters that are hashed at once.
 _PART = 1 << 18
-#: A line of more bytes is compared by hashes, not by a set of strings.
-_LONG = 50_000
 
 _ODD = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")
 
@@ -161,10 +159,26 @@ def _fetcher(words: np.ndarray | None):
     return fetch
 
 
-def _line_set(line: bytes, k: int) -> set[str]:
-    """The k-character shingles of a line; a shorter line is one."""
-    t = line.decode("utf-8", "replace")
-    return {t[i : i + k] for i in range(len(t) - k + 1)} or {t}
+def _line_sets(lines: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit hashes of the k-character shingles of lines, sorted and distinct line by line, and how many each has."""
+    cps = _codes(b"\n".join(lines))
+    cuts = np.flatnonzero(cps == 10)
+    starts = np.concatenate(([0], cuts + 1))
+    counts = np.concatenate((cuts, [len(cps)])) - starts - (k - 1)
+    h = np.concatenate([_polynomial(cps[i : i + _PART + k - 1].astype(np.uint64), k) >> np.uint64(16) for i in range(0, max(1, len(cps) - k + 1), _PART)])
+    sets, n = [], np.zeros(len(lines), np.int64)
+    short = counts <= 0
+    # A line's number above the hash: one sort for all lines of a part of 65,536.
+    for i in range(0, len(lines), 1 << 16):
+        who = np.flatnonzero(~short[i : i + (1 << 16)]) + i
+        own = np.repeat(who - i, counts[who]).astype(np.uint64)
+        at = np.repeat(starts[who] - np.cumsum(counts[who]) + counts[who], counts[who]) + np.arange(len(own))
+        lone = np.flatnonzero(short[i : i + (1 << 16)])
+        small_ = np.array([xxhash.xxh3_64_intdigest(lines[i + j], seed=k) >> 16 for j in lone], np.uint64)
+        both = distinct(np.concatenate(((own << np.uint64(48)) | h[at], (lone.astype(np.uint64) << np.uint64(48)) | small_)))
+        n[i : i + (1 << 16)] = np.bincount((both >> np.uint64(48)).astype(np.int64), minlength=min(1 << 16, len(lines) - i))
+        sets.append(both & np.uint64((1 << 48) - 1))
+    return np.concatenate(sets) if sets else np.zeros(0, np.uint64), n
 
 
 def _measurer(k: int):
@@ -172,55 +186,46 @@ def _measurer(k: int):
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            n, bits = [], []
-            for line in batch.column(1).to_pylist():
-                own = _hashed_set(line, k) if len(line) > 4 * k else np.array([xxhash.xxh3_64_intdigest(x) for x in _line_set(line, k)], np.uint64)
-                n.append(len(own))
-                bits.append(set_bits(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["sid", "bands", "n", "bits"])
+            lines = batch.column(1).to_pylist()
+            for i, j in slices([len(x) for x in lines], SLICE):
+                items, n = _line_sets(lines[i:j], k)
+                bits = [set_bits(mix(x)) for x in np.split(items, np.cumsum(n)[:-1])]
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(bits, pa.list_(pa.int64()))], names=["sid", "bands", "n", "bits"])
 
     return measure
 
 
-def _hashed_set(line: bytes, k: int) -> np.ndarray:
-    """64-bit hashes of the shingles of a line of many more than k characters, sorted."""
-    cps = _codes(line)
-    parts = (cps[i : i + _PART + k - 1].astype(np.uint64) for i in range(0, len(cps) - k + 1, _PART))
-    return np.unique(np.concatenate([np.unique(mix(_polynomial(p, k))) for p in parts]))
-
+def _common(left: list[bytes], right: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of lines, fewer than 65,536: the sizes of both sets and of what they share."""
+    lines = {x: i for i, x in enumerate(dict.fromkeys((*left, *right)))}
+    items, n = _line_sets(list(lines), k)
+    start = np.cumsum(n) - n
+    a, b = (np.array([lines[x] for x in side]) for side in (left, right))
 
-class _Sets(dict):
-    """line -> its shingle set; emptied when the lines have grown to the limit."""
+    def tagged(who: np.ndarray) -> np.ndarray:
+        """The pair's number above the hash, for each item of one line of each pair."""
+        c = n[who]
+        at = np.repeat(start[who] - np.cumsum(c) + c, c) + np.arange(int(c.sum()))
+        return (np.repeat(np.arange(len(who), dtype=np.uint64), c) << np.uint64(48)) | items[at]
 
-    def __init__(self, k: int, limit: int = 1_000_000):
-        self.k, self.limit, self.size = k, limit, 0
-
-    def __missing__(self, line: bytes) -> set[str]:
-        if self.size > self.limit:
-            self.clear()
-            self.size = 0
-        own = self[line] = _line_set(line, self.k)
-        self.size += len(line)
-        return own
+    both = np.sort(np.concatenate((tagged(a), tagged(b))))
+    twice = both[1:][both[1:] == both[:-1]] >> np.uint64(48)
+    return n[a], n[b], np.bincount(twice.astype(np.int64), minlength=len(a))
 
 
 def _checker(k: int, num: int, den: int):
-    """(a, b, line of a, line of b) -> the pairs whose exact Jaccard similarity is enough."""
+    """(a, b, line of a, line of b) -> the pairs whose Jaccard similarity is enough; shingles are compared by 48-bit hashes."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = _Sets(k)
-        for batch in small(batches):
-            keep = []
-            for left, right in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
-                long = max(len(left), len(right)) > _LONG and min(len(left), len(right)) > 4 * k
-                x, y = (_hashed_set(left, k), _hashed_set(right, k)) if long else (sets[left], sets[right])
-                n, m = len(x), len(y)
-                if min(n, m) * den < num * max(n, m):  # the smaller set cannot share more than all it has
-                    keep.append(False)
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True)) if long else len(x & y)
-                keep.append(common * den >= num * (n + m - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            for part in (batch.slice(i, 8192) for i in range(0, batch.num_rows, 8192)):
+                left, right = (part.column(i).to_pylist() for i in (2, 3))
+                keep = np.zeros(len(left), bool)
+                for i, j in slices([len(x) + len(y) for x, y in zip(left, right, strict=True)], SLICE // 4):
+                    n, m, common = _common(left[i:j], right[i:j], k)
+                    keep[i:j] = den * common >= num * (n + m - common)
+                yield part.select([0, 1]).filter(pa.array(keep))
 
     return check
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import HashCache, ascii_lower_words, mix
+from .common import HashCache, ascii_lower_words, distinct, mix
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -31,7 +31,7 @@ def word_shingle_sets(texts: list[bytes], k: int, cache: HashCache) -> list[np.n
     for w in words:
         n = len(w)
         if n >= k:
-            out.append(np.unique(hashes[at : at + n - k + 1]))
+            out.append(distinct(hashes[at : at + n - k + 1]))
         elif n:
             out.append(np.array([xxhash.xxh3_64_intdigest(b"\x00short ".join(w), seed=n)], np.uint64))
         else:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, small
+from .common import distinct, release_memory, small
 
 DIM = 1 << 18
 #: Everything but letters, digits and bytes of non-ASCII characters parts words; . ! ? and line feeds part sentences.
@@ -71,7 +71,7 @@ def _train(texts: list[bytes], y: np.ndarray, weight: np.ndarray, rounds: int, l
     vocabulary.clear()
     feats, owner = np.frombuffer(feats, np.int32), np.frombuffer(owner, np.int32)
     # A feature of fewer than four documents says nothing that carries over.
-    pairs = np.unique(word.astype(np.int64) * len(texts) + doc[sent])
+    pairs = distinct(word.astype(np.int64) * len(texts) + doc[sent])
     seen = np.bincount(pairs // len(texts), minlength=n_words)
     df = np.bincount(feats, weights=seen[owner], minlength=DIM)
     keep = df[feats] >= 4

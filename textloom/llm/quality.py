@@ -107,11 +107,16 @@ def _bin(cuts: list[float], value: Column) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= value)) if cuts else F.lit(0)
 
 
-def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = 8000, steps: int = 24, max_rules: int = 8, max_conditions: int = 3, precision: float = 0.9, least: int = 8) -> list[tuple[Rule, int]]:
+def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = 8000, steps: int = 24, max_rules: int = 8, max_conditions: int = 3, precision: float = 0.9, least: int = 3, share: float = 0.004) -> list[tuple[Rule, int]]:
     """Rules for label 0, from the at most max_labels labelled documents whose crc32(id) comes first.
 
-    A third of them (by another hash) prunes, the others grow. A rule is kept if, on either part, at least `precision`
-    of what it covers has label 0 and it covers `least` documents for growing. Without labels there are no rules.
+    A third of them (by another hash) prunes, the others grow. A rule grows by the condition of the most information
+    gain until it covers no document of label 1, then loses the last conditions that do not help on the other part. It
+    is kept if, on either part, at least `precision` of what it covers has label 0, and if it covers `least` documents
+    of label 0 for growing, or a `share` of all of them where that is more, and one for pruning. Thresholds are
+    quantiles of all values and of those of label 0, and half of the least value above 0. Null texts have no words.
+    Labels that are null, neither 0 nor 1, of a null id or held out (crc32 mod 4 = 2) are not used; of an id with both
+    labels the larger one is. Without labels of both kinds, or on an empty table, there are no rules.
     """
     id_ = F.col("_id").cast("string").cast("binary")
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("_id").isNotNull() & (F.crc32(id_) % 4 != 2))
@@ -122,13 +127,17 @@ def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     names = list(FEATURES)
     cuts = [i / steps for i in range(1, steps)]
     bad_only = lambda n: F.when(F.col("y") == 0, FEATURES[n]())
-    got = table.agg(*(F.percentile_approx(v, cuts, 1000).alias(f"{n}_{k}") for n in names for k, v in (("all", FEATURES[n]()), ("bad", bad_only(n))))).first()
-    at = {n: sorted({*(got[f"{n}_all"] or []), *(got[f"{n}_bad"] or [])}) for n in names}
+    quantiles = [F.percentile_approx(v, cuts, 1000).alias(f"{n}_{k}") for n in names for k, v in (("all", FEATURES[n]()), ("bad", bad_only(n)))]
+    above = [(F.min(F.when(FEATURES[n]() > 0, FEATURES[n]())) / 2).alias(f"{n}_low") for n in names]
+    got = table.agg(*quantiles, *above, F.count_if(~F.col("prune")).alias("grow")).first()
+    at = {n: sorted({*(got[f"{n}_all"] or []), *(got[f"{n}_bad"] or []), *([got[f"{n}_low"]] if got[f"{n}_low"] else [])}) for n in names}
+    least = max(least, math.ceil(share * got["grow"]))
     bad, good = F.col("y") == 0, F.col("y") == 1
     sum_ = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0))
     rules: list[tuple[Rule, int]] = []
     left = F.lit(True)
-    for _ in range(max_rules):
+    banned: set[tuple[str, str]] = set()  # conditions that began a rule which did not hold on the other part
+    while len(rules) < max_rules and len(banned) < 2 * len(names):
         rule: Rule = []
         for _ in range(max_conditions):
             # One pass: how many of either label lie between neighbouring thresholds of each feature.
@@ -143,6 +152,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 for j, cut in enumerate(at[n]):
                     hi = [sum(r[k] for r in counts if r["f"] == i and r["b"] > j) for k in ("bad", "good")]
                     for op, (p, q) in ((">=", hi), ("<", [a - b for a, b in zip(total, hi, strict=True)])):
+                        if not rule and (n, op) in banned:
+                            continue
                         if p >= least and (gain := p * (math.log2((p + 0.5) / (p + q + 1)) - base)) > best[0] + 1e-9:
                             best = (gain, (n, op, float(cut)))
             if best[1] is None:
@@ -158,7 +169,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             if bg >= least and bg >= precision * (bg + gg) and bp >= precision * (bp + gp) and bp:
                 scored.append(((bp - gp) / (bp + gp), bp, -len(p), p))
         if not scored:
-            break
+            banned.add(rule[0][:2])
+            continue
         chosen_rule = max(scored, key=lambda x: x[:3])[3]
         tight = {}  # of conditions on one side of one feature the last is the tightest
         for name, op, cut in chosen_rule:
@@ -173,7 +185,8 @@ def apply_rules(docs: DataFrame, rules: list[tuple[Rule, int]], id_col: str = "d
     """text_statistics with base_failed, rule_label (int) and kept, a row for each row of docs.
 
     base_failed: fewer than min_words words, or more than max_repeat percent of the words in repeated windows. kept:
-    not base_failed and the list says 1. Null texts have no words. Repeated rows each return a row.
+    not base_failed and the list says 1. Null texts have no words. Repeated rows each return a row, an empty table none.
+    Other columns are not read.
     """
     stats = text_statistics(docs, id_col, text_col)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)

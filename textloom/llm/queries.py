@@ -36,7 +36,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_personal_data(table(spark, sf_dir, "documents"))
-    return out.withColumn("spans", pii.spans_text(F.col("spans")))
+    return out.withColumns({"n_spans": F.size("spans").cast("long"), "spans": pii.spans_text(F.col("spans"))})
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

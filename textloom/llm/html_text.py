@@ -197,31 +197,32 @@ _SAID = "I agree with every word of it.|Thanks, that was a good read!|This is wr
 _SHORT = "No.|Yes, of course.|It ended well.|Then he left.|So it was.|Two words.".split("|")
 
 
-def labelled_pages(seed: int = 11, n: int = 300) -> list[str]:
+def labelled_pages(seed: int = 11, n: int = 600) -> list[str]:
     """n labelled pages, made by rule. Elements with data-main hold content, all else is not.
 
-    A third of them has article or main, a third names its boxes by class or id only, a third is of bare elements, where
-    words and links, own and neighbours', have to tell.
+    Half of them have article or main, a quarter names its boxes by class or id only, a quarter is of bare elements,
+    where words and links, own and neighbours', have to tell.
     """
     r = random.Random(seed)
     say = lambda lo, hi: (t := ", and ".join(r.choice(_TOPICS) for _ in range(r.randint(lo, hi))))[0].upper() + t[1:] + "."
     link = lambda: f'<a href="/{r.randint(1, 99)}">{r.choice(_MENUS)}</a>'
     small = _SMALL.split("|")
+    title = lambda: " ".join(say(1, 1).rstrip(".").split()[: r.choice([1, 2, 3, 99])])
 
     def menu(name: str) -> str:
         items = [link() for _ in range(r.randint(2, 7))]
         return r.choice([f"<{name}><ul>{''.join(f'<li>{x}</li>' for x in items)}</ul></{name.split()[0]}>", f"<{name}>{' '.join(items)}</{name.split()[0]}>", f"<{name}>{' | '.join(items)}</{name.split()[0]}>"])
 
     def piece() -> str:
-        return r.choice([f"<p data-main>{say(2, 6)}</p>", f"<p data-main>{say(2, 6)}", f"<p data-main>{say(1, 3)} <a href=x>{say(1, 1)}</a> {say(1, 2)}</p>", f"<p data-main>{r.choice(_SHORT)}</p>", f"<h2 data-main>{say(1, 1)}</h2>", f"<blockquote data-main>{say(1, 2)}</blockquote>", f"<ul data-main><li>{say(1, 1)}</li><li>{r.choice(_SHORT)}</li></ul>", f'<div class="{r.choice(["form-group", "no-sidebar", "comment-form-help", "share-price"])}" data-main>{say(2, 4)}</div>', f"<table data-main><tr><td>{say(1, 1)}</td><td>12</td></tr></table>"])
+        return r.choice([f"<p data-main>{say(2, 6)}</p>", f"<p data-main>{say(2, 6)}", f"<p data-main>{say(1, 3)} <a href=x>{say(1, 1)}</a> {say(1, 2)}</p>", f"<p data-main>{r.choice(_SHORT)}</p>", f"<h2 data-main>{title()}</h2>", f"<blockquote data-main>{say(1, 2)}</blockquote>", f"<ul data-main><li>{say(1, 1)}</li><li>{r.choice(_SHORT)}</li></ul>", f'<div class="{r.choice(["form-group", "no-sidebar", "comment-form-help", "share-price"])}" data-main>{say(2, 4)}</div>', f"<table data-main><tr><td>{say(1, 1)}</td><td>12</td></tr></table>"])
 
     def text(linked: bool = False) -> str:
         if r.random() < 0.25:
-            return f"<p data-main>{say(1, 6)}</p>"
+            return f"<p data-main>{r.choice([say(1, 6), title(), r.choice(_SHORT)])}</p>"
         inner = [piece() for _ in range(r.randint(1, 7))]
         if linked:
             inner.insert(r.randint(0, len(inner)), f"<p data-main><a href=/x>{say(1, 2)}</a></p>")
-        head = r.choice([f"<h1 data-main>{say(1, 1)}</h1>", f"<h1 data-main>{say(1, 1)}</h1>", ""])
+        head = r.choice([f"<h1 data-main>{title()}</h1>", f"<h1 data-main>{title()}</h1>", ""])
         return f"{head}<p data-main>{say(2, 6)}</p>" + "".join(inner) + r.choice(["", f"<p data-main>{say(2, 5)}</p>"])
 
     maybe = lambda x, p=0.6: x if r.random() < p else ""
@@ -230,7 +231,7 @@ def labelled_pages(seed: int = 11, n: int = 300) -> list[str]:
         if style == 0:
             tag = r.choice(["article", "main"])
             extra = r.choice(["", "", f"<aside><p>{say(1, 4)}</p></aside>", f"<section class=comments><h3>Comments</h3><p>{r.choice(_SAID)}</p><p>{say(1, 3)}</p></section>", f"<form><label>{r.choice(small)}</label><p>{say(1, 2)}</p></form>", f"<div class=share>{link()} {link()}</div>", f'<div class="ad">{say(1, 4)}</div>'])
-            top = r.choice(["", "", f"<header><h1 data-main>{say(1, 1)}</h1></header>"])
+            top = r.choice(["", "", f"<header><h1 data-main>{title()}</h1></header>"])
             head = maybe(f"<header><h1>{link()}</h1><p>{r.choice(small)}</p></header>", 0.4)
             foot = maybe(f"<footer>{r.choice(small)} {maybe(say(1, 2), 0.5)}</footer>")
             body = f"<{tag}>{top}{text(True)}{extra}{maybe('<p data-main>' + say(1, 3) + '</p>', 0.4)}</{tag}>"
@@ -244,7 +245,7 @@ def labelled_pages(seed: int = 11, n: int = 300) -> list[str]:
             return f"{maybe(box(names[0]))}{maybe(menu('div class=menu'))}<div class=post>{text()}</div>{maybe(box(names[1]))}{who}{maybe(box(names[2]))}{maybe('<div class=footer>' + r.choice(small) + '</div>')}"
         return f"{maybe(menu('div'), 0.8)}{maybe('<div>' + link() + '</div>', 0.4)}<div>{text()}</div>{maybe(menu('div'))}{maybe('<div>' + r.choice(small) + '</div>')}"
 
-    return [f"<html><body{r.choice(['', ' class=has-sidebar', ' class=home'])}>{page(i % 3)}</body></html>" for i in range(n)]
+    return [f"<html><body{r.choice(['', ' class=has-sidebar', ' class=home'])}>{page((0, 1, 0, 2)[i % 4])}</body></html>" for i in range(n)]
 
 
 def train_blocks(pages: list[str] | None = None) -> dict | int:
@@ -254,7 +255,7 @@ def train_blocks(pages: list[str] | None = None) -> dict | int:
         blocks = cut_blocks(page)
         rows += features(blocks)
         y += [int(b.marked) for b in blocks]
-    return grow_tree(rows, y, depth=8, least=4)
+    return grow_tree(rows, y, depth=10, least=3)
 
 
 def main_text(page: str, tree: dict | int) -> str:

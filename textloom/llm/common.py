@@ -64,11 +64,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def _tidy(spark: SparkSession):
+    """Have Spark delete an execution's shuffle files as soon as it has ended; the session's own setting comes back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The execution's shuffle files go with it: what it has shuffled is not read again, the table is.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with _tidy(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._textloom_path = path
     return out

@@ -116,8 +116,7 @@ def _namer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
         for rows, nos, lines in _lines(batch.column(2).cast(pa.binary()).to_pylist(), 1_000_000):
             at = pa.array(rows, pa.int64())
-            names, prio = _names(lines)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(nos, pa.int32()), pa.array(names, pa.binary()), pa.array(prio)], names=["id", "th", "no", "sid", "prio"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(nos, pa.int32()), pa.array(_names(lines)[0], pa.binary())], names=["id", "th", "no", "sid"])
 
 
 def _signer(k: int, bands: int, rows: int, bits: int):
@@ -240,7 +239,8 @@ def _fetched(src: DataFrame, lines: DataFrame, wanted: DataFrame, bitmap_most: i
     if n <= bitmap_most:
         bits = bitmap(wanted, "prio", max(16, (8 * n).bit_length()))
         return src.select("text").mapInArrow(_fetcher(bits), "sid binary, prio bigint, line binary").dropDuplicates(["sid"])
-    places = lines.join(wanted, "prio").dropDuplicates(["sid"]).groupBy(F.col("id").alias("_i"), F.col("th").alias("_t")).agg(F.collect_set("no").alias("nos"))
+    prio = F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long")
+    places = lines.withColumn("prio", prio).join(wanted, "prio").dropDuplicates(["sid"]).groupBy(F.col("id").alias("_i"), F.col("th").alias("_t")).agg(F.collect_set("no").alias("nos"))
     found = src.join(places, src["id"].eqNullSafe(places["_i"]) & src["th"].eqNullSafe(places["_t"])).select("text", "nos")
     return found.mapInArrow(_fetcher(None), "sid binary, prio bigint, line binary").dropDuplicates(["sid"])
 
@@ -262,7 +262,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.drop("n_lines", "n_dropped")
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text"))
-    lines = materialize(src.mapInArrow(_namer, f"id {kind}, th bigint, no int, sid binary, prio bigint"), "lines")
+    lines = materialize(src.mapInArrow(_namer, f"id {kind}, th bigint, no int, sid binary"), "lines")
     signed = src.select("text").mapInArrow(_signer(k, bands, rows, bucket_bits(spark, bands * lines.count())), PACKED_TYPE)
     shared = materialize(shared_bands(signed), "shared")
     pairs = materialize(pairs_of(shared), "pairs")

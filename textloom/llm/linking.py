@@ -16,7 +16,7 @@ from .components import connected_components
 #: Longs of the bits of a set of up to ROOM items; a larger set has a power of two times as many.
 BITS, ROOM = 24, 1500
 #: Hubs drawn from each bucket that is open after the first round.
-HUBS = 4
+HUBS = 2
 
 
 def set_bits(items: np.ndarray) -> np.ndarray:
@@ -38,15 +38,11 @@ def _folded(bits: F.Column, to: F.Column) -> F.Column:
     return F.when(F.size(bits) == to, bits).otherwise(F.transform(places, lambda i: F.aggregate(times, F.lit(0).cast("long"), lambda x, j: x.bitwiseOR(F.get(bits, (i + j * to).cast("int"))))))
 
 
-def _only(x: str, y: str, places: range) -> F.Column:
-    """Bits of x that are off in y, at these longs."""
-    return sum((F.bit_count(F.get(F.col(x), F.lit(i)).bitwiseAND(F.bitwise_not(F.get(F.col(y), F.lit(i))))) for i in places), F.lit(0))
-
-
-def _only_long(x: str, y: str) -> F.Column:
+def _only(x: str, y: str) -> F.Column:
+    """Bits of x that are off in y, at the shorter one's length. Lambdas: a sum spelled out is too long a method to compile."""
+    count = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda s, v: s + v)
     to = F.least(F.size(x), F.size(y))
-    both = F.zip_with(_folded(F.col(x), to), _folded(F.col(y), to), lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
-    return F.aggregate(both, F.lit(0), lambda s, v: s + v)
+    return F.when(F.size(x) == F.size(y), count(F.col(x), F.col(y))).otherwise(count(_folded(F.col(x), to), _folded(F.col(y), to)))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -85,16 +81,13 @@ def link_members(pairs: DataFrame, sets: DataFrame, verified: Callable[[DataFram
         return common * (den + num) >= (F.col("n") + F.col("n2")) * num
 
     # Cheap conditions first; what either set has that is not shared must leave enough.
-    short = (F.size("bits") == BITS) & (F.size("bits2") == BITS)
-    admitted = (F.col("label") != F.col("label2")) & enough(F.least("n", "n2"))
-    for x, y, n in (("bits", "bits2", "n"), ("bits2", "bits", "n2")):
-        admitted = admitted & F.when(short, enough(F.col(n) - _only(x, y, range(4)))).otherwise(True)
-    for x, y, n in (("bits", "bits2", "n"), ("bits2", "bits", "n2")):
-        admitted = admitted & F.when(short, enough(F.col(n) - _only(x, y, range(BITS)))).otherwise(enough(F.col(n) - _only_long(x, y)))
-    second = lambda df: df.select("band", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "n", "bits")))
+    admitted = (F.col("label") != F.col("label2")) & enough(F.least("n", "n2")) & enough(F.col("n") - _only("bits", "bits2")) & enough(F.col("n2") - _only("bits2", "bits"))
+    second = lambda df: df.select("band", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "bands", "n", "bits")))
+    # A pair that meets in several buckets is made in one of them.
+    once = F.array_min(F.array_intersect("bands", "bands2")) == F.col("band")
 
     def open_buckets(sets: DataFrame) -> DataFrame:
-        """(band, sid, label, major, n, bits) of the buckets that still span several components; major is the largest."""
+        """(band, sid, label, major, bands, n, bits) of the buckets that still span several components; major is the largest."""
         placed = sets.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         each = placed.select("sid", "label", F.explode("bands").alias("band"))
         parts = each.groupBy("band", "label").agg(F.count("*").alias("c"))
@@ -102,8 +95,9 @@ def link_members(pairs: DataFrame, sets: DataFrame, verified: Callable[[DataFram
         mixed = materialize(mixed.select("band", F.col("size").alias("n"), F.col("top.label").alias("major")), "mixed")
         if mixed.isEmpty():
             return mixed
-        there = join_hot(each, mixed.select("band", "major"), "band", mixed.select("band", "n"))
-        return materialize(there.join(placed.select("sid", "n", "bits"), "sid"), "open")
+        there = materialize(join_hot(each, mixed.select("band", "major"), "band", mixed.select("band", "n")), "there")
+        own = there.groupBy("sid").agg(F.collect_set("band").alias("bands"))
+        return materialize(there.join(own.join(placed.select("sid", "n", "bits"), "sid"), "sid"), "open")
 
     # A few drawn members of each open bucket are hubs of a second round: it links most of what can be linked.
     first = open_buckets(sets)
@@ -113,7 +107,8 @@ def link_members(pairs: DataFrame, sets: DataFrame, verified: Callable[[DataFram
     counts = materialize(first.groupBy("band").agg(F.count("*").alias("n"), *(F.min(d).alias(f"d{i}") for i, d in enumerate(draw))), "counts")
     is_drawn = reduce(or_, (d == F.col(f"d{i}") for i, d in enumerate(draw)))
     drawn = materialize(join_hot(first, counts.drop("n"), "band", counts.select("band", "n")).where(is_drawn).select(*first.columns), "drawn")
-    pairs = first.join(second(drawn), "band").where(admitted)
+    hubs = drawn.drop("bands").join(drawn.groupBy("sid").agg(F.collect_set("band").alias("bands")), "sid")
+    pairs = first.join(second(hubs), "band").where(admitted & once)
     pairs = materialize(pairs.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b")).distinct(), "pairs")
     labels = _merged(labels, verified(pairs))
 
@@ -121,8 +116,8 @@ def link_members(pairs: DataFrame, sets: DataFrame, verified: Callable[[DataFram
     left = first.select("band", "sid").join(drawn.select("band", "sid"), ["band", "sid"], "left_anti")
     known = open_buckets(left.groupBy("sid").agg(F.collect_set("band").alias("bands")).join(sets.select("sid", "n", "bits"), "sid"))
     if not known.isEmpty():
-        once = (F.col("label2") == F.col("major")) | (F.col("sid") < F.col("sid2"))
-        cross = known.where("label <> major").join(second(known), "band").where(admitted & once)
+        ordered = (F.col("label2") == F.col("major")) | (F.col("sid") < F.col("sid2"))
+        cross = known.where("label <> major").join(second(known), "band").where(ordered & admitted & once)
         cross = materialize(cross.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b")).distinct(), "cross")
         labels = _merged(labels, verified(cross))
         discard(cross)

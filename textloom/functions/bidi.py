@@ -292,11 +292,33 @@ def bidi_resolve(text, direction: str = "AUTO") -> Column:
     return _mapped(resolve, kind, ddl)(_col(text))
 
 
-def bidi_reorder_line(levels) -> Column:
-    """Positions from left to right of an array of levels (L2)."""
+def line_order(levels: list[int], classes: list[str], base: int, start: int, end: int) -> list[int]:
+    """Positions of the line [start, end) of a paragraph from left to right, after L1 on that line and L2."""
+    own, at = list(levels[start:end]), end - start
+    while at and classes[start + at - 1] in ("WS", "S", "B", *_ISOLATES, "PDI"):
+        at -= 1
+        own[at] = base
+    for i, c in enumerate(classes[start:end]):
+        if c in ("S", "B"):  # and the white space in front of separators
+            j = i
+            while j >= 0 and (j == i or classes[start + j] in ("WS", *_ISOLATES, "PDI")):
+                own[j] = base
+                j -= 1
+    return [start + p for p in visual_order(own)]
+
+
+def bidi_reorder_line(resolved, start=0, end=None) -> Column:
+    """array<int>: places in chars of a bidi_resolve() column from left to right, for the line [start, end) of it.
+
+    start and end are numbers or columns, cut to the paragraph; without end the line goes to its end. White space at the
+    line's end takes the paragraph's level (L1). Null stays null.
+    """
+    r = _col(resolved)
+    column = lambda x: x if isinstance(x, Column) else F.lit(x)
 
     @F.arrow_udf("array<int>")
-    def apply(lists: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else visual_order(x) for x in lists.to_pylist()], pa.list_(pa.int32()))
+    def apply(base: pa.Array, levels: pa.Array, classes: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        rows = zip(*(x.to_pylist() for x in (base, levels, classes, starts, ends)), strict=True)
+        return pa.array([None if v is None else line_order(v, c, b, min(max(s, 0), len(v)), max(0, min(len(v), len(v) if e is None else e))) for b, v, c, s, e in rows], pa.list_(pa.int32()))
 
-    return apply(_col(levels))
+    return apply(r["level"], F.transform(r["chars"], lambda x: x["level"]), F.transform(r["chars"], lambda x: x["class"]), column(start).cast("int"), column(end).cast("int"))

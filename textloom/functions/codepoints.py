@@ -7,6 +7,7 @@ process into ranges; a property test over a column is a regular expression of th
 from __future__ import annotations
 
 import functools
+import operator
 import unicodedata
 
 import regex
@@ -178,6 +179,60 @@ def has_property(cp, prop: str) -> Column:
 NAMED = {"id_start": "ID_Start", "id_continue": "ID_Continue", "xid_start": "XID_Start", "xid_continue": "XID_Continue", "pattern_syntax": "Pattern_Syntax", "emoji": "Emoji", "emoji_presentation": "Emoji_Presentation", "emoji_modifier_base": "Emoji_Modifier_Base", "emoji_component": "Emoji_Component", "extended_pictographic": "Extended_Pictographic", "combining": "M"}
 
 
+def is_graphic(cp) -> Column:
+    """An assigned character that is neither control, format, surrogate nor private use."""
+    c = _col(cp).cast("int")
+    return F.coalesce(c.between(0, MAX) & ~c.between(0xD800, 0xDFFF), F.lit(False)) & ~has_property(cp, "C")
+
+
+#: The flags of a code point's emoji record.
+EMOJI_FLAGS = {"emoji": "Emoji", "presentation": "Emoji_Presentation", "modifier": "Emoji_Modifier", "modifier_base": "Emoji_Modifier_Base", "component": "Emoji_Component", "extended_pictographic": "Extended_Pictographic"}
+
+
+def emoji_properties(cp) -> Column:
+    """struct of EMOJI_FLAGS, null for a code point without any of them."""
+    flags = {n: has_property(cp, p) for n, p in EMOJI_FLAGS.items()}
+    return F.when(functools.reduce(operator.or_, flags.values()), F.struct(*(v.alias(n) for n, v in flags.items())))
+
+
+def for_each_codepoint(df: DataFrame, text: str, go_on=None, records: bool = False) -> DataFrame:
+    """A row for each code point of df's texts: df's columns, pos from 0, cp, first and last; null and empty texts have none.
+
+    go_on: a function of the code point's column; a text stops after the first code point for which it is not true.
+    records: join the record of each, and leave out code points that have none.
+    """
+    cps = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int"))
+    if go_on is not None:
+        stop = lambda x: F.array_position(F.transform(x, lambda c: F.coalesce(go_on(c), F.lit(False))), False)
+        cps = F.transform(F.array(cps), lambda x: F.when(stop(x) > 0, F.slice(x, 1, stop(x).cast("int"))).otherwise(x))[0]
+    out = df.drop("pos", "cp", "first", "last").withColumn("_cps", cps).select("*", F.size("_cps").alias("_n"), F.posexplode("_cps").alias("pos", "cp"))
+    out = out.withColumns({"first": F.col("pos") == 0, "last": F.col("pos") == F.col("_n") - 1}).drop("_cps", "_n")
+    # As many records as there are characters, whatever the texts.
+    return out.join(F.broadcast(characters(df.sparkSession)), "cp") if records else out
+
+
+def histogram(df: DataFrame, text: str) -> DataFrame:
+    """(cp int, n, n_first): how often each code point is in df's texts, and how often a text begins with it.
+
+    Workers count the code points of a batch with one pass over an array, so what is shuffled is a row for each code
+    point and batch. Null and empty texts count nothing.
+    """
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            texts = [t for t in b.column(0).to_pylist() if t]
+            cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+            n, first = (np.bincount(x, minlength=MAX + 1) for x in (cps, np.array([ord(t[0]) for t in texts], np.uint32)))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(first[at])], names=["cp", "n", "n_first"])
+
+    counted = df.select(F.col(text).cast("string")).mapInArrow(count, "cp int, n bigint, n_first bigint")
+    return counted.groupBy("cp").agg(F.sum("n").alias("n"), F.sum("n_first").alias("n_first"))
+
+
 def property_ranges(spark: SparkSession, props: list[str]) -> DataFrame:
     """(prop, lo, hi): a dimension table, for a join with cp between lo and hi."""
     return spark.createDataFrame([(p, lo, hi) for p in props for lo, hi in ranges(p)], "prop string, lo int, hi int")

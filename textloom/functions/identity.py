@@ -1,4 +1,4 @@
-"""Keys and tests of identity: caseless and collation keys, scripts, identifiers, domain names, language tags."""
+"""Keys and tests of identity: caseless keys, collations, scripts, identifiers, language tags."""
 
 from __future__ import annotations
 
@@ -55,12 +55,6 @@ def collated(text, strength: str = "tertiary") -> Column:
     return F.collate(_col(text), COLLATIONS[strength])
 
 
-def collation_compare(a, b, strength: str = "tertiary") -> Column:
-    """-1, 0 or 1."""
-    x, y = collated(a, strength), collated(b, strength)
-    return F.when(x < y, -1).when(x > y, 1).otherwise(0)
-
-
 #: What a script implies in resolution.
 _AUGMENTED = {"Hani": ("Hanb", "Jpan", "Kore"), "Hira": ("Jpan",), "Kana": ("Jpan",), "Hang": ("Kore",), "Bopo": ("Hanb",)}
 
@@ -99,49 +93,6 @@ def is_identifier(text, xid: bool = False) -> Column:
     return _col(text).rlike(f"^[{body(x + 'ID_Start')}][{body(x + 'ID_Continue')}]*\\z")
 
 
-#: Error bits of domain names.
-IDNA_ERRORS = {"PUNYCODE": 1, "EMPTY_LABEL": 2, "LABEL_TOO_LONG": 4, "DOMAIN_TOO_LONG": 8, "HYPHEN": 16, "LEADING_MARK": 32, "STD3": 64, "NOT_NFC": 128}
-
-
-def idna_str(t: str, to_ascii: bool) -> dict:
-    e, errors, out = IDNA_ERRORS, 0, []
-    mapped = nfkc_casefold_str(regex.sub("[。．｡]", ".", t))
-    labels = mapped.split(".")
-    for i, label in enumerate(labels):
-        if not label:
-            errors |= e["EMPTY_LABEL"] * (i < len(labels) - 1 or len(labels) == 1)
-            out.append(label)
-            continue
-        plain = label
-        if label.startswith("xn--"):
-            try:
-                plain = label[4:].encode("ascii").decode("punycode")
-            except UnicodeError:
-                errors |= e["PUNYCODE"]
-        if unicodedata.normalize("NFC", plain) != plain:
-            errors |= e["NOT_NFC"]
-        if plain[0] == "-" or plain[-1] == "-" or plain[2:4] == "--":
-            errors |= e["HYPHEN"]
-        if unicodedata.category(plain[0])[0] == "M":
-            errors |= e["LEADING_MARK"]
-        if regex.search(r"[\x00-\x2C\x2E\x2F\x3A-\x60\x7B-\x7F]", plain):
-            errors |= e["STD3"]
-        label = (plain if plain.isascii() else "xn--" + plain.encode("punycode").decode()) if to_ascii else plain
-        if to_ascii and len(label) > 63:
-            errors |= e["LABEL_TOO_LONG"]
-        out.append(label)
-    host = ".".join(out)
-    if to_ascii and len(host.rstrip(".")) > 253:
-        errors |= e["DOMAIN_TOO_LONG"]
-    return {"output": host, "errors": errors}
-
-
-def idna(host, to_ascii: bool = True) -> Column:
-    """struct<output, errors>: a host name mapped, checked and encoded; the output is the best effort where there are errors."""
-    kind = pa.struct([("output", pa.string()), ("errors", pa.int32())])
-    return _mapped(lambda t: idna_str(t, to_ascii), kind, "struct<output:string,errors:int>")(_col(host))
-
-
 #: Tags kept whole for compatibility.
 GRANDFATHERED = "en-GB-oed i-ami i-bnn i-default i-enochian i-hak i-klingon i-lux i-mingo i-navajo i-pwn i-tao i-tay i-tsu sgn-BE-FR sgn-BE-NL sgn-CH-DE art-lojban cel-gaulish no-bok no-nyn zh-guoyu zh-hakka zh-min zh-min-nan zh-xiang".split()
 LOCALE_FIELDS = ("language", "extlang", "script", "region", "variant", "extensions", "private_use", "grandfathered")
@@ -153,11 +104,11 @@ _TAG = regex.compile(
 
 
 def parse_locale_str(tag: str) -> dict | None:
-    """Subtags of a BCP 47 tag, each in its customary case; None if it is not well-formed."""
+    """Subtags of a BCP 47 tag, each in its customary case, a tag kept whole in lower case; None if it is not well-formed."""
     none = dict.fromkeys(LOCALE_FIELDS, "")
     whole = {g.lower(): g for g in GRANDFATHERED}.get(tag.lower())
     if whole:
-        return none | {"grandfathered": whole}
+        return none | {"grandfathered": whole.lower()}
     if regex.fullmatch(r"(?i)x(?:-[a-z0-9]{1,8})+", tag):
         return none | {"private_use": tag.lower()}
     m = _TAG.fullmatch(tag)

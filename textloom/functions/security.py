@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bidi import pairs, resolve_levels, visual_order
-from .text import _col, _mapped
+from .text import _col, _mapped, into
 
 
 @functools.lru_cache(maxsize=1)
@@ -43,6 +43,10 @@ def confusable_skeleton(text) -> Column:
     return _mapped(lambda t: skeleton_str(t, table, mirrors, brackets), pa.string(), "string")(_col(text))
 
 
+def confusable_skeleton_into(text, max_bytes) -> Column:
+    return into(confusable_skeleton(text), max_bytes)
+
+
 def confusable_match(a, b) -> Column:
     """Whether two texts have the same skeleton; two empty skeletons do not match."""
     x, y = confusable_skeleton(a), confusable_skeleton(b)

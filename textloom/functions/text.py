@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .codepoints import ranges
@@ -49,20 +51,20 @@ def nfkc_casefold(text) -> Column:
     return _mapped(nfkc_casefold_str, pa.string(), "string")(_col(text))
 
 
+_MARK_RUNS = regex.compile(r"\P{ccc=0}{2,}")
+
+
 def quick_check_str(t: str, form: str) -> str:
     """YES, NO or MAYBE, from each code point's own answer and the order of combining classes."""
     if t.isascii():
         return "YES"
-    last, answer = 0, "YES"
-    no, maybe = regex.compile(rf"\p{{{form}_QC=No}}"), regex.compile(rf"\p{{{form}_QC=Maybe}}") if form in ("NFC", "NFKC") else None
-    for c in t:
-        ccc = unicodedata.combining(c)
-        if ccc and last > ccc or no.match(c):
+    if regex.search(rf"\p{{{form}_QC=No}}", t):
+        return "NO"
+    for run in _MARK_RUNS.findall(t):
+        classes = [unicodedata.combining(c) for c in run]
+        if any(a > b > 0 for a, b in itertools.pairwise(classes)):
             return "NO"
-        if maybe is not None and maybe.match(c):
-            answer = "MAYBE"
-        last = ccc
-    return answer
+    return "MAYBE" if form in ("NFC", "NFKC") and regex.search(rf"\p{{{form}_QC=Maybe}}", t) else "YES"
 
 
 def quick_check(text, form: str) -> Column:
@@ -113,11 +115,20 @@ def map_case_str(t: str, op: str, locale: str = "en") -> str:
     return "".join(out)
 
 
-def map_case(text, op: str, locale: str = "en") -> Column:
-    """upper, lower, title, casefold or casefold_simple. Without a tailored locale, upper and lower stay in the JVM."""
-    if locale not in ("tr", "az", "lt") and op in ("upper", "lower"):
+def map_case(text, op: str, locale: str | None = None) -> Column:
+    """upper, lower, title, casefold or casefold_simple, by the language of a locale tag; None is the session's locale.
+
+    Turkish, Azeri and Lithuanian have rules of their own. Without them, upper and lower stay in the JVM.
+    """
+    if locale is None:
+        from .session import get_locale
+
+        active = SparkSession.getActiveSession()
+        locale = get_locale(active) if active else "en"
+    language = locale.split("-")[0].lower()
+    if language not in ("tr", "az", "lt") and op in ("upper", "lower"):
         return F.upper(_col(text)) if op == "upper" else F.lower(_col(text))
-    return _mapped(lambda t: map_case_str(t, op, locale), pa.string(), "string")(_col(text))
+    return _mapped(lambda t: map_case_str(t, op, language), pa.string(), "string")(_col(text))
 
 
 _SPACES = r"[\t-\r\p{Z}]"
@@ -143,15 +154,21 @@ def filter_text(text, normalize_: bool = False, controls: bool = False, spaces:
 _LINKER = "्্્୍్്"
 
 
+def segments_iter(t: str, kind: str) -> Iterator[str]:
+    """The text's grapheme clusters, words or sentences, found as they are asked for where that is possible."""
+    if kind == "grapheme" and (t.isascii() or not any(c in t for c in _LINKER)):
+        return (m.group() for m in regex.finditer(r"\X", t))
+    if kind == "word":
+        cuts = itertools.chain((0,), (m.start() for m in _WORD_START.finditer(t) if 0 < m.start() < len(t)), (len(t),))
+        return (t[a:b] for a, b in itertools.pairwise(cuts) if a < b)
+    return iter(segments_str(t, kind))
+
+
 def segments_str(t: str, kind: str) -> list[str]:
     """The text's grapheme clusters, words or sentences; joined they are the text."""
     if kind == "grapheme":
-        return regex.findall(r"\X", t) if t.isascii() or not any(c in _LINKER for c in t) else _linked(regex.findall(r"\X", t))
-    if kind == "word":
-        cuts = [m.start() for m in _WORD_START.finditer(t)]
-        cuts = sorted({0, *cuts, len(t)})
-        return [t[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    return sentences_str(t)
+        return regex.findall(r"\X", t) if t.isascii() or not any(c in t for c in _LINKER) else _linked(regex.findall(r"\X", t))
+    return list(segments_iter(t, kind)) if kind == "word" else sentences_str(t)
 
 
 def _linked(clusters: list[str]) -> list[str]:
@@ -219,6 +236,26 @@ def segments(text, kind: str) -> Column:
     return _mapped(lambda t: segments_str(t, kind), pa.list_(pa.string()), "array<string>")(_col(text))
 
 
+def breaks_str(t: str, kind: str, every: bool = False) -> list[dict]:
+    if kind == "line":
+        from .linebreak import line_breaks_str
+
+        found = {x["at"]: x["kind"] for x in line_breaks_str(t)}
+    else:
+        found = dict.fromkeys(itertools.accumulate(map(len, segments_iter(t, kind))), "ALLOWED")
+    return [{"at": i, "kind": found.get(i, "NO_BREAK")} for i in (range(1, len(t) + 1) if every else found)]
+
+
+def breaks(text, kind: str, every: bool = False) -> Column:
+    """array<struct<at, kind>>: code points in front of each break of kind grapheme, word, sentence or line.
+
+    Breaks are ALLOWED, those of lines also MANDATORY; with every, what is between two code points of one segment is
+    there as NO_BREAK. Empty texts have none, null stays null.
+    """
+    out = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string())]))
+    return _mapped(lambda t: breaks_str(t, kind, every), out, "array<struct<at:int,kind:string>>")(_col(text))
+
+
 def grapheme_count(text) -> Column:
     """Clusters of the text; counted by code points where each is a cluster (no carriage return, nothing past U+02FF)."""
     t = _col(text)
@@ -229,15 +266,25 @@ def word_count_str(t: str) -> int:
     return sum(1 for w in segments_str(t, "word") if regex.search(r"[\p{Alphabetic}\p{WB=Numeric}]", w))
 
 
+#: Characters on which latin_word_count agrees with word_count: Latin letters, digits, common punctuation.
+_LATIN = r"[\x00-\x7F\x{A0}-\x{AC}\x{AE}-\x{24F}\x{2013}\x{2014}\x{2019}\x{201C}\x{201D}\x{2026}\x{20AC}]"
+
+
 def word_count(text) -> Column:
-    """Word segments of UAX #29 that hold a letter or digit."""
-    return _mapped(word_count_str, pa.int64(), "bigint")(_col(text))
+    """Word segments of UAX #29 that hold a letter or digit. Texts of Latin letters are counted within the JVM."""
+    t = _col(text)
+    other = ~t.rlike(f"^{_LATIN}*\\z")
+    counted = _mapped(word_count_str, pa.int64(), "bigint")(F.when(other, t))
+    return F.when(other, counted).otherwise(latin_word_count(t))
 
 
 def latin_word_count(text) -> Column:
-    """word_count for texts of Latin letters, digits and ASCII punctuation, within the JVM."""
-    rx = r"(?:\p{L}(?:[.:'’·]\p{L})*|\p{Nd}(?:[.,;'’]\p{Nd})*|_)+"
-    return F.size(F.filter(F.regexp_extract_all(_col(text), F.lit(rx), 0), lambda w: w.rlike(r"[\p{L}\p{Nd}]"))).cast("long")
+    """word_count for texts of Latin letters, digits and common punctuation, within the JVM; null stays null."""
+    t = _col(text)
+    # Runs with a letter or digit, less the marks that join two of them; no group repeats, so long words need no stack.
+    runs = F.regexp_count(t, F.lit(r"_*+[\p{L}\p{Nd}][\p{L}\p{Nd}_]*+"))
+    joints = F.regexp_count(t, F.lit(r"(?<=\p{L})[.:'’·](?=\p{L})|(?<=\p{Nd})[.,;'’](?=\p{Nd})"))
+    return (runs - joints).cast("long")
 
 
 def sentence_count(text) -> Column:
@@ -247,7 +294,7 @@ def sentence_count(text) -> Column:
 def truncate(text, kind: str, n: int) -> Column:
     """struct<text, bytes>: the first n clusters or word segments."""
     kinds = pa.struct([("text", pa.string()), ("bytes", pa.int64())])
-    cut = lambda t: {"text": (s := "".join(segments_str(t, kind)[:n])), "bytes": len(s.encode())}
+    cut = lambda t: {"text": (s := "".join(itertools.islice(segments_iter(t, kind), n))), "bytes": len(s.encode())}
     return _mapped(cut, kinds, "struct<text:string,bytes:bigint>")(_col(text))
 
 
@@ -272,8 +319,18 @@ def width_str(t: str, ambiguous: int = 1) -> int | None:
 
 
 def terminal_width(text, east_asian: bool = False) -> Column:
-    """Terminal columns, null if the text has a control or line separator. Ambiguous width is 2 if east_asian, else 1."""
-    return _mapped(lambda t: width_str(t, 2 if east_asian else 1), pa.int64(), "bigint")(_col(text))
+    """Terminal columns, null if the text has a control or line separator. Ambiguous width is 2 if east_asian, else 1.
+
+    Texts of Latin letters, each a cluster of its own, are measured within the JVM.
+    """
+    t = _col(text)
+    plain = t.rlike(r"^[\x20-\x7E\x{A0}-\x{AC}\x{AE}-\x{24F}]*\z")
+    narrow = F.char_length(t).cast("long")
+    if east_asian:
+        wide = "".join(chr(c) for c in range(0xA0, 0x250) if c != 0xAD and unicodedata.east_asian_width(chr(c)) == "A")
+        narrow = narrow + F.char_length(t) - F.char_length(F.translate(t, wide, ""))
+    measured = _mapped(lambda s: width_str(s, 2 if east_asian else 1), pa.int64(), "bigint")(F.when(~plain, t))
+    return F.when(plain, narrow).otherwise(measured)
 
 
 def truncate_width(text, kind: str, columns: int, east_asian: bool = False) -> Column:
@@ -281,7 +338,7 @@ def truncate_width(text, kind: str, columns: int, east_asian: bool = False) -> C
 
     def cut(t: str) -> str:
         out, used = [], 0
-        for s in segments_str(t, kind):
+        for s in segments_iter(t, kind):
             w = width_str(s, 2 if east_asian else 1)
             if w is None or used + w > columns:
                 break
@@ -292,22 +349,58 @@ def truncate_width(text, kind: str, columns: int, east_asian: bool = False) -> C
     return _mapped(cut, pa.string(), "string")(_col(text))
 
 
+def _prefix(t: str, max_bytes: int, clusters: bool) -> str:
+    room = max(0, max_bytes - 1)
+    if not clusters:
+        return t.encode()[:room].decode("utf-8", "ignore")
+    out, used = [], 0
+    for s in segments_iter(t, "grapheme"):
+        used += len(s.encode())
+        if used > room:
+            break
+        out.append(s)
+    return "".join(out)
+
+
 def format_prefix(text, max_bytes: int, clusters: bool = False) -> Column:
     """The longest prefix within max_bytes - 1 bytes of UTF-8 that ends at a code point or cluster boundary."""
+    return _mapped(lambda t: _prefix(t, max_bytes, clusters), pa.string(), "string")(_col(text))
 
-    def cut(t: str) -> str:
-        room = max(0, max_bytes - 1)
-        if not clusters:
-            return t.encode()[:room].decode("utf-8", "ignore")
-        out, used = [], 0
-        for s in segments_str(t, "grapheme"):
-            used += len(s.encode())
-            if used > room:
-                break
-            out.append(s)
-        return "".join(out)
 
-    return _mapped(cut, pa.string(), "string")(_col(text))
+def format_text(fmt: str, *cols, max_bytes: int, clusters: bool = False) -> Column:
+    """struct<output, required>: cols printed by a printf format, cut as by format_prefix, and the bytes of the whole."""
+    whole = F.format_string(fmt, *map(_col, cols))
+    fits = F.octet_length(whole) < max_bytes
+    cut = F.when(fits, whole).otherwise(format_prefix(F.when(~fits, whole), max_bytes, clusters))
+    return F.struct(cut.alias("output"), F.octet_length(whole).cast("long").alias("required"))
+
+
+def into(output, max_bytes) -> Column:
+    """struct<output, size, status> of a text or binary column put into a buffer of max_bytes; None measures only.
+
+    status is OK, or OUTPUT_TOO_SMALL with a null output; a null input gives a null. size is what the whole takes.
+    """
+    o = _col(output)
+    size = F.octet_length(o).cast("long")
+    fits = F.lit(True) if max_bytes is None else size <= (max_bytes if isinstance(max_bytes, Column) else F.lit(max_bytes))
+    kept = F.when(F.lit(max_bytes is not None) & fits, o)
+    return F.when(o.isNotNull(), F.struct(kept.alias("output"), size.alias("size"), F.when(fits, "OK").otherwise("OUTPUT_TOO_SMALL").alias("status")))
+
+
+def normalize_into(text, form: str, max_bytes) -> Column:
+    return into(normalize(text, form), max_bytes)
+
+
+def nfkc_casefold_into(text, max_bytes) -> Column:
+    return into(nfkc_casefold(text), max_bytes)
+
+
+def map_case_into(text, op: str, max_bytes, locale: str | None = None) -> Column:
+    return into(map_case(text, op, locale), max_bytes)
+
+
+def filter_into(text, max_bytes, **flags: bool) -> Column:
+    return into(filter_text(text, **flags), max_bytes)
 
 
 # Bytes
@@ -328,8 +421,8 @@ def is_utf8(data) -> Column:
 def is_utf16(data) -> Column:
     """An even number of bytes that decode in either byte order without a lone surrogate; false for empty and null."""
     h = F.hex(_col(data).cast("binary"))
-    unit = "(?:(?!D[89A-F])....|D[89AB]..D[C-F]..)*"
-    swapped = "(?:(?!..D[89A-F])....|..D[89AB]..D[C-F])*"
+    unit = "(?:(?!D[89A-F])....|D[89AB]..D[C-F]..)*+"  # possessive: others take stack for each unit
+    swapped = "(?:(?!..D[89A-F])....|..D[89AB]..D[C-F])*+"
     return F.coalesce((F.length(h) > 0) & (F.length(h) % 4 == 0) & (h.rlike(f"^{unit}$") | h.rlike(f"^{swapped}$")), F.lit(False))
 
 
@@ -347,6 +440,14 @@ def detect_encoding(data) -> Column:
 
 
 _CODECS = {"ASCII": "utf-8", "UTF-8": "utf-8", "UTF-16LE": "utf-16-le", "UTF-16BE": "utf-16-be", "UTF-32LE": "utf-32-le", "UTF-32BE": "utf-32-be"}
+_MARKS = {"UTF-16": ((b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")), "UTF-32": ((b"\xff\xfe\0\0", "UTF-32LE"), (b"\0\0\xfe\xff", "UTF-32BE"))}
+
+
+def _ordered(data: bytes, encoding: str) -> tuple[bytes, str] | None:
+    """Data of UTF-16 or UTF-32 without its byte order mark, and the encoding that tells; None without a mark."""
+    if encoding not in _MARKS:
+        return data, encoding
+    return next(((data[len(mark) :], which) for mark, which in _MARKS[encoding] if data.startswith(mark)), None)
 
 
 def decode_bytes(data: bytes, encoding: str) -> str:
@@ -355,20 +456,39 @@ def decode_bytes(data: bytes, encoding: str) -> str:
     return regex.sub(r"[\uDC80-\uDCFF]+", "�", text)
 
 
+def convert_str(b: bytes, src: str, dst: str) -> dict:
+    if src == dst or not b:
+        return {"output": b, "transformed": False, "status": "OK"}
+    known = _ordered(b, src)
+    if known is None or dst not in _CODECS:
+        return {"output": None, "transformed": False, "status": "INVALID_ENCODING"}
+    t = decode_bytes(*known)
+    if dst == "ASCII" and not t.isascii():
+        return {"output": None, "transformed": False, "status": "UNSUPPORTED"}
+    return {"output": t.encode(_CODECS[dst], "replace"), "transformed": True, "status": "OK"}
+
+
+def convert_encoding_result(data, source: str, target: str) -> Column:
+    """struct<output, transformed, status>: bytes re-encoded.
+
+    The same encoding, and empty bytes, are passed on unchecked. UTF-16 and UTF-32 as a source need a byte order mark,
+    which is not text; as a target they are invalid. A target that cannot hold the text is UNSUPPORTED.
+    """
+    src, dst = source.upper(), target.upper()
+    kind = pa.struct([("output", pa.binary()), ("transformed", pa.bool_()), ("status", pa.string())])
+    return _mapped(lambda b: convert_str(b, src, dst), kind, "struct<output:binary,transformed:boolean,status:string>")(_col(data).cast("binary"))
+
+
 def convert_encoding(data, source: str, target: str) -> Column:
-    """Bytes re-encoded. The same encoding is no conversion; null where the target cannot hold the text."""
+    """Bytes re-encoded, null where convert_encoding_result() says why not."""
     src, dst = source.upper(), target.upper()
+    return _mapped(lambda b: convert_str(b, src, dst)["output"], pa.binary(), "binary")(_col(data).cast("binary"))
 
-    def convert(b: bytes) -> bytes | None:
-        if src == dst or not b:
-            return b
-        t = decode_bytes(b, src)
-        if dst == "ASCII":
-            return t.encode() if t.isascii() else None
-        return t.encode(_CODECS[dst], "replace")
 
-    return _mapped(convert, pa.binary(), "binary")(_col(data).cast("binary"))
+def convert_encoding_into(data, source: str, target: str, max_bytes) -> Column:
+    return into(convert_encoding(data, source, target), max_bytes)
 
 
 def codepoint_count(data, encoding: str = "UTF-8") -> Column:
+    """Code points of bytes, a run of ill-formed ones being one."""
     return _mapped(lambda b: len(decode_bytes(b, encoding.upper())), pa.int64(), "bigint")(_col(data).cast("binary"))

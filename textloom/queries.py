@@ -5,11 +5,12 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import bidi
+from .functions import bidi, hosts
 from .functions import codepoints as cp
+from .functions import collation as coll
 from .functions import identity as ident
 from .functions import linebreak as lb
 from .functions import properties as pr
@@ -53,13 +54,16 @@ def _decomposed(col: str) -> str:
     return out
 
 
+#: Characters put in for others, and DuckDB's text after their compatibility decomposition.
+_COMPATIBLE = (("xkq27", "ﬁＫ㎞²Ⅷ"), "replace(replace(replace(replace(replace(text,'7','VIII'),'x','fi'),'k','K'),'q','km'),'2','2')")
+
 _WORDS = r"""len(list_filter(regexp_extract_all(text,'(?:\p{L}(?:[.:''’·]\p{L})*|\p{Nd}(?:[.,;''’]\p{Nd})*|_)+'), lambda x: regexp_matches(x,'[\p{L}\p{Nd}]')))"""
 _CODESPACE = "(SELECT CAST(range AS INTEGER) AS cp FROM range(1114112))"
 
 
 @_query(f"SELECT lang, count(*) AS n_docs, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, CAST(sum(length(text)) AS BIGINT) AS n_codepoints, CAST(sum(length_grapheme(text)) AS BIGINT) AS n_graphemes, CAST(sum({_WORDS}) AS BIGINT) AS n_words FROM documents GROUP BY lang")
 def text_profile_by_lang(spark, sf_dir):
-    return _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.octet_length("text").cast("long")).alias("n_bytes"), F.sum(F.char_length("text").cast("long")).alias("n_codepoints"), F.sum(tx.grapheme_count("text")).alias("n_graphemes"), F.sum(tx.latin_word_count("text")).alias("n_words"))
+    return _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.octet_length("text").cast("long")).alias("n_bytes"), F.sum(F.char_length("text").cast("long")).alias("n_codepoints"), F.sum(tx.grapheme_count("text")).alias("n_graphemes"), F.sum(tx.word_count("text")).alias("n_words"))
 
 
 @_query(f"SELECT doc_id, CAST({_WORDS} AS BIGINT) AS n_words FROM documents")
@@ -78,9 +82,17 @@ def normalize_nfc(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(tx.normalize(tx.normalize("text", "NFD"), "NFC")).alias("digest"))
 
 
-@_query("SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM documents")
+@_query(f"SELECT doc_id, md5(nfc_normalize({_COMPATIBLE[1]})) AS kc, md5({_decomposed(_COMPATIBLE[1])}) AS kd FROM documents")
 def normalize_nfkc(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.md5(tx.normalize("text", "NFKC")).alias("digest"))
+    """Compatibility forms of texts with ligatures, full-width letters and superscripts put in."""
+    t = F.translate("text", *_COMPATIBLE[0])
+    return _docs(spark, sf_dir).select("doc_id", F.md5(tx.normalize(t, "NFKC")).alias("kc"), F.md5(tx.normalize(t, "NFKD")).alias("kd"))
+
+
+@_query("SELECT doc_id, CASE WHEN strlen(text) <= 1000 THEN 'OK' ELSE 'OUTPUT_TOO_SMALL' END AS status, CAST(strlen(nfc_normalize(text)) AS BIGINT) AS size, CASE WHEN strlen(text) <= 1000 THEN md5(text) END AS digest FROM documents")
+def normalize_into(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", tx.normalize_into(tx.normalize("text", "NFD"), "NFC", 1000).alias("r"))
+    return d.select("doc_id", "r.status", "r.size", F.md5("r.output").alias("digest"))
 
 
 @_query(f"SELECT doc_id, CAST(length_grapheme({_decomposed('text')}) AS BIGINT) AS n FROM documents")
@@ -114,10 +126,32 @@ def filter_flags(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(tx.filter_text(wide, spaces=True)).alias("widened"), F.md5(tx.filter_text(wide, spaces=True, collapse=True)).alias("collapsed"), F.md5(tx.filter_text("text", controls=True)).alias("printable"))
 
 
-@_query("SELECT doc_id, md5(text) AS digest FROM documents")
+@_query("SELECT doc_id, md5(translate(text, 'abc', 'xyz')) AS digest, md5(regexp_replace(text, '([éèêäöüñóíáàçâîôû])', '\\1́́́', 'g')) AS marks FROM documents")
 def filter_numeric(spark, sf_dir):
-    arabic = F.translate("text", "0123456789", "٠١٢٣٤٥٦٧٨٩")
-    return _docs(spark, sf_dir).select("doc_id", F.md5(tx.filter_text(arabic, numeric=True)).alias("digest"))
+    """Digits of Arabic become ASCII ones; of a run of seven marks four stay."""
+    arabic = F.translate(F.translate("text", "abc", "xyz"), "0123456789", "٠١٢٣٤٥٦٧٨٩")
+    marked = F.regexp_replace("text", "([éèêäöüñóíáàçâîôû])", "$1́́́̀̀̀̀")
+    limited = F.regexp_replace(tx.filter_text(marked, limit_combining=True), "̀$|̀(?=[^\\p{M}])", "")
+    return _docs(spark, sf_dir).select("doc_id", F.md5(tx.filter_text(arabic, numeric=True)).alias("digest"), F.md5(limited).alias("marks"))
+
+
+@_query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 20 WHEN 2 THEN 12 WHEN 3 THEN 180 WHEN 4 THEN 96 ELSE 0 END AS detected, doc_id % 6 IN (1, 2, 3, 4) OR doc_id % 6 = 0 AND (strlen(text) + 3) % 2 = 0 AS utf16, CASE WHEN doc_id % 6 = 1 THEN md5(text) END AS back FROM documents WHERE doc_id % 6 NOT IN (0, 5) OR text <> ''")
+def encoding_marks(spark, sf_dir):
+    """Texts in six byte forms: with the marks of UTF-8, UTF-16 and UTF-32, and cut within a character."""
+    d, utf8 = _docs(spark, sf_dir).withColumn("k", F.col("doc_id") % 6), F.encode("text", "UTF-8")
+    form = lambda e, mark: F.concat(F.lit(mark), tx.convert_encoding(utf8, "UTF-8", e))
+    b = F.when(F.col("k") == 0, F.concat(F.lit(b"\xef\xbb\xbf"), utf8)).when(F.col("k") == 1, form("UTF-16LE", b"\xff\xfe")).when(F.col("k") == 2, form("UTF-16BE", b"\xfe\xff")).when(F.col("k") == 3, form("UTF-32LE", b"\xff\xfe\0\0")).when(F.col("k") == 4, form("UTF-32BE", b"\0\0\xfe\xff")).otherwise(F.concat(utf8, F.lit(b"\xc3")))
+    d = d.where(~F.col("k").isin(0, 5) | (F.col("text") != "")).withColumn("b", b)
+    odd = F.when(F.col("k") < 5, tx.is_utf16("b")).otherwise(F.lit(False))
+    return d.select("doc_id", tx.detect_encoding("b").alias("detected"), odd.alias("utf16"), F.when(F.col("k") == 1, F.md5(tx.convert_encoding(F.when(F.col("k") == 1, F.col("b")), "UTF-16", "UTF-8"))).alias("back"))
+
+
+@_query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'OK' WHEN 1 THEN CASE WHEN text = '' THEN 'OK' ELSE 'INVALID_ENCODING' END WHEN 2 THEN CASE WHEN strlen(text) = length(text) THEN 'OK' ELSE 'UNSUPPORTED' END ELSE 'OK' END AS status, doc_id % 4 IN (2, 3) AND text <> '' AND (doc_id % 4 = 3 OR strlen(text) = length(text)) AS transformed, CAST(CASE doc_id % 4 WHEN 0 THEN strlen(text) WHEN 1 THEN CASE WHEN text = '' THEN 0 END WHEN 2 THEN CASE WHEN strlen(text) = length(text) THEN strlen(text) END ELSE 4 * length(text) END AS BIGINT) AS size FROM documents")
+def convert_encoding_status(spark, sf_dir):
+    b, k = F.encode("text", "UTF-8"), F.col("doc_id") % 4
+    ways = [tx.convert_encoding_result(F.when(k == i, b), src, dst) for i, (src, dst) in enumerate((("UTF-8", "UTF-8"), ("UTF-16", "UTF-8"), ("UTF-8", "ASCII"), ("UTF-8", "UTF-32BE")))]
+    d = _docs(spark, sf_dir).select("doc_id", F.coalesce(*ways).alias("r"))
+    return d.select("doc_id", "r.status", "r.transformed", F.octet_length("r.output").cast("long").alias("size"))
 
 
 @_query("SELECT doc_id, strlen(text) > 0 AND strlen(text) = length(text) AS ascii, strlen(text) > 0 AS utf8, CASE WHEN text = '' THEN 0 WHEN strlen(text) = length(text) THEN 3 ELSE 2 END AS detected, CAST(length(text) AS BIGINT) AS n FROM documents")
@@ -136,8 +170,23 @@ def convert_encoding_roundtrip(spark, sf_dir):
 
 @_query("SELECT unicode(c) AS cp, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (first) AS BIGINT) AS n_first FROM (SELECT unnest(string_split(text, '')) AS c, unnest(range(length(text))) = 0 AS first FROM documents WHERE text <> '') GROUP BY 1")
 def codepoint_histogram(spark, sf_dir):
-    chars = _docs(spark, sf_dir).where("text <> ''").select(F.posexplode(F.split("text", "")).alias("i", "c"))
-    return chars.groupBy(F.conv(F.hex(F.encode("c", "UTF-32")), 16, 10).cast("int").alias("cp")).agg(F.count("*").alias("n"), F.count_if(F.col("i") == 0).alias("n_first"))
+    return cp.histogram(_docs(spark, sf_dir), "text")
+
+
+@_query("SELECT conv_id, turn, CAST(length(regexp_extract(text, '^[^ ]* ?')) AS BIGINT) AS n, unicode(text) AS first_cp, CAST(CASE WHEN strpos(text, ' ') = 0 OR strpos(text, ' ') = length(text) THEN 1 ELSE 0 END AS BIGINT) AS n_last FROM conversations WHERE text <> ''")
+def each_codepoint(spark, sf_dir):
+    """Code points up to the first space, which stops the iteration."""
+    d = cp.for_each_codepoint(_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text")), "text", lambda c: c != 32)
+    # What stops a text ends it: last is the flag of its last code point, of those that were visited.
+    whole = d.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.max(F.when(F.col("first"), F.col("cp"))).alias("first_cp"), F.max(F.length("text")).alias("_all"))
+    return whole.select("conv_id", "turn", "n", "first_cp", (F.col("n") == F.col("_all")).cast("long").alias("n_last"))
+
+
+@_query("SELECT c.cp, c.n, CASE WHEN regexp_matches(chr(c.cp), '\\p{L}') THEN regexp_extract(CASE WHEN chr(c.cp) = lower(chr(c.cp)) THEN 'Ll' ELSE 'Lu' END, '..') WHEN regexp_matches(chr(c.cp), '\\p{Nd}') THEN 'Nd' WHEN c.cp = 32 THEN 'Zs' WHEN c.cp < 32 THEN 'Cc' WHEN chr(c.cp) = '(' THEN 'Ps' WHEN chr(c.cp) = ')' THEN 'Pe' WHEN chr(c.cp) = '-' THEN 'Pd' WHEN chr(c.cp) = '$' THEN 'Sc' WHEN chr(c.cp) IN ('+', '=', '|') THEN 'Sm' ELSE 'Po' END AS category FROM (SELECT unicode(ch) AS cp, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM conversations WHERE text <> '') GROUP BY 1) c")
+def codepoint_categories(spark, sf_dir):
+    """Records of the code points of conversations: the relation of characters joined to what the iteration gives."""
+    d = cp.for_each_codepoint(_table(spark, sf_dir, "conversations").select("text"), "text").groupBy("cp").agg(F.count("*").alias("n"))
+    return d.join(F.broadcast(cp.characters(spark).select("cp", "category")), "cp").select("cp", "n", "category")
 
 
 @_query("SELECT md5(lower(replace(text,'ß','ss'))) AS k, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first_id FROM documents GROUP BY lower(replace(text,'ß','ss')) HAVING count(*) > 1")
@@ -173,11 +222,6 @@ def codepoint_cjk(spark, sf_dir):
     return _space(spark).select("cp", cp.is_cjk_extension("cp").alias("extension"), cp.is_cjk_ideograph("cp").alias("ideograph"))
 
 
-@_query("SELECT p, p BETWEEN 0 AND 16 AS valid, CASE p WHEN 0 THEN 'BMP' WHEN 1 THEN 'SMP' WHEN 2 THEN 'SIP' WHEN 3 THEN 'TIP' WHEN 14 THEN 'SSP' WHEN 15 THEN 'PUA-A' WHEN 16 THEN 'PUA-B' ELSE CASE WHEN p BETWEEN 0 AND 16 THEN 'Unassigned' END END AS name FROM (SELECT range AS p FROM range(-2, 20))")
-def plane_names(spark, sf_dir):
-    return spark.range(-2, 20).select(F.col("id").alias("p"), cp.plane_is_valid("id").alias("valid"), cp.plane_name("id", True).alias("name"))
-
-
 @_query(f"SELECT cp, CASE WHEN cp BETWEEN 55296 AND 57343 THEN '' ELSE hex(encode(chr(cp))) END AS utf8, CASE WHEN cp BETWEEN 55296 AND 57343 THEN '' ELSE lpad(hex(cp), 8, '0') END AS utf32 FROM {_CODESPACE} WHERE cp > 0")
 def codepoint_encode(spark, sf_dir):
     return _space(spark).where("cp > 0").select("cp", F.hex(cp.encode("cp")).alias("utf8"), F.hex(cp.encode("cp", "UTF-32BE")).alias("utf32"))
@@ -189,11 +233,6 @@ def hangul_syllables(spark, sf_dir):
     return s.select("cp", F.get("d", F.lit(0)).alias("l"), F.get("d", F.lit(1)).alias("v"), F.get("d", F.lit(2)).alias("t"), F.element_at(cp.hangul_compose(F.filter("d", lambda x: x > 0)), 1).alias("composed"))
 
 
-@_query("SELECT * FROM (VALUES (44032,'HANGUL SYLLABLE GA'),(44033,'HANGUL SYLLABLE GAG'),(45397,'HANGUL SYLLABLE NYEONG'),(55203,'HANGUL SYLLABLE HIH'),(65,NULL)) t(cp,name)")
-def hangul_names(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in (44032, 44033, 45397, 55203, 65)], "cp int").select("cp", cp.hangul_name("cp").alias("name"))
-
-
 @_query(f"SELECT doc_id, CAST(strlen(left_grapheme({_decomposed('text')}, 25)) AS BIGINT) AS n_bytes, md5(left_grapheme({_decomposed('text')}, 25)) AS digest FROM documents")
 def truncate_grapheme(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", tx.truncate(tx.normalize("text", "NFD"), "grapheme", 25).alias("t"))
@@ -206,16 +245,9 @@ def terminal_width(spark, sf_dir):
     return lines.select("doc_id", tx.terminal_width("line").alias("narrow"), tx.terminal_width("line", True).alias("wide"))
 
 
-@_query("SELECT n_name, CAST(rank() OVER (ORDER BY lower(n_name)) AS INTEGER) AS place FROM nation")
-def collation_rank(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return _table(spark, sf_dir, "nation").select("n_name", F.rank().over(Window.orderBy(ident.collated("n_name", "secondary"))).alias("place"))
-
-
 @_query("SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, 0 AS errors FROM pages")
 def idna_hosts(spark, sf_dir):
-    d = _table(spark, sf_dir, "pages").select("page_id", ident.idna(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("h"))
+    d = _table(spark, sf_dir, "pages").select("page_id", hosts.idna(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("h"))
     return d.select("page_id", F.col("h.output").alias("host"), F.col("h.errors").alias("errors"))
 
 
@@ -231,149 +263,261 @@ def identifiers(spark, sf_dir):
     return w.select("w", ident.is_identifier("w").alias("ok"))
 
 
-def _golden(rows: str, cols: str) -> str:
-    return f"SELECT * FROM (VALUES {rows}) t({cols})"
+_BIDI_REMOVED = r"[\x00-\x08\x0E-\x1B\x7F-\x84\x86-\x9F\xAD]"
 
 
-@_query(_golden("('mixed CASE words','Mixed Case Words'),('rock''n''ROLL','Rock''n''roll'),('😀grinning','😀Grinning'),('123abc','123Abc'),('ⅲ times','Ⅲ Times')", "t,title"))
-def title_case(spark, sf_dir):
-    rows = [("mixed CASE words",), ("rock'n'ROLL",), ("😀grinning",), ("123abc",), ("ⅲ times",)]
-    return spark.createDataFrame(rows, "t string").select("t", tx.map_case("t", "title").alias("title"))
+@_query(f"SELECT conv_id, turn, 'LTR' AS direction, CAST(length(regexp_replace(text,'{_BIDI_REMOVED}','','g')) AS BIGINT) AS n, 0 AS level, CASE WHEN text = '' THEN 0 ELSE 1 END AS n_runs FROM conversations")
+def bidi_conversations(spark, sf_dir):
+    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", bidi.bidi_resolve("text").alias("b"))
+    return d.select("conv_id", "turn", "b.direction", F.size("b.chars").cast("long").alias("n"), "b.level", F.size("b.runs").alias("n_runs"))
 
 
-@_query(_golden("('ISPARTA','tr','lower','ısparta'),('İSTANBUL','tr','lower','istanbul'),('diyarbakır','tr','upper','DİYARBAKIR'),('ILIK','tr','title','Ilık'),('ΑΣ','en','lower','ας')", "t,locale,op,mapped"))
-def locale_case(spark, sf_dir):
-    rows = [("ISPARTA", "tr", "lower"), ("İSTANBUL", "tr", "lower"), ("diyarbakır", "tr", "upper"), ("ILIK", "tr", "title"), ("ΑΣ", "en", "lower")]
-    parts = [spark.createDataFrame([r], "t string, locale string, op string").withColumn("mapped", tx.map_case("t", r[2], r[1])) for r in rows]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+_HARD = r"\r\n|[\n\x0B\f\r\x85\x{2028}\x{2029}]"
 
 
-@_query(_golden("('Hello. How are you? Fine!',3),('Wait... then more.',1),('Dr. Smith went.',2),('a b',1),('',0)", "t,n"))
-def sentence_count(spark, sf_dir):
-    rows = [("Hello. How are you? Fine!",), ("Wait... then more.",), ("Dr. Smith went.",), ("a b",), ("",)]
-    return spark.createDataFrame(rows, "t string").select("t", tx.sentence_count("t").cast("int").alias("n"))
+@_query(f"SELECT conv_id, turn, CAST(len(regexp_extract_all(text,'{_HARD}')) + CASE WHEN text = '' OR regexp_matches(text,'[\\n\\x0B\\f\\r\\x85\\x{{2028}}\\x{{2029}}]$') THEN 0 ELSE 1 END AS BIGINT) AS n_mandatory FROM conversations")
+def line_breaks_mandatory(spark, sf_dir):
+    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", lb.line_breaks("text").alias("b"))
+    return d.select("conv_id", "turn", F.size(F.filter("b", lambda x: x["kind"] == "MANDATORY")).cast("long").alias("n_mandatory"))
 
 
-@_query(_golden("('Hello, world! It works.',4),('don''t stop',2),('e.g. example.com',2),('state-of-the-art',4),('3.14 is pi',3),('foo_bar baz',2),('_ _',0),('東京',2),('カタカナ',1)", "t,n"))
-def word_count_cases(spark, sf_dir):
-    rows = [(x,) for x in ("Hello, world! It works.", "don't stop", "e.g. example.com", "state-of-the-art", "3.14 is pi", "foo_bar baz", "_ _", "東京", "カタカナ")]
-    return spark.createDataFrame(rows, "t string").select("t", tx.word_count("t").cast("int").alias("n"))
+@_query(f"SELECT cp, CASE WHEN cp < 128 THEN 'Basic Latin' WHEN cp < 256 THEN 'Latin-1 Supplement' WHEN cp < 384 THEN 'Latin Extended-A' WHEN cp BETWEEN 8192 AND 8303 THEN 'General Punctuation' ELSE 'other' END AS block, n FROM (SELECT unicode(c) AS cp, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents WHERE text <> '') GROUP BY 1)")
+def codepoint_blocks(spark, sf_dir):
+    d = pr.codepoint_block(codepoint_histogram(spark, sf_dir), "cp")
+    few = F.col("block").isin("Basic Latin", "Latin-1 Supplement", "Latin Extended-A", "General Punctuation")
+    return d.select("cp", F.when(few, F.col("block")).otherwise("other").alias("block"), "n")
 
 
-@_query(_golden("('Straße','STRASSE','unnormalized',true),(chr(197),'A'||chr(778),'unnormalized',false),(chr(197),'A'||chr(778),'canonical',true),('㎒','MHz','canonical',false),('㎒','MHz','compatibility',true),('ab'||chr(173),'ab','compatibility',false),('ab'||chr(173),'ab','identifier',true),('I','ı','unnormalized',false)", "a,b,mode,ok"))
-def caseless_cases(spark, sf_dir):
-    ring = ("\u00c5", "A\u030a")
-    rows = [("Straße", "STRASSE", "unnormalized"), (*ring, "unnormalized"), (*ring, "canonical"), ("㎒", "MHz", "canonical"), ("㎒", "MHz", "compatibility"), ("ab\xad", "ab", "compatibility"), ("ab\xad", "ab", "identifier"), ("I", "ı", "unnormalized")]
-    d = spark.createDataFrame(rows, "a string, b string, mode string")
-    ok = F.when(F.col("mode") == "canonical", ident.caseless_match("a", "b", "canonical")).when(F.col("mode") == "compatibility", ident.caseless_match("a", "b", "compatibility")).when(F.col("mode") == "identifier", ident.caseless_match("a", "b", "identifier")).otherwise(ident.caseless_match("a", "b", "unnormalized"))
-    return d.withColumn("ok", ok)
+@_query()
+def codepoint_properties(spark, sf_dir):
+    """All named binary properties over the code space."""
+    return _space(spark).select("cp", *(cp.has_property("cp", p).alias(n) for n, p in cp.NAMED.items()))
 
 
-@_query(_golden("('zh-cmn-Hans-CN','zh|cmn|Hans|CN||||'),('de-CH-1901','de|||CH|1901|||'),('en-US-u-islamcal','en|||US||u-islamcal||'),('de-CH-x-phonebk','de|||CH|||x-phonebk|'),('i-enochian','|||||||i-enochian'),('x-whatever','||||||x-whatever|'),('de-419-DE',NULL),('a-DE',NULL),('ar-a-aaa-b-bbb-a-ccc',NULL),('de-1901-1901',NULL),('en-abcdefghi',NULL)", "tag,parts"))
-def locale_tags(spark, sf_dir):
-    rows = [(x,) for x in ("zh-cmn-Hans-CN", "de-CH-1901", "en-US-u-islamcal", "de-CH-x-phonebk", "i-enochian", "x-whatever", "de-419-DE", "a-DE", "ar-a-aaa-b-bbb-a-ccc", "de-1901-1901", "en-abcdefghi")]
-    d = spark.createDataFrame(rows, "tag string").select("tag", ident.parse_locale("tag").alias("p"))
-    return d.select("tag", F.when(F.col("p").isNotNull(), F.concat_ws("|", *(F.col(f"p.{f}") for f in ident.LOCALE_FIELDS))).alias("parts"))
+@_query()
+def codepoint_records(spark, sf_dir):
+    return cp.characters(spark)
 
 
-@_query(_golden("('Circle','RESOLVED','Latn'),('hеllo','EMPTY',''),('123!','ALL',''),('','ALL',''),('ー','RESOLVED','Hira,Jpan,Kana'),('ねガ','RESOLVED','Jpan'),('〆切','RESOLVED','Hanb,Hani,Jpan,Kore')", "t,kind,scripts"))
-def script_cases(spark, sf_dir):
-    rows = [(x,) for x in ("Circle", "hеllo", "123!", "", "ー", "ねガ", "〆切")]
-    d = spark.createDataFrame(rows, "t string").select("t", ident.resolved_scripts("t").alias("s"))
-    return d.select("t", "s.kind", F.array_join("s.scripts", ",").alias("scripts"))
+_FOLDED = "lower(replace(text,'ß','ss'))"
 
 
-@_query(_golden("('',0),(' ',1),('é',1),('中',2),('中文',4),('Ａ',2),('Hello',5),('Hello中',7),(chr(9),NULL),(chr(8232),NULL)", "t,w"))
-def width_cases(spark, sf_dir):
-    rows = [(x,) for x in ("", " ", "é", "中", "中文", "Ａ", "Hello", "Hello中", "\t", " ")]
-    return spark.createDataFrame(rows, "t string").select("t", tx.terminal_width("t").cast("int").alias("w"))
+@_query(f"SELECT doc_id, md5({_FOLDED}) AS unnormalized, md5({_decomposed(_FOLDED)}) AS canonical, md5({_decomposed(_FOLDED)}) AS compatibility, md5({_decomposed(_FOLDED)}) AS identifier FROM documents")
+def caseless_modes(spark, sf_dir):
+    """Keys of all modes; canonical and compatibility ones of decomposed upper-case texts, identifiers' with soft hyphens put in."""
+    soft = F.regexp_replace("text", "e", "e­")
+    key = lambda t, mode: F.md5(ident.caseless_key(t, mode)).alias(mode)
+    return _docs(spark, sf_dir).select("doc_id", key("text", "unnormalized"), key(tx.normalize(F.upper("text"), "NFD"), "canonical"), key(F.upper("text"), "compatibility"), key(soft, "identifier"))
 
 
-@_query(_golden("('bücher.example','xn--bcher-kva.example',0),('a..b','a..b',2),('EXAMPLE.com','example.com',0)", "t,host,errors"))
-def idna_cases(spark, sf_dir):
-    d = spark.createDataFrame([("bücher.example",), ("a..b",), ("EXAMPLE.com",)], "t string").select("t", ident.idna("t").alias("h"))
-    return d.select("t", F.col("h.output").alias("host"), F.col("h.errors").alias("errors"))
+_TOKENS = r"""regexp_extract_all({0},'(?s)(?:\p{{L}}(?:[.:''’·]\p{{L}})*|\p{{Nd}}(?:[.,;''’]\p{{Nd}})*|_)+| +|\r\n|.')"""
 
 
-_BIDI_REMOVED = r"[\x00-\x08\x0E-\x1B\x7F-\x84\x86-\x9F\xAD]"
+@_query(f"SELECT conv_id, turn, md5(array_to_string({_TOKENS.format('text')}, '|')) AS digest, CAST(len({_TOKENS.format('text')}) AS BIGINT) AS n FROM conversations")
+def word_segments(spark, sf_dir):
+    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.segments("text", "word").alias("w"), tx.breaks("text", "word").alias("b"))
+    return d.select("conv_id", "turn", F.md5(F.array_join("w", "|")).alias("digest"), F.size("b").cast("long").alias("n"))
 
 
-@_query(f"SELECT conv_id, turn, 'LTR' AS direction, CAST(length(regexp_replace(text,'{_BIDI_REMOVED}','','g')) AS BIGINT) AS n, 0 AS level, CASE WHEN text = '' THEN 0 ELSE 1 END AS n_runs FROM conversations")
-def bidi_conversations(spark, sf_dir):
-    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", bidi.bidi_resolve("text").alias("b"))
-    return d.select("conv_id", "turn", "b.direction", F.size("b.chars").cast("long").alias("n"), "b.level", F.size("b.runs").alias("n_runs"))
+_MARKED = _decomposed("text")
 
 
-@_query(_golden("('abc','0,0,0','0,1,2','abc'),('אבג','1,1,1','2,1,0','גבא'),('a(א)','0,0,1,0','0,1,2,3','a(א)'),('א(1)','1,1,2,1','3,2,1,0','(1)א'),('א 12','1,1,2,2','2,3,1,0','12 א')", "t,levels,visual,shown"))
-def bidi_cases(spark, sf_dir):
-    rows = [(x,) for x in ("abc", "אבג", "a(א)", "א(1)", "א 12")]
-    d = spark.createDataFrame(rows, "t string").select("t", bidi.bidi_resolve("t").alias("b"))
-    shown = F.transform("b.visual", lambda i: F.decode(F.unhex(F.lpad(F.hex(F.get("b.chars", i)["mirror"]), 8, "0")), "UTF-32"))
-    return d.select("t", F.array_join(F.transform("b.chars", lambda x: x["level"].cast("string")), ",").alias("levels"), F.array_join(F.col("b.visual").cast("array<string>"), ",").alias("visual"), F.array_join(shown, "").alias("shown"))
+@_query(f"SELECT conv_id, turn, md5(array_to_string(list_filter(range(1, length(t) + 1), lambda i: i = length(t) OR NOT regexp_matches(t[i + 1:i + 1], '\\p{{M}}')), ',')) AS digest FROM (SELECT conv_id, turn, {_MARKED} AS t FROM conversations)")
+def grapheme_breaks(spark, sf_dir):
+    """Positions of the breaks of decomposed texts."""
+    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.breaks(tx.normalize("text", "NFD"), "grapheme").alias("b"))
+    return d.select("conv_id", "turn", F.md5(F.array_join(F.transform("b", lambda x: x["at"].cast("string")), ",")).alias("digest"))
 
 
-@_query(_golden("('paypal','pаypаl',true),('','',false),('rn','m',true),('abc','abd',false),('O0','OO',true)", "a,b,ok"))
-def confusable_cases(spark, sf_dir):
-    rows = [("paypal", "pаypаl"), ("", ""), ("rn", "m"), ("abc", "abd"), ("O0", "OO")]
-    return spark.createDataFrame(rows, "a string, b string").withColumn("ok", sec.confusable_match("a", "b"))
+@_query("SELECT conv_id, turn, kind, CAST(length(text) AS BIGINT) AS n_events FROM conversations, (VALUES ('grapheme'), ('word'), ('sentence'), ('line')) k(kind)")
+def break_events(spark, sf_dir):
+    """Every code point of a text ends in one event of each iterator: a break or none."""
+    d = _table(spark, sf_dir, "conversations")
+    parts = [d.select("conv_id", "turn", F.lit(k).alias("kind"), F.size(tx.breaks("text", k, every=True)).cast("long").alias("n_events")) for k in ("grapheme", "word", "sentence", "line")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@_query("SELECT n_nationkey, replace(replace(replace(replace(n_name,'I','l'),'0','O'),'1','l'),'m','rn') AS skeleton FROM nation")
-def confusable_skeletons(spark, sf_dir):
-    return _table(spark, sf_dir, "nation").select("n_nationkey", sec.confusable_skeleton("n_name").alias("skeleton"))
+@_query()
+def break_profile(spark, sf_dir):
+    """How many breaks of each kind every text of the conversations has; tests compare lines with ICU."""
+    b = lambda k: tx.breaks("text", k)
+    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", b("word").alias("w"), b("sentence").alias("s"), b("line").alias("l"))
+    return d.select("conv_id", "turn", F.size("w").alias("words"), F.size("s").alias("sentences"), F.size(F.filter("l", lambda x: x["kind"] == "ALLOWED")).alias("lines"))
 
 
-@_query(_golden("('😀','BASIC','FULLY_QUALIFIED',1,true),('1️⃣','KEYCAP','FULLY_QUALIFIED',3,true),('❤','BASIC','UNQUALIFIED',1,false),('👍🏽','MODIFIER','FULLY_QUALIFIED',2,true),('🇫🇷','FLAG','FULLY_QUALIFIED',2,true),('👩‍❤‍👨','ZWJ','MINIMALLY_QUALIFIED',5,false),('a',NULL,NULL,NULL,false)", "t,kind,qualification,n,rgi"))
-def emoji_cases(spark, sf_dir):
-    rows = [(x,) for x in ("😀", "1️⃣", "❤", "👍🏽", "🇫🇷", "👩‍❤‍👨", "a")]
-    d = spark.createDataFrame(rows, "t string").select("t", sec.emoji_sequence_info("t").alias("e"), sec.is_rgi_emoji("t").alias("rgi"))
-    return d.select("t", "e.kind", "e.qualification", F.col("e.count").alias("n"), "rgi")
+@_query()
+def sentence_count(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.sentence_count("text").alias("n"))
 
 
-_HARD = r"\r\n|[\n\x0B\f\r\x85\x{2028}\x{2029}]"
+_TITLED = r"""array_to_string(list_transform({0}, lambda x: regexp_extract(x,'(?s)^([^\p{{L}}]*)',1) || CASE WHEN regexp_extract(x,'\p{{L}}') = 'ß' THEN 'Ss' ELSE upper(regexp_extract(x,'\p{{L}}')) END || lower(regexp_extract(x,'(?s)^[^\p{{L}}]*\p{{L}}(.*)',1))), '')"""
 
 
-@_query(f"SELECT conv_id, turn, CAST(len(regexp_extract_all(text,'{_HARD}')) + CASE WHEN text = '' OR regexp_matches(text,'[\\n\\x0B\\f\\r\\x85\\x{{2028}}\\x{{2029}}]$') THEN 0 ELSE 1 END AS BIGINT) AS n_mandatory FROM conversations")
-def line_breaks_mandatory(spark, sf_dir):
-    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", lb.line_breaks("text").alias("b"))
-    return d.select("conv_id", "turn", F.size(F.filter("b", lambda x: x["kind"] == "MANDATORY")).cast("long").alias("n_mandatory"))
+@_query(f"SELECT doc_id, md5({_TITLED.format(_TOKENS.format('text'))}) AS titled FROM documents")
+def title_case(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(tx.map_case("text", "title", "en")).alias("titled"))
 
 
-@_query(_golden("('Hello world','6A,11M'),('a-b 3.14','2A,4A,8M'),('x'||chr(13)||chr(10)||'y','3M,4M'),('中文。','1A,3M'),('(a) $5','4A,6M'),('','')", "t,breaks"))
-def line_break_cases(spark, sf_dir):
-    rows = [(x,) for x in ("Hello world", "a-b 3.14", "x\r\ny", "中文。", "(a) $5", "")]
-    d = spark.createDataFrame(rows, "t string").select("t", lb.line_breaks("t").alias("b"))
-    return d.select("t", F.array_join(F.transform("b", lambda x: F.concat(x["at"].cast("string"), F.left(x["kind"], F.lit(1)))), ",").alias("breaks"))
+@_query("SELECT doc_id, md5(upper(replace(replace(text,'i','İ'),'ß','SS'))) AS up, md5(lower(replace(text,'I','ı'))) AS low, CASE WHEN strlen(text) <= 500 THEN md5(upper(replace(replace(text,'i','İ'),'ß','SS'))) END AS fits FROM documents")
+def locale_case(spark, sf_dir):
+    """Case by Turkish rules, once told as an argument and once by the session; the buffer's size goes by the result's."""
+    told = tx.map_case("text", "upper", "tr-TR")
+    saved = ses.get_locale(spark)
+    ses.set_locale(spark, "tr")
+    low = tx.map_case("text", "lower")
+    ses.set_locale(spark, saved)
+    d = _docs(spark, sf_dir).select("doc_id", "text", told.alias("u"), low.alias("l"))
+    return d.select("doc_id", F.md5("u").alias("up"), F.md5("l").alias("low"), tx.into(F.when(F.octet_length("text") <= 500, F.col("u")), 10_000)["output"].alias("o")).select("doc_id", "up", "low", F.md5("o").alias("fits"))
 
 
-@_query("SELECT s, CASE s WHEN 0 THEN 'The operation completed successfully' WHEN 3 THEN 'The codepoint is not a valid Unicode scalar value' WHEN 8 THEN 'The input contains a malformed code-unit sequence' ELSE 'The status code is unknown' END AS message FROM (VALUES (-1),(0),(3),(8),(13)) t(s)")
-def status_messages(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in (-1, 0, 3, 8, 13)], "s int").select("s", ses.status_message("s").alias("message"))
+@_query(f"SELECT conv_id, turn, CAST({_WORDS} AS BIGINT) + 5 AS n FROM conversations")
+def word_count_scripts(spark, sf_dir):
+    """Ideographs are words one by one, Katakana together, Cyrillic letters with an apostrophe too."""
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.word_count(F.concat("text", F.lit(" 東京 カタカナ и'я _ … я3.14"))).alias("n"))
 
 
-@_query(_golden("(65,'Basic Latin','Latin','Narrow','Latn',NULL),(178,'Latin-1 Supplement','Common','Ambiguous','Zyyy','2'),(189,'Latin-1 Supplement','Common','Ambiguous','Zyyy','1/2'),(1632,'Arabic','Arabic','Neutral','Arab,Thaa,Yezi','0'),(20013,'CJK Unified Ideographs','Han','Wide','Hani',NULL),(8544,'Number Forms','Latin','Ambiguous','Latn','1'),(1114112,NULL,NULL,NULL,NULL,NULL)", "cp,block,script,width,extensions,number"))
-def codepoint_value_cases(spark, sf_dir):
-    d = spark.createDataFrame([(x,) for x in (65, 178, 189, 1632, 20013, 8544, 1114112)], "cp int")
-    d = pr.with_property(pr.with_property(pr.codepoint_block(d, "cp"), "cp", "Script", "script"), "cp", "East_Asian_Width", "width")
-    return d.select("cp", "block", "script", "width", F.array_join(F.array_sort(pr.script_extensions("cp")), ",").alias("extensions"), pr.numeric_value("cp")["numeric"].alias("number"))
+@_query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '\p{L}') THEN 'EMPTY' ELSE 'RESOLVED' END AS mixed, CASE WHEN regexp_matches(text, '\p{L}') THEN '' ELSE 'Cyrl' END AS scripts, CASE WHEN regexp_matches(text, '\p{L}') THEN 'EMPTY' ELSE 'RESOLVED' END AS han, CASE WHEN regexp_matches(text, '\p{L}') THEN '' ELSE 'Hanb,Hani,Jpan,Kore' END AS han_scripts FROM documents")
+def mixed_scripts(spark, sf_dir):
+    r = lambda more: ident.resolved_scripts(F.concat("text", F.lit(more)))
+    d = _docs(spark, sf_dir).select("doc_id", r(" я!").alias("a"), r("〆切").alias("b"))
+    return d.select("doc_id", F.col("a.kind").alias("mixed"), F.array_join("a.scripts", ",").alias("scripts"), F.col("b.kind").alias("han"), F.array_join("b.scripts", ",").alias("han_scripts"))
 
 
-@_query(f"SELECT cp, CASE WHEN cp < 128 THEN 'Basic Latin' WHEN cp < 256 THEN 'Latin-1 Supplement' WHEN cp < 384 THEN 'Latin Extended-A' WHEN cp BETWEEN 8192 AND 8303 THEN 'General Punctuation' ELSE 'other' END AS block, n FROM (SELECT unicode(c) AS cp, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents WHERE text <> '') GROUP BY 1)")
-def codepoint_blocks(spark, sf_dir):
-    d = pr.codepoint_block(codepoint_histogram(spark, sf_dir), "cp")
-    few = F.col("block").isin("Basic Latin", "Latin-1 Supplement", "Latin Extended-A", "General Punctuation")
-    return d.select("cp", F.when(few, F.col("block")).otherwise("other").alias("block"), "n")
+@_query("SELECT page_id, CAST(length(url) + 9 AS BIGINT) AS w, CAST(length(url) + 9 + 1 AS BIGINT) AS wide, CAST(NULL AS BIGINT) AS none FROM pages")
+def terminal_width_scripts(spark, sf_dir):
+    """Wide letters take two columns, marks and format characters none, a family of emoji two; a tab cannot be measured."""
+    t = F.concat("url", F.lit("中文Ａ é​👩‍👩‍👧"), F.lit(""))
+    a = F.concat("url", F.lit("中文Ａ§👩‍👩‍👧"))
+    return _table(spark, sf_dir, "pages").select("page_id", (tx.terminal_width(t) - 1).alias("w"), tx.terminal_width(a, True).alias("wide"), tx.terminal_width(F.concat("url", F.lit("\t"))).alias("none"))
+
+
+@_query("SELECT n_nationkey, n_name[1:8] AS cut, n_name[1:3] AS narrow, md5(n_name || ' 中') AS whole, CAST(strlen(n_name) + 4 AS BIGINT) AS required, n_name[1:6] AS printed FROM nation WHERE length(n_name) >= 4")
+def truncate_width(spark, sf_dir):
+    """Prefixes by columns, clusters and bytes; what does not fit whole is left out."""
+    t = F.concat("n_name", F.lit(" 中"))
+    wide = F.concat(F.left("n_name", F.lit(3)), F.lit("中中"))
+    d = _table(spark, sf_dir, "nation").where("length(n_name) >= 4").select("n_nationkey", "n_name", t.alias("t"), wide.alias("wide"))
+    p = tx.format_text("%s%s", F.left("n_name", F.lit(6)), F.repeat(F.lit("é"), F.lit(9)), max_bytes=8, clusters=True)
+    whole = tx.format_text("%s %s", "n_name", F.lit("中"), max_bytes=100)
+    return d.select("n_nationkey", tx.truncate_width("n_name", "grapheme", 8).alias("cut"), tx.truncate_width("wide", "grapheme", 4).alias("narrow"), F.md5(whole["output"]).alias("whole"), whole["required"].alias("required"), F.when(F.length("n_name") >= 6, p["output"]).otherwise(F.col("n_name")).alias("printed"))
+
+
+@_query(f"SELECT doc_id, array_to_string(list_slice({_TOKENS.format('text')}, 1, 7), '') AS first_segments FROM documents")
+def truncate_word(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.truncate("text", "word", 7)["text"].alias("first_segments"))
+
+
+_HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
+
+
+@_query(f"""SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'xn--fa-hia.' WHEN 1 THEN 'xn--ab-j1t.' WHEN 2 THEN 'xn--11b2ezcw70k.' WHEN 3 THEN '1.xn--4dbc.' WHEN 4 THEN 'abc.' WHEN 5 THEN '-a_b.' WHEN 6 THEN 'a..' ELSE 'xn--bcher-kva.' END || {_HOST} AS host,
+ CASE page_id % 8 WHEN 1 THEN 128 WHEN 3 THEN 256 WHEN 5 THEN 68 WHEN 6 THEN 514 ELSE 0 END AS errors, CASE page_id % 8 WHEN 0 THEN 'faß.' WHEN 7 THEN 'bücher.' END || {_HOST} AS shown FROM pages""")
+def idna_scripts(spark, sf_dir):
+    """Hosts below labels with sharp s, joiners, Hebrew, full-width letters, wrong hyphens, none and Punycode."""
+    k, host = F.col("page_id") % 8, F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)
+    label = F.element_at(F.array(*map(F.lit, ("Faß.", "a‌b.", "क्‍ष.", "1.אב.", "Ａｂｃ。", "-a_b.", "a..", "BÜCHER."))), (k + 1).cast("int"))
+    d = _table(spark, sf_dir, "pages").select("page_id", k.alias("k"), F.concat(label, host).alias("t"))
+    d = d.withColumn("h", hosts.idna("t"))
+    return d.select("page_id", F.col("h.output").alias("host"), F.col("h.errors").alias("errors"), F.when(F.col("k").isin(0, 7), hosts.idna("h.output", to_ascii=False)["output"]).alias("shown"))
+
+
+@_query("SELECT conv_id, turn, 'RTL' AS direction, 0 AS level, CAST(length(regexp_replace(text,'[\\x00-\\x08\\x0E-\\x1B\\x7F-\\x84\\x86-\\x9F\\xAD]','','g')) + 6 AS BIGINT) AS n, 2 AS n_runs, '2,1,0,3,4,5' AS shown, '2,1,0,3' AS line FROM conversations")
+def bidi_mixed(spark, sf_dir):
+    """Texts after three Hebrew letters: their direction by themselves, and their order from left to right, whole and by line."""
+    t = F.concat(F.lit("אבג. a"), "text")
+    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", bidi.bidi_resolve(t).alias("auto"), bidi.bidi_resolve(t, "LTR").alias("b"))
+    text = lambda x: F.array_join(x.cast("array<string>"), ",")
+    return d.select("conv_id", "turn", "auto.direction", "b.level", F.size("b.chars").cast("long").alias("n"), F.size("b.runs").alias("n_runs"), text(F.slice("b.visual", 1, 6)).alias("shown"), text(bidi.bidi_reorder_line("b", 0, 4)).alias("line"))
+
+
+def _replaced(col: str, table: dict[str, str]) -> str:
+    for a, b in table.items():
+        col = f"replace({col},{chr(39)}{a}{chr(39)},{chr(39)}{b.replace(chr(39), chr(39) * 2)}{chr(39)})"
+    return col
+
+
+#: What characters of the test tables look like.
+_LOOKS = {"%": "º/₀", '"': "''", "0": "O", "1": "l", "I": "l", "|": "l", "m": "rn", "̧": "̦"}
+
+
+@_query(f"SELECT doc_id, md5({_replaced(_decomposed('text'), _LOOKS)}) AS skeleton, text <> '' AS same, false AS other FROM documents")
+def confusable_skeletons(spark, sf_dir):
+    """Skeletons of texts, and whether they match what has other characters of the same looks, and one more letter."""
+    like = F.translate("text", "01I|aeo", "OlllаеО")
+    like = F.translate(F.translate("text", "01I|", "Olll"), "aeopc", "аеорс")
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", F.md5(sec.confusable_skeleton("text")).alias("skeleton"), sec.confusable_match("text", like).alias("same"), sec.confusable_match("text", F.concat("text", F.lit("x"))).alias("other"))
+
+
+_EMOJI = ("😀", "1️⃣", "❤", "👍🏽", "🇫🇷", "👩‍❤‍👨")
+
+
+@_query("SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'BASIC' WHEN 1 THEN 'KEYCAP' WHEN 2 THEN 'BASIC' WHEN 3 THEN 'MODIFIER' WHEN 4 THEN 'FLAG' WHEN 5 THEN 'ZWJ' END AS kind, CASE WHEN doc_id % 7 IN (0, 1, 3, 4) THEN 'FULLY_QUALIFIED' WHEN doc_id % 7 = 2 THEN 'UNQUALIFIED' WHEN doc_id % 7 = 5 THEN 'MINIMALLY_QUALIFIED' END AS qualification, CASE doc_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 5 END AS n, doc_id % 7 IN (0, 1, 3, 4) AS rgi, doc_id % 7 < 6 AS sequence FROM documents")
+def emoji_info(spark, sf_dir):
+    """One of six emoji, or a text, for each document."""
+    t = F.coalesce(F.get(F.array(*map(F.lit, _EMOJI)), (F.col("doc_id") % 7).cast("int")), F.concat(F.lit("x"), "text"))
+    d = _docs(spark, sf_dir).select("doc_id", t.alias("t"))
+    d = d.select("doc_id", sec.emoji_sequence_info("t").alias("e"), sec.is_rgi_emoji("t").alias("rgi"), sec.is_emoji_sequence("t").alias("sequence"))
+    return d.select("doc_id", "e.kind", "e.qualification", F.col("e.count").alias("n"), "rgi", "sequence")
 
 
 @_query()
-def codepoint_properties(spark, sf_dir):
-    """All named binary properties over the code space."""
-    return _space(spark).select("cp", *(cp.has_property("cp", p).alias(n) for n, p in cp.NAMED.items()))
+def emoji_sequences(spark, sf_dir):
+    """The relation of emoji sequences."""
+    return sec.emoji_sequences(spark)
 
 
 @_query()
-def codepoint_records(spark, sf_dir):
-    return cp.characters(spark)
+def emoji_flags(spark, sf_dir):
+    """Emoji records over the code space, for code points that have one."""
+    d = _space(spark).select("cp", cp.emoji_properties("cp").alias("e"), cp.is_graphic("cp").alias("graphic"))
+    return d.where("e is not null").select("cp", "graphic", *(F.col(f"e.{n}") for n in cp.EMOJI_FLAGS))
+
+
+@_query("SELECT cp, n, CASE WHEN cp < 128 THEN 'Basic Latin' ELSE 'Latin-1 Supplement' END AS block, CASE WHEN regexp_matches(chr(cp), '\\p{L}') THEN 'Latin' ELSE 'Common' END AS script, CASE WHEN regexp_matches(chr(cp), '\\p{L}') THEN 'Latn' ELSE 'Zyyy' END AS extensions, CASE WHEN cp < 32 THEN 'Neutral' WHEN cp < 127 THEN 'Narrow' WHEN chr(cp) IN ('ß','è','é','ê','í','ó','ü') THEN 'Ambiguous' ELSE 'Neutral' END AS width, CASE WHEN regexp_matches(chr(cp), '\\p{Nd}') THEN chr(cp) END AS number FROM (SELECT unicode(ch) AS cp, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM conversations WHERE text <> '') GROUP BY 1)")
+def codepoint_values(spark, sf_dir):
+    d = cp.histogram(_table(spark, sf_dir, "conversations"), "text").select("cp", "n")
+    d = pr.with_property(pr.with_property(pr.codepoint_block(d, "cp"), "cp", "Script", "script"), "cp", "East_Asian_Width", "width")
+    return d.select("cp", "n", "block", "script", F.array_join(F.array_sort(pr.script_extensions("cp")), ",").alias("extensions"), "width", pr.numeric_value("cp")["numeric"].alias("number"))
+
+
+@_query("SELECT DISTINCT lang, source, lang || '|||' AS head, lang || '||Latn|CH|1901||x-' || source || '|' AS parts, lang || '|||DE||u-co-phonebk||' AS more, '|||||||i-enochian' AS kept, CAST(NULL AS VARCHAR) AS wrong FROM documents")
+def locale_tags(spark, sf_dir):
+    parts = lambda t: F.concat_ws("|", *(t[f] for f in ident.LOCALE_FIELDS))
+    parsed = lambda *x: ident.parse_locale(F.concat(*x))
+    d = _docs(spark, sf_dir).select("lang", "source").distinct()
+    d = d.select("lang", "source", parsed("lang").alias("a"), parsed(F.upper("lang"), F.lit("-latn-ch-1901-X-"), "source").alias("b"), parsed("lang", F.lit("-de-U-co-phonebk")).alias("c"), parsed(F.lit("I-Enochian")).alias("k"), parsed("lang", F.lit("-419-DE")).alias("w"))
+    return d.select("lang", "source", F.concat_ws("|", "a.language", "a.extlang", "a.script", "a.region").alias("head"), parts(F.col("b")).alias("parts"), parts(F.col("c")).alias("more"), parts(F.col("k")).alias("kept"), F.when(F.col("w").isNotNull(), parts(F.col("w"))).alias("wrong"))
+
+
+@_query("SELECT w, CAST(dense_rank() OVER (PARTITION BY length(w) ORDER BY icu_sort_key(w, 'und')) AS INTEGER) AS place, icu_sort_key(w, 'und') = icu_sort_key(lower(w), 'und') AS lower_case FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ-]+')) AS w FROM conversations)")
+def collation_keys(spark, sf_dir):
+    """Words of one length in the order of their sort keys; equal keys share a place."""
+    w = _table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ-]+"), 0)).alias("w")).distinct()
+    w = w.withColumn("k", coll.collation_key("w"))
+    return w.select("w", F.dense_rank().over(Window.partitionBy(F.length("w")).orderBy("k")).alias("place"), (F.col("k") == coll.collation_key(F.lower("w"))).alias("lower_case"))
+
+
+@_query("SELECT DISTINCT n_name AS w, 0 AS base, 1 AS accent, -1 AS tertiary, 0 AS shifted, 1 AS quaternary, -1 AS plain FROM nation")
+def collation_strengths(spark, sf_dir):
+    """Names against themselves in lower case, with an accent and with a hyphen, by strength and weighting."""
+    low, hyphen = F.lower("w"), F.concat(F.left("w", F.lit(2)), F.lit("-"), F.substring("w", 3, 99))
+    c = lambda a, b, s, how="non_ignorable": coll.collation_compare(a, b, s, how)
+    d = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("w")).distinct()
+    accent = F.concat("w", F.lit("́"))
+    return d.select("w", c("w", accent, "primary").alias("base"), c(accent, "w", "secondary").alias("accent"), c(low, "w", "tertiary").alias("tertiary"), c("w", hyphen, "tertiary", "shifted").alias("shifted"), F.abs(c("w", hyphen, "quaternary", "shifted")).alias("quaternary"), c(hyphen, "w", "tertiary").alias("plain"))
+
+
+@_query("SELECT s, CASE WHEN s BETWEEN 0 AND 12 THEN " + "[" + ",".join("'" + m.replace("'", "''") + "'" for m in ses.MESSAGES) + "][s + 1] ELSE 'The status code is unknown' END AS message FROM (SELECT CAST(range AS INTEGER) AS s FROM range(-2, 16))")
+def status_messages(spark, sf_dir):
+    return spark.range(-2, 16).select(F.col("id").cast("int").alias("s")).select("s", ses.status_message("s").alias("message"))
+
+
+@_query("SELECT p, p BETWEEN 0 AND 16 AS valid, CASE p WHEN 0 THEN 'BMP' WHEN 1 THEN 'SMP' WHEN 2 THEN 'SIP' WHEN 3 THEN 'TIP' WHEN 14 THEN 'SSP' WHEN 15 THEN 'PUA-A' WHEN 16 THEN 'PUA-B' ELSE CASE WHEN p BETWEEN 0 AND 16 THEN 'Unassigned' END END AS name, CASE WHEN p = 0 THEN 'Basic Multilingual Plane' END AS first_name FROM (SELECT range AS p FROM range(-2, 20))")
+def plane_names(spark, sf_dir):
+    return spark.range(-2, 20).select(F.col("id").alias("p"), cp.plane_is_valid("id").alias("valid"), cp.plane_name("id", True).alias("name"), F.when(F.col("id") == 0, cp.plane_name("id")).alias("first_name"))
+
+
+@_query("SELECT cp, 'HANGUL SYLLABLE ' || ['G','GG','N','D','DD','R','M','B','BB','S','SS','','J','JJ','C','K','T','P','H'][1 + (cp - 44032) // 588] || ['A','AE','YA','YAE','EO','E','YEO','YE','O','WA','WAE','OE','YO','U','WEO','WE','WI','YU','EU','YI','I'][1 + (cp - 44032) % 588 // 28] || ['','G','GG','GS','N','NJ','NH','D','L','LG','LM','LB','LS','LT','LP','LH','M','B','BS','S','SS','NG','J','C','K','T','P','H'][1 + (cp - 44032) % 28] AS name FROM (SELECT CAST(range AS INTEGER) AS cp FROM range(44032, 55204))")
+def hangul_names(spark, sf_dir):
+    return spark.range(0xAC00, 0xD7A4).select(F.col("id").cast("int").alias("cp")).select("cp", cp.hangul_name("cp").alias("name"))

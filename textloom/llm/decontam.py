@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HashCache, bitmap, discard, in_bitmap, materialize, slices, small
+from .common import HashCache, bitmap, discard, in_bitmap, join_hot, materialize, slices, small
 from .sketch import rolling
 
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of a text whose A-Z are lower-cased, as bytes: all else becomes a space.
@@ -54,7 +54,7 @@ def _windows(window: int, k: int):
                 h = rolling(np.array([cache[w] for w in ws], np.uint64), kk).view(np.int64)
                 for i in range(len(ws) - size + 1):
                     rows.append(r)
-                    words_.append([w.decode() for w in ws[i : i + size]])
+                    words_.append([w.decode("utf-8", "replace") for w in ws[i : i + size]])
                     tokens_.append(h[i : i + size - kk + 1].tolist())
                     ks.append(kk)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(words_, pa.list_(pa.string())), pa.array(tokens_, pa.list_(pa.int64())), pa.array(ks, pa.int32())], names=["item_id", "words", "tokens", "k"])
@@ -90,7 +90,7 @@ def _stretches(bitmaps: dict[int, np.ndarray]):
                         if on[a]:
                             d = int(owner[a])
                             base = int(ends[d] - lengths[d])
-                            found[d].append(b" ".join(words[d][a - base : b - base]).decode())
+                            found[d].append(b" ".join(words[d][a - base : b - base]).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(lengths), pa.array(found, pa.list_(pa.string()))], names=["id", "n_words", "stretches"])
 
     return find
@@ -123,7 +123,7 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc
     A word is hit if it lies inside an occurrence of any window of an item. Words are cut after lower-casing A-Z at
     every ASCII character that is no letter or digit. Null and wordless texts have no words and hit nothing; wordless
     items have no window; a null item id is not named. Repeated rows each return a row; repeated items count once by
-    id. Empty tables on either side are allowed. The bitmap that every worker gets is 2**log2_bits bits per shingle
+    id. Empty tables on either side are allowed; bytes that are not UTF-8 are read as U+FFFD. The bitmap that every worker gets is 2**log2_bits bits per shingle
     length, so its size does not grow with either table.
     """
     ids, its = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
@@ -160,7 +160,9 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc
     used = keyed.where("key is not null").select("key", "stretches").dropDuplicates(["key"]).select("key", F.explode("stretches").alias("stretch")).withColumn("sid", F.sha2("stretch", 256)).join(per, "sid")
     docs_hit = used.groupBy("key").agg(F.sum("hit").alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # Most documents have no stretch: they stay out of the join, where their null key would be one hot key.
-    some = keyed.where("key is not null").select("id", "n_words", "key").join(docs_hit, "key", "left").drop("key")
+    some = keyed.where("key is not null").select("id", "n_words", "key")
+    counts = materialize(some.groupBy("key").agg(F.count("*").alias("n")), "counts")
+    some = join_hot(some, docs_hit, "key", counts, "left").drop("key")
     none = keyed.where("key is null").select("id", "n_words", F.lit(None).cast("long").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
     out = some.unionByName(none)
     n_hit, named_ = F.coalesce("hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))

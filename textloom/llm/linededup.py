@@ -229,24 +229,34 @@ def _checker(k: int, num: int, den: int):
     return check
 
 
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows that share the name in the first column, all of them in one partition, the first that comes."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        yield batch.filter(pa.array([not (x in seen or seen.add(x)) for x in batch.column(0).to_pylist()], pa.bool_()))
+
+
 def _fetched(src: DataFrame, lines: DataFrame, wanted: DataFrame, bitmap_most: int) -> DataFrame:
-    """(sid, prio, line) of the lines whose prio is wanted, once each, and of a few more.
+    """(sid, prio, line) of the lines whose prio is wanted, once each.
 
-    Of up to bitmap_most wanted lines, every worker gets a bitmap of eight times as many bits and looks through all
-    texts; more are looked up where they stand.
+    Of up to bitmap_most wanted lines, every worker gets a bitmap of 32 times as many bits or more and looks through all
+    texts; more are looked up where they stand. What comes is hashed against the wanted ones, not sorted: lines are long.
     """
-    n = wanted.count()
+    n, kind = wanted.count(), "sid binary, prio bigint, line binary"
     if n <= bitmap_most:
-        bits = bitmap(wanted, "prio", max(16, (8 * n).bit_length()))
-        return src.select("text").mapInArrow(_fetcher(bits), "sid binary, prio bigint, line binary").dropDuplicates(["sid"])
-    prio = F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long")
-    places = lines.withColumn("prio", prio).join(wanted, "prio").dropDuplicates(["sid"]).groupBy(F.col("id").alias("_i"), F.col("th").alias("_t")).agg(F.collect_set("no").alias("nos"))
-    found = src.join(places, src["id"].eqNullSafe(places["_i"]) & src["th"].eqNullSafe(places["_t"])).select("text", "nos")
-    return found.mapInArrow(_fetcher(None), "sid binary, prio bigint, line binary").dropDuplicates(["sid"])
+        found = src.select("text").mapInArrow(_fetcher(bitmap(wanted, "prio", max(16, (32 * n).bit_length()))), kind)
+    else:
+        prio = F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long")
+        places = lines.withColumn("prio", prio).join(wanted, "prio").dropDuplicates(["sid"]).groupBy(F.col("id").alias("_i"), F.col("th").alias("_t")).agg(F.collect_set("no").alias("nos"))
+        there = src.join(places, src["id"].eqNullSafe(places["_i"]) & src["th"].eqNullSafe(places["_t"])).select("text", "nos")
+        found = there.mapInArrow(_fetcher(None), kind)
+    # Equal names have equal prio, so they meet in the partition that the join deals them to.
+    dealt = found.repartition(int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")), "prio")
+    return dealt.join(wanted.hint("shuffle_hash"), "prio", "left_semi").select("sid", "prio", "line").mapInArrow(_first_of_each, kind)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 7, num: int = 80, den: int = 100, bands: int = 24, rows: int = 4, bitmap_most: int = 1 << 19) -> DataFrame:
-    """docs with text_col rewritten, and n_lines and n_dropped (long) added, a row for each row.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 7, num: int = 80, den: int = 100, bands: int = 24, rows: int = 4, bitmap_most: int = 1 << 19, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with text_col rewritten, and n_lines and n_dropped (long, named by counts) added, a row for each row.
 
     Lines are parts between line feeds, compared after lower-casing A-Z and collapsing ASCII white space, by the
     Jaccard similarity of their k-character shingles (linked if den * intersection >= num * union); a line of fewer
@@ -254,13 +264,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of the first place, stays; the others are cut out with their line feed. Blank lines always stay. Rows equal in id
     and text are one document: each gets the same text. Null texts stay null, with 0 lines; a text whose lines all go
     is empty. Bytes that are not UTF-8 are compared
-    as U+FFFD, and become that in a text that loses lines. Other columns pass through; columns named n_lines or
-    n_dropped are replaced. An empty table gives no rows. A pair at similarity 0.8 is missed with probability 3e-6, at
+    as U+FFFD, and become that in a text that loses lines. Other columns pass through; columns named as counts are
+    replaced. An empty table gives no rows. A pair at similarity 0.8 is missed with probability 3e-6, at
     0.9 with 1e-11 (24 bands of 4 bins).
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = docs.drop(*counts)
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text"))
     lines = materialize(src.mapInArrow(_namer, f"id {kind}, th bigint, no int, sid binary"), "lines")
     signed = src.select("text").mapInArrow(_signer(k, bands, rows, bucket_bits(spark, bands * lines.count())), PACKED_TYPE)
@@ -269,7 +279,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = materialize(members_of(shared), "members")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("prio")).unionByName(members.select(F.col("order").alias("prio"))).distinct()
     wanted = materialize(wanted, "wanted")
-    fetched = _fetched(src, lines, wanted, bitmap_most).join(wanted, "prio", "left_semi")
+    fetched = _fetched(src, lines, wanted, bitmap_most)
     # Longs as nodes from here on: they aggregate by hash, names would by sorting.
     nodes = materialize(fetched.select("sid", "prio", "line").select(F.col("sid").alias("name"), "prio", "line", F.monotonically_increasing_id().alias("sid")), "nodes")
     node = lambda c: nodes.select(F.col("prio").alias(c), F.col("sid").alias(f"n{c}"))
@@ -299,9 +309,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = [F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_th")]
     marked = docs.select("*", *key)
     g = gone.select(F.col("id").alias("_gid"), F.col("th").alias("_gth"), "gone")
-    joined = marked.join(g, marked["_id"].eqNullSafe(g["_gid"]) & (marked["_th"] == g["_gth"]), "left").drop("_gid", "_gth", "_id", "_th").withColumnRenamed("gone", "_gone")
+    # Each document has one row in g at most, so its side is small in every partition: hashed, the texts stay unsorted.
+    joined = marked.join(g.hint("shuffle_hash"), marked["_id"].eqNullSafe(g["_gid"]) & (marked["_th"] == g["_gth"]), "left").drop("_gid", "_gth", "_id", "_th").withColumnRenamed("gone", "_gone")
     text, no = F.col(text_col).cast("string"), F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
     parts = F.split(text, "\n", -1)
     lines_left = F.array_join(F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains(no, i), x)), lambda x: x.isNotNull()), "\n")
-    out = joined.withColumns({text_col: F.when(F.size(no) == 0, text).otherwise(lines_left), "n_lines": F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"), "n_dropped": F.size(no).cast("long")})
+    out = joined.withColumns({text_col: F.when(F.size(no) == 0, text).otherwise(lines_left), counts[0]: F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"), counts[1]: F.size(no).cast("long")})
     return out.drop("_gone")

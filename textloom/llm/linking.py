@@ -81,10 +81,10 @@ def link_members(pairs: DataFrame, sets: DataFrame, verified: Callable[[DataFram
         return common * (den + num) >= (F.col("n") + F.col("n2")) * num
 
     # Cheap conditions first; what either set has that is not shared must leave enough.
-    admitted = (F.col("label") != F.col("label2")) & enough(F.least("n", "n2")) & enough(F.col("n") - _only("bits", "bits2")) & enough(F.col("n2") - _only("bits2", "bits"))
-    second = lambda df: df.select("band", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "bands", "n", "bits")))
     # A pair that meets in several buckets is made in one of them.
     once = F.array_min(F.array_intersect("bands", "bands2")) == F.col("band")
+    admitted = (F.col("label") != F.col("label2")) & enough(F.least("n", "n2")) & once & enough(F.col("n") - _only("bits", "bits2")) & enough(F.col("n2") - _only("bits2", "bits"))
+    second = lambda df: df.select("band", *(F.col(c).alias(f"{c}2") for c in ("sid", "label", "bands", "n", "bits")))
 
     def open_buckets(sets: DataFrame) -> DataFrame:
         """(band, sid, label, major, bands, n, bits) of the buckets that still span several components; major is the largest."""
@@ -108,7 +108,7 @@ def link_members(pairs: DataFrame, sets: DataFrame, verified: Callable[[DataFram
     is_drawn = reduce(or_, (d == F.col(f"d{i}") for i, d in enumerate(draw)))
     drawn = materialize(join_hot(first, counts.drop("n"), "band", counts.select("band", "n")).where(is_drawn).select(*first.columns), "drawn")
     hubs = drawn.drop("bands").join(drawn.groupBy("sid").agg(F.collect_set("band").alias("bands")), "sid")
-    pairs = first.join(second(hubs), "band").where(admitted & once)
+    pairs = first.join(second(hubs), "band").where(admitted)
     pairs = materialize(pairs.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b")).distinct(), "pairs")
     labels = _merged(labels, verified(pairs))
 
@@ -117,7 +117,7 @@ def link_members(pairs: DataFrame, sets: DataFrame, verified: Callable[[DataFram
     known = open_buckets(left.groupBy("sid").agg(F.collect_set("band").alias("bands")).join(sets.select("sid", "n", "bits"), "sid"))
     if not known.isEmpty():
         ordered = (F.col("label2") == F.col("major")) | (F.col("sid") < F.col("sid2"))
-        cross = known.where("label <> major").join(second(known), "band").where(ordered & admitted & once)
+        cross = known.where("label <> major").join(second(known), "band").where(ordered & admitted)
         cross = materialize(cross.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b")).distinct(), "cross")
         labels = _merged(labels, verified(cross))
         discard(cross)

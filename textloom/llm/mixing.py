@@ -3,8 +3,8 @@
 Document rates r_d minimise the token-weighted relative entropy sum size_d * (r_d log r_d - r_d + 1) under token
 constraints: for each constrained column (source, language, ...) the tokens of each of its values must come to that
 value's target. The optimum is an exponential tilt, r_d = exp(sum of the multipliers of d's values). The dual is
-convex; its Hessian within one column is diagonal, so distributed Newton steps, column by column, solve it: each is
-one Spark aggregation and one join of the multipliers, and no per-source state is gathered on the driver.
+convex and solved by distributed Newton steps: gradient and Hessian are Spark aggregations. With one constrained column
+its Hessian is diagonal, and every document of a source has the same rate.
 
 Rates are then rounded into whole copies: floor(rate) copies of every document and one more of some. Documents with
 one source, rate and size are interchangeable, so from the largest size to the smallest each class takes the
@@ -13,6 +13,7 @@ number of extra copies that carries the least error on; the words taken miss the
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,34 +25,57 @@ WORD = r"[^\x20\x09-\x0D]+"
 PARTS = 256
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with rank, from 0, of its source by code point, null last; sorted by ranges, never in one task."""
+    spark = sizes.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("source").isNull(), F.col("source")]
+    parts = materialize(sizes.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = sorted((r["_p"], r["c"]) for r in parts.groupBy("_p").agg(F.count("*").alias("c")).collect())  # n at most
+    before, offsets = 0, []
+    for p, c in counts:
+        offsets.append((p, before))
+        before += c
+    first = spark.createDataFrame(offsets, "_p int, _before long") if offsets else spark.createDataFrame([], "_p int, _before long")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return parts.withColumn("_place", place).join(F.broadcast(first), "_p").withColumn("rank", F.col("_before") + F.col("_place") - 1).drop("_p", "_place", "_before")
+
+
 def token_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), most: float = 2.0) -> DataFrame:
     """(source, source_size, target): shares of share * all tokens by weight, each at most most * its source's size.
 
     Weights go round the sources by code point, null last. What a source cannot take is reshared by weight among the
-    others until none is above its bound. That fixed point is found in one pass over the sources ordered by
-    bound / weight: the first j of them are at their bounds, the rest share what is left. One row per source.
+    others until none is above its bound: as long as the level, what is left over the weights that share it, fills a
+    further source, that source is at its bound. Each round is one aggregation. One row per source; an empty table
+    gives none.
     """
-    by = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by) - 1) % len(weights) + 1).cast("double")
-    s = sizes.select("source", "source_size", w.alias("w"), (F.col("source_size") * most).alias("bound"))
-    order = Window.orderBy(F.col("bound") / F.col("w"), F.col("source").isNull(), F.col("source"))
-    all_ = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumns({"total": F.sum("source_size").over(all_) * share, "capped": F.coalesce(F.sum("bound").over(before), F.lit(0.0)), "rest": F.sum("w").over(all_) - F.coalesce(F.sum("w").over(before), F.lit(0.0))})
-    level = (F.col("total") - F.col("capped")) / F.col("rest")
-    # The level rises as long as sources are full and falls from the first one that is not.
-    target = F.least("bound", F.max(level).over(all_) * F.col("w"))
-    return s.select("source", "source_size", target.alias("target"))
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("double")
+    s = materialize(_ranked(sizes).select("source", "source_size", w.alias("w"), (F.col("source_size") * most).alias("bound")), "weights")
+    total = (s.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, full = 0.0, -1
+    while True:
+        at_bound = F.col("bound") <= F.lit(level) * F.col("w")
+        n, capped, rest = s.agg(F.count_if(at_bound), F.coalesce(F.sum(F.when(at_bound, F.col("bound"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~at_bound, F.col("w"))), F.lit(0.0))).first()
+        if n == full or not rest:
+            break
+        full, level = n, max(level, (total - capped) / rest)
+    return s.select("source", "source_size", F.least("bound", F.lit(level) * F.col("w")).alias("target"))
+
+
+#: Values of all constrained columns up to which a Newton step is of all multipliers at once.
+JOINT = 400
 
 
 def balance_rates(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-9, max_rounds: int = 60) -> DataFrame:
     """cells (key columns, tokens) -> cells with `rate`, by distributed Newton on the dual.
 
     targets maps a column of cells to a table (that column, target). Tokens of a value without a target, or whose
-    target or tokens are not above 0, get rate 0. A Newton step for one value's multiplier is
-    (target - tilted) / tilted, the gradient by the Hessian's diagonal, kept within +-2; rounds go on until every
-    column's tokens are within `tolerance` of their targets, relatively, or max_rounds is reached (which contradictory
-    targets of several columns can bring about).
+    target or tokens are not above 0, get rate 0. Each round aggregates the tilted tokens by value, the gradient, and by
+    pairs of values of two columns, the Hessian. For up to JOINT values in all, the step of all multipliers solves that
+    system, as small as the number of values whatever cells hold; the columns' totals are the same, so it is solved by
+    least squares. Beyond that, and for one column, whose Hessian is diagonal, columns take their steps in turn, joined
+    to cells as a table. Steps are kept within +-2. Rounds go on until every column's tokens are within `tolerance` of
+    their targets, relatively, or max_rounds is reached (which contradictory targets of several columns bring about).
     """
     names = list(targets)
     cur = cells.withColumn("log_rate", F.lit(0.0))
@@ -59,6 +83,49 @@ def balance_rates(cells: DataFrame, targets: dict[str, DataFrame], tolerance: fl
         known = targets[c].select(F.col(c).alias("_k"), F.col("target").alias("_t")).where("target > 0")
         cur = cur.join(known, cur[c].eqNullSafe(known["_k"]), "left").withColumn("log_rate", F.when(F.col("_t").isNotNull() & (F.col("tokens") > 0), F.col("log_rate"))).drop("_k").withColumnRenamed("_t", f"_t_{c}")
     cur = materialize(cur, "cells")
+    live = cur.where("log_rate is not null")
+    if len(names) > 1 and sum(live.select(c).distinct().limit(JOINT + 1).count() for c in names) <= JOINT:
+        cur = _joint(cur, names, tolerance, max_rounds)
+    else:
+        cur = _in_turn(cur, names, tolerance, max_rounds)
+    return cur.withColumn("rate", F.coalesce(F.exp("log_rate"), F.lit(0.0))).drop("log_rate", *(f"_t_{c}" for c in names))
+
+
+def _joint(cur: DataFrame, names: list[str], tolerance: float, max_rounds: int) -> DataFrame:
+    """cur with log_rate, by Newton steps of all values' multipliers at once."""
+    live = cur.where("log_rate is not null")
+    known = {(c, r[0]): float(r[1]) for c in names for r in live.groupBy(c).agg(F.first(f"_t_{c}")).collect()}  # JOINT at most
+    place = {k: i for i, k in enumerate(known)}
+    target, total = np.array(list(known.values())), np.zeros(len(known))
+
+    def tilted(df: DataFrame) -> DataFrame:
+        log_rate = F.lit(0.0)
+        for c in names:
+            mine = [(v, float(total[i])) for (col, v), i in place.items() if col == c]
+            own = F.lit(0.0)
+            for v, x in mine:
+                own = F.when(F.col(c).eqNullSafe(F.lit(v)), F.lit(x)).otherwise(own)
+            log_rate = log_rate + own
+        return df.withColumn("log_rate", F.when(F.col("log_rate").isNotNull(), log_rate))
+
+    for _ in range(max_rounds):
+        mass = tilted(live).withColumn("_m", F.col("tokens") * F.exp("log_rate"))
+        hessian = np.zeros((len(target), len(target)))
+        for i, a in enumerate(names):
+            for b in names[i:]:
+                for r in mass.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.sum("_m").alias("m")).collect():
+                    x, y = place[a, r["x"]], place[b, r["y"]]
+                    hessian[x, y] = hessian[y, x] = r["m"]
+        gap = target - np.diag(hessian)
+        if np.abs(gap / target).max(initial=0.0) <= tolerance:
+            break
+        step = np.linalg.lstsq(hessian, gap, rcond=1e-12)[0]
+        total = total + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
+    return tilted(cur)
+
+
+def _in_turn(cur: DataFrame, names: list[str], tolerance: float, max_rounds: int) -> DataFrame:
+    """cur with log_rate, by Newton steps column by column; no multiplier is gathered."""
     for _ in range(max_rounds):
         worst = 0.0
         for c in names:
@@ -72,7 +139,7 @@ def balance_rates(cells: DataFrame, targets: dict[str, DataFrame], tolerance: fl
             worst = max(worst, new.agg(F.max("_gap")).first()[0] or 0.0)
         if worst <= tolerance:
             break
-    return cur.withColumn("rate", F.coalesce(F.exp("log_rate"), F.lit(0.0))).drop("log_rate", *(f"_t_{c}" for c in names))
+    return cur
 
 
 def _carry(pdf: pd.DataFrame) -> pd.DataFrame:

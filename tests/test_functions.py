@@ -1,5 +1,6 @@
 """Functions on chosen texts: what the rules of the standards say for them."""
 
+import os
 import random
 import unicodedata
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import bidi, collation, hosts, properties, session
 from textloom.functions import codepoints as cp
 from textloom.functions import identity as ident
+from textloom.functions import linebreak as lb
 from textloom.functions import security as sec
 from textloom.functions import text as tx
 
@@ -39,15 +41,15 @@ def test_sentences(spark):
 
 
 def test_breaks(spark):
-    every = lambda k: tx.breaks("t", k, every=True)
+    every = lambda k: lb.breaks("t", k, every=True)
     kinds = lambda x: "".join(b["kind"][0] for b in x)
     assert kinds(_map(spark, ["A\r\nB"], every("grapheme"))[0]) == "ANAA"
     assert kinds(_map(spark, ["🇮🇹🇮🇹"], every("grapheme"))[0]) == "NANA"
     assert kinds(_map(spark, ["्̀क"], every("grapheme"))[0]) == "NNA"
     got = [kinds(_map(spark, ["a b"], every(k))[0]) for k in ("grapheme", "word", "line", "sentence")]
     assert got == ["AAA", "AAA", "NAM", "NNA"]
-    assert [b["at"] for b in _map(spark, ["Hello World"], tx.breaks("t", "word"))[0]] == [5, 6, 11]
-    assert _map(spark, ["", None], tx.breaks("t", "line")) == [[], None]
+    assert [b["at"] for b in _map(spark, ["Hello World"], lb.breaks("t", "word"))[0]] == [5, 6, 11]
+    assert _map(spark, ["", None], lb.breaks("t", "line")) == [[], None]
 
 
 def test_truncation(spark):
@@ -238,3 +240,26 @@ def test_code_point_values(spark):
 def test_unknown_arguments_fail_early(spark):
     with pytest.raises((ValueError, PySparkException)):
         spark.createDataFrame([("a",)], "t string").select(tx.map_case("t", "sideways", "en")).collect()
+
+
+def test_functions_travel_to_workers_without_the_package(tmp_path):
+    """A session whose workers cannot import the package runs every query that maps texts."""
+    import subprocess
+    import sys
+
+    data, root = "/root/testdata/sf0.001", os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if not os.path.isdir(data):
+        pytest.skip("no test data")
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from textloom import queries as q
+for name in {("idna_scripts", "mixed_scripts", "break_events", "break_profile", "collation_strengths", "confusable_skeletons", "emoji_info", "bidi_mixed", "title_case", "locale_tags", "caseless_modes", "codepoint_values", "truncate_width", "quick_check")!r}:
+    q.QUERIES[name](spark, {data!r}).write.format("noop").mode("overwrite").save()
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=280)
+    assert "all ran" in out.stdout, out.stderr[-2000:]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 from bisect import bisect_right
 
@@ -10,7 +9,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column
 
-from .text import _col, _mapped, into
+from .text import Memo, _col, _mapped, into
 
 #: Error bits.
 IDNA_ERRORS = {"PUNYCODE": 0x1, "EMPTY_LABEL": 0x2, "HYPHEN": 0x4, "NOT_NFC": 0x8, "LEADING_MARK": 0x10, "DISALLOWED": 0x20, "STD3": 0x40, "CONTEXTJ": 0x80, "BIDI": 0x100, "LABEL_LENGTH": 0x200, "DOMAIN_LENGTH": 0x400}
@@ -18,8 +17,7 @@ _NOT_STD3 = regex.compile(r"[\x00-\x2C\x2E\x2F\x3A-\x60\x7B-\x7F]")
 _JOINER = regex.compile("[‌‍]")
 
 
-@functools.lru_cache(maxsize=50_000)
-def mapped(c: str) -> tuple[str, str]:
+def _mapping(c: str) -> tuple[str, str]:
     """(status V, D, M, I or X, replacement) of a character in the mapping table of the installed idna package."""
     from idna import uts46data as table
 
@@ -28,6 +26,9 @@ def mapped(c: str) -> tuple[str, str]:
     return status, (table.uts46_replacements[i] or "") if status == "M" else "" if status == "I" else c
 
 
+_MAPPING = Memo(_mapping)
+
+
 def _decoded(label: str) -> tuple[str, bool]:
     """A label without its Punycode, and whether that was in order; what cannot be decoded stays."""
     if not label.startswith("xn--"):
@@ -66,7 +67,7 @@ def _bidi_fits(label: str) -> bool:
 
 def idna_str(t: str, to_ascii: bool) -> dict:
     e, errors = IDNA_ERRORS, 0
-    host = t.lower() if t.isascii() else unicodedata.normalize("NFC", "".join(mapped(c)[1] for c in t))
+    host = t.lower() if t.isascii() else unicodedata.normalize("NFC", "".join(_MAPPING[c][1] for c in t))
     labels = []
     for label in host.split("."):
         plain, fine = _decoded(label)
@@ -86,7 +87,7 @@ def idna_str(t: str, to_ascii: bool) -> dict:
         else:
             errors |= e["NOT_NFC"] * (not unicodedata.is_normalized("NFC", label))
             errors |= e["LEADING_MARK"] * (unicodedata.category(label[0])[0] == "M")
-            errors |= e["DISALLOWED"] * any(mapped(c)[0] not in "VD" for c in label)
+            errors |= e["DISALLOWED"] * any(_MAPPING[c][0] not in "VD" for c in label)
             errors |= e["CONTEXTJ"] * (not _joiners_fit(label))
         errors |= e["BIDI"] * (bidi and not _bidi_fits(label))
     if to_ascii:

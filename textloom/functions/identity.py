@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import properties
 from .codepoints import ranges
-from .text import _col, _mapped, nfkc_casefold_str
+from .text import Memo, _col, _mapped, nfkc_casefold_str
 
 
 def caseless_key_str(t: str, mode: str) -> str:
@@ -59,7 +58,6 @@ def collated(text, strength: str = "tertiary") -> Column:
 _AUGMENTED = {"Hani": ("Hanb", "Jpan", "Kore"), "Hira": ("Jpan",), "Kana": ("Jpan",), "Hang": ("Kore",), "Bopo": ("Hanb",)}
 
 
-@functools.lru_cache(maxsize=50_000)
 def _augmented(c: str, scripts: tuple[str, ...]) -> frozenset[str] | None:
     """Scripts of a character with what they imply; None for Common and Inherited: any."""
     if regex.match(r"[\p{scx=Zyyy}\p{scx=Zinh}]", c):
@@ -68,10 +66,11 @@ def _augmented(c: str, scripts: tuple[str, ...]) -> frozenset[str] | None:
     return frozenset(own.union(*(_AUGMENTED.get(s, ()) for s in own)))
 
 
-def resolve_scripts_str(t: str, scripts: tuple[str, ...]) -> dict:
+def resolve_scripts_str(t: str, known: Memo) -> dict:
+    """known: the Memo of _augmented over all scripts."""
     out: frozenset[str] | None = None
     for c in set(t):
-        if (s := _augmented(c, scripts)) is not None:
+        if (s := known[c]) is not None:
             out = s if out is None else out & s
     return {"kind": "ALL" if out is None else "RESOLVED" if out else "EMPTY", "scripts": sorted(out or ())}
 
@@ -79,7 +78,8 @@ def resolve_scripts_str(t: str, scripts: tuple[str, ...]) -> dict:
 def resolved_scripts(text) -> Column:
     """struct<kind, scripts>: the scripts that all characters share; EMPTY means mixed, ALL means common characters only."""
     kind = pa.struct([("kind", pa.string()), ("scripts", pa.list_(pa.string()))])
-    known = properties.scripts()
+    names = properties.scripts()
+    known = Memo(lambda c: _augmented(c, names))
     return _mapped(lambda t: resolve_scripts_str(t, known), kind, "struct<kind:string,scripts:array<string>>")(_col(text))
 
 

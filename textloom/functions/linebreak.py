@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import functools
+import itertools
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column
 
-from .text import _col, _mapped
+from .text import Memo, _col, _mapped, segments_iter
 
 _CLASSES = "AI AK AL AP AS B2 BA BB BK CB CJ CL CM CP CR EB EM EX GL H2 H3 HH HL HY ID IN IS JL JT JV LF NL NS NU OP PO PR QU RI SA SG SP SY VF VI WJ XX ZW ZWJ"
 
 
-@functools.lru_cache(maxsize=1)
-def _classifier() -> regex.Pattern:
-    return regex.compile("|".join(rf"(?P<{x}>\p{{Line_Break={x}}})" for x in _CLASSES.split()))
+_CLASSIFIER = "|".join(rf"(?P<{x}>\p{{Line_Break={x}}})" for x in _CLASSES.split())
 
 
-@functools.lru_cache(maxsize=50_000)
 def _facts(c: str) -> tuple[str, bool, bool, bool, bool]:
     """(class after LB1, East Asian, initial quote, final quote, reserved pictograph)."""
-    kind = (m := _classifier().match(c)) and m.lastgroup or "XX"
+    kind = (m := regex.match(_CLASSIFIER, c)) and m.lastgroup or "XX"
     if kind == "SA":
         kind = "CM" if regex.match(r"[\p{Mn}\p{Mc}]", c) else "AL"
     kind = {"AI": "AL", "SG": "AL", "XX": "AL", "CJ": "NS"}.get(kind, kind)
@@ -29,6 +26,9 @@ def _facts(c: str) -> tuple[str, bool, bool, bool, bool]:
     return kind, wide, bool(regex.match(r"\p{Pi}", c)), bool(regex.match(r"\p{Pf}", c)), bool(regex.match(r"[\p{ExtPict}&&\p{Cn}]", c, regex.V1))
 
 
+_FACTS = Memo(_facts)
+
+
 _HARD, _ALPHA, _CLOSE = {"BK", "CR", "LF", "NL"}, {"AL", "HL"}, {"CL", "CP"}
 _JAMO, _IDEO = {"JL", "JV", "JT", "H2", "H3"}, {"ID", "EB", "EM"}
 _NUMERIC_AFTER = {("PO", "NU"), ("PR", "NU"), ("HY", "NU"), ("IS", "NU")}
@@ -41,7 +41,7 @@ class _Unit:
     __slots__ = ("kind", "wide", "initial", "final", "reserved", "char", "start", "joins")
 
     def __init__(self, c: str, start: int):
-        self.kind, self.wide, self.initial, self.final, self.reserved = _facts(c)
+        self.kind, self.wide, self.initial, self.final, self.reserved = _FACTS[c]
         self.char, self.start, self.joins = c, start, self.kind == "ZWJ"
         if self.kind in ("CM", "ZWJ"):  # LB10
             self.kind = "AL"
@@ -55,7 +55,7 @@ class _Unit:
 def _units(t: str) -> list[_Unit]:
     out: list[_Unit] = []
     for i, c in enumerate(t):
-        kind = _facts(c)[0]
+        kind = _FACTS[c][0]
         if kind in ("CM", "ZWJ") and out and out[-1].kind not in (*_HARD, "SP", "ZW"):
             out[-1].joins = kind == "ZWJ"
         else:
@@ -171,3 +171,21 @@ def line_breaks(text) -> Column:
     """
     kind = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string())]))
     return _mapped(line_breaks_str, kind, "array<struct<at:int,kind:string>>")(_col(text))
+
+
+def breaks_str(t: str, kind: str, every: bool = False) -> list[dict]:
+    if kind == "line":
+        found = {x["at"]: x["kind"] for x in line_breaks_str(t)}
+    else:
+        found = dict.fromkeys(itertools.accumulate(map(len, segments_iter(t, kind))), "ALLOWED")
+    return [{"at": i, "kind": found.get(i, "NO_BREAK")} for i in (range(1, len(t) + 1) if every else found)]
+
+
+def breaks(text, kind: str, every: bool = False) -> Column:
+    """array<struct<at, kind>>: code points in front of each break of kind grapheme, word, sentence or line.
+
+    Breaks are ALLOWED, those of lines also MANDATORY; with every, what is between two code points of one segment is
+    there as NO_BREAK. Empty texts have none, null stays null.
+    """
+    out = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string())]))
+    return _mapped(lambda t: breaks_str(t, kind, every), out, "array<struct<at:int,kind:string>>")(_col(text))

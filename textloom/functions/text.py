@@ -18,6 +18,22 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+class Memo(dict):
+    """Values of a function by its argument, emptied when they are many; travels to workers without its values."""
+
+    def __init__(self, fn, limit: int = 50_000):
+        self.fn, self.limit = fn, limit
+
+    def __missing__(self, x):
+        if len(self) >= self.limit:
+            self.clear()
+        v = self[x] = self.fn(x)
+        return v
+
+    def __reduce__(self):
+        return Memo, (self.fn, self.limit)
+
+
 def _mapped(fn, kind: pa.DataType, ddl: str):
     """An Arrow function of one text column; nulls stay null."""
 
@@ -236,26 +252,6 @@ def segments(text, kind: str) -> Column:
     return _mapped(lambda t: segments_str(t, kind), pa.list_(pa.string()), "array<string>")(_col(text))
 
 
-def breaks_str(t: str, kind: str, every: bool = False) -> list[dict]:
-    if kind == "line":
-        from .linebreak import line_breaks_str
-
-        found = {x["at"]: x["kind"] for x in line_breaks_str(t)}
-    else:
-        found = dict.fromkeys(itertools.accumulate(map(len, segments_iter(t, kind))), "ALLOWED")
-    return [{"at": i, "kind": found.get(i, "NO_BREAK")} for i in (range(1, len(t) + 1) if every else found)]
-
-
-def breaks(text, kind: str, every: bool = False) -> Column:
-    """array<struct<at, kind>>: code points in front of each break of kind grapheme, word, sentence or line.
-
-    Breaks are ALLOWED, those of lines also MANDATORY; with every, what is between two code points of one segment is
-    there as NO_BREAK. Empty texts have none, null stays null.
-    """
-    out = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string())]))
-    return _mapped(lambda t: breaks_str(t, kind, every), out, "array<struct<at:int,kind:string>>")(_col(text))
-
-
 def grapheme_count(text) -> Column:
     """Clusters of the text; counted by code points where each is a cluster (no carriage return, nothing past U+02FF)."""
     t = _col(text)

@@ -315,7 +315,7 @@ _TOKENS = r"""regexp_extract_all({0},'(?s)(?:\p{{L}}(?:[.:''’·]\p{{L}})*|\p{{
 
 @_query(f"SELECT conv_id, turn, md5(array_to_string({_TOKENS.format('text')}, '|')) AS digest, CAST(len({_TOKENS.format('text')}) AS BIGINT) AS n FROM conversations")
 def word_segments(spark, sf_dir):
-    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.segments("text", "word").alias("w"), tx.breaks("text", "word").alias("b"))
+    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.segments("text", "word").alias("w"), lb.breaks("text", "word").alias("b"))
     return d.select("conv_id", "turn", F.md5(F.array_join("w", "|")).alias("digest"), F.size("b").cast("long").alias("n"))
 
 
@@ -325,7 +325,7 @@ _MARKED = _decomposed("text")
 @_query(f"SELECT conv_id, turn, md5(array_to_string(list_filter(range(1, length(t) + 1), lambda i: i = length(t) OR NOT regexp_matches(t[i + 1:i + 1], '\\p{{M}}')), ',')) AS digest FROM (SELECT conv_id, turn, {_MARKED} AS t FROM conversations)")
 def grapheme_breaks(spark, sf_dir):
     """Positions of the breaks of decomposed texts."""
-    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.breaks(tx.normalize("text", "NFD"), "grapheme").alias("b"))
+    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", lb.breaks(tx.normalize("text", "NFD"), "grapheme").alias("b"))
     return d.select("conv_id", "turn", F.md5(F.array_join(F.transform("b", lambda x: x["at"].cast("string")), ",")).alias("digest"))
 
 
@@ -333,14 +333,14 @@ def grapheme_breaks(spark, sf_dir):
 def break_events(spark, sf_dir):
     """Every code point of a text ends in one event of each iterator: a break or none."""
     d = _table(spark, sf_dir, "conversations")
-    parts = [d.select("conv_id", "turn", F.lit(k).alias("kind"), F.size(tx.breaks("text", k, every=True)).cast("long").alias("n_events")) for k in ("grapheme", "word", "sentence", "line")]
+    parts = [d.select("conv_id", "turn", F.lit(k).alias("kind"), F.size(lb.breaks("text", k, every=True)).cast("long").alias("n_events")) for k in ("grapheme", "word", "sentence", "line")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @_query()
 def break_profile(spark, sf_dir):
     """How many breaks of each kind every text of the conversations has; tests compare lines with ICU."""
-    b = lambda k: tx.breaks("text", k)
+    b = lambda k: lb.breaks("text", k)
     d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", b("word").alias("w"), b("sentence").alias("s"), b("line").alias("l"))
     return d.select("conv_id", "turn", F.size("w").alias("words"), F.size("s").alias("sentences"), F.size(F.filter("l", lambda x: x["kind"] == "ALLOWED")).alias("lines"))
 

@@ -521,3 +521,29 @@ def plane_names(spark, sf_dir):
 @_query("SELECT cp, 'HANGUL SYLLABLE ' || ['G','GG','N','D','DD','R','M','B','BB','S','SS','','J','JJ','C','K','T','P','H'][1 + (cp - 44032) // 588] || ['A','AE','YA','YAE','EO','E','YEO','YE','O','WA','WAE','OE','YO','U','WEO','WE','WI','YU','EU','YI','I'][1 + (cp - 44032) % 588 // 28] || ['','G','GG','GS','N','NJ','NH','D','L','LG','LM','LB','LS','LT','LP','LH','M','B','BS','S','SS','NG','J','C','K','T','P','H'][1 + (cp - 44032) % 28] AS name FROM (SELECT CAST(range AS INTEGER) AS cp FROM range(44032, 55204))")
 def hangul_names(spark, sf_dir):
     return spark.range(0xAC00, 0xD7A4).select(F.col("id").cast("int").alias("cp")).select("cp", cp.hangul_name("cp").alias("name"))
+
+
+_ASCII_LETTER = "(cp BETWEEN 65 AND 90 OR cp BETWEEN 97 AND 122)"
+
+
+@_query(f"""SELECT cp, n, regexp_matches(chr(cp), '\\p{{L}}') AS id_start, regexp_matches(chr(cp), '[\\p{{L}}\\p{{Nd}}_]') OR cp BETWEEN 768 AND 879 AS id_continue, regexp_matches(chr(cp), '\\p{{L}}') AS xid_start, regexp_matches(chr(cp), '[\\p{{L}}\\p{{Nd}}_]') OR cp BETWEEN 768 AND 879 AS xid_continue,
+ cp BETWEEN 33 AND 47 OR cp BETWEEN 58 AND 64 OR cp BETWEEN 91 AND 94 OR cp = 96 OR cp BETWEEN 123 AND 126 AS pattern_syntax, cp BETWEEN 48 AND 57 OR cp IN (35, 42) AS emoji, false AS emoji_presentation, false AS emoji_modifier_base, cp BETWEEN 48 AND 57 OR cp IN (35, 42) AS emoji_component, false AS extended_pictographic, cp BETWEEN 768 AND 879 AS combining,
+ cp >= 32 AS graphic, regexp_matches(chr(cp), '\\p{{Lu}}') AS uppercase, CASE WHEN cp BETWEEN 48 AND 57 OR cp IN (35, 42) THEN 1 END AS flagged
+ FROM (SELECT unicode(c) AS cp, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split({_decomposed('text')} || text, '')) AS c FROM documents WHERE text <> '') GROUP BY 1)""")
+def codepoint_flags(spark, sf_dir):
+    """Binary properties of the code points of texts, as they are and decomposed."""
+    d = cp.histogram(_docs(spark, sf_dir).select(F.concat(tx.normalize("text", "NFD"), "text").alias("t")), "t").select("cp", "n")
+    flags = {n: cp.has_property("cp", p) for n, p in cp.NAMED.items()}
+    flagged = cp.emoji_properties("cp").isNotNull()
+    return d.select("cp", "n", *(v.alias(n) for n, v in flags.items()), cp.is_graphic("cp").alias("graphic"), cp.has_property("cp", "Lu").alias("uppercase"), F.when(flagged, 1).alias("flagged"))
+
+
+@_query(f"""SELECT cp, CASE WHEN cp < 91 THEN 'LATIN CAPITAL LETTER ' ELSE 'LATIN SMALL LETTER ' END || upper(chr(cp)) AS name, CASE WHEN cp < 91 THEN 'Lu' ELSE 'Ll' END AS category, 0 AS combining, 'L' AS bidi, 'none' AS decomposition, -1 AS digit, false AS mirrored, CASE WHEN cp < 91 THEN 0 ELSE cp - 32 END AS upper, CASE WHEN cp < 91 THEN cp + 32 ELSE 0 END AS lower
+ FROM (SELECT DISTINCT unicode(c) AS cp FROM (SELECT unnest(string_split(text, '')) AS c FROM documents WHERE text <> '')) WHERE {_ASCII_LETTER}
+ UNION ALL SELECT cp, 'LATIN ' || CASE WHEN chr(cp) = lower(chr(cp)) THEN 'SMALL' ELSE 'CAPITAL' END || ' LETTER ' || upper(strip_accents(chr(cp))) || ' WITH ' || CASE WHEN lower(chr(cp)) IN ('á','é','í','ó') THEN 'ACUTE' WHEN lower(chr(cp)) = 'è' THEN 'GRAVE' WHEN lower(chr(cp)) = 'ê' THEN 'CIRCUMFLEX' WHEN lower(chr(cp)) = 'ñ' THEN 'TILDE' WHEN lower(chr(cp)) = 'ç' THEN 'CEDILLA' ELSE 'DIAERESIS' END, CASE WHEN chr(cp) = lower(chr(cp)) THEN 'Ll' ELSE 'Lu' END, 0, 'L', 'canonical', -1, false, CASE WHEN chr(cp) = lower(chr(cp)) THEN cp - 32 ELSE 0 END, CASE WHEN chr(cp) = lower(chr(cp)) THEN 0 ELSE cp + 32 END
+ FROM (SELECT DISTINCT unicode(c) AS cp FROM (SELECT unnest(string_split(text, '')) AS c FROM documents WHERE text <> '')) WHERE chr(cp) IN ('á','é','í','ó','è','ê','ñ','ç','ä','ö','ü','Á','É','Í','Ó','È','Ê','Ñ','Ç','Ä','Ö','Ü')""")
+def codepoint_names(spark, sf_dir):
+    """Records of the letters of texts."""
+    letters = F.col("cp").between(65, 90) | F.col("cp").between(97, 122) | F.col("cp").between(0xC0, 0xFF) & (F.col("cp") != 0xDF)
+    d = cp.histogram(_docs(spark, sf_dir), "text").where(letters).select("cp")
+    return d.join(F.broadcast(cp.characters(spark)), "cp").select("cp", "name", "category", "combining", "bidi", "decomposition", "digit", "mirrored", "upper", "lower")

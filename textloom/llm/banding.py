@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize, mix
+from .common import distinct, join_hot, materialize, mix
 
 #: Entries (key and order of a set) that a packer holds before it sends them, and a bucket before it thins them out.
 PACKED, HELD = 1 << 20, 1 << 22
@@ -28,15 +28,20 @@ FEW = 8
 #: Entries of one bucket, about, and members in a blob.
 BUCKET, SPREAD = 1 << 18, 1 << 12
 #: Kinds of blobs; a bucket's hot keys come first.
-_HOT_KEYS, _ENTRIES, _MEMBERS = 0, 1, 2
+_HOT_KEYS, _ENTRIES, _MEMBERS, _SEEN = 0, 1, 2, 3
 
 PACKED_TYPE = "bucket int, kind int, blob binary"
 
 
 def bucket_bits(spark: SparkSession, entries: int) -> int:
-    """log2 of the number of buckets for so many entries: 16 or more to a shuffle partition, of BUCKET entries at most."""
-    least = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(30, max(least, entries // BUCKET).bit_length())
+    """log2 of the number of buckets for about so many entries: from 16 to 1,024 to a shuffle partition, of BUCKET entries."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(30, min(max(16 * parts, entries // BUCKET), 1024 * parts).bit_length())
+
+
+def size_in_bytes(df: DataFrame) -> int:
+    """Spark's own estimate; for tables read from files, their size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,8 +59,8 @@ def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return both[: len(both) // 2], both[len(both) // 2 :]
 
 
-def _packed(held: list[tuple[np.ndarray, np.ndarray]], bits: int) -> pa.RecordBatch:
-    keys, orders = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+def _packed(held: list[tuple[np.ndarray, np.ndarray]], seen: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    keys, orders = (np.concatenate([h[i] for h in held] or [np.zeros(0, np.uint64)]) for i in (0, 1))
     at = np.argsort(keys)
     keys, orders = keys[at], orders[at]
     first, n = _runs(keys)
@@ -72,6 +77,10 @@ def _packed(held: list[tuple[np.ndarray, np.ndarray]], bits: int) -> pa.RecordBa
         keys, orders = keys[~out], orders[~out]
     for b, part in zip(*_split(keys, bits), strict=True):
         rows.append((b, _ENTRIES, _blob(keys[part], orders[part])))
+    if seen:
+        names = np.sort(np.concatenate(seen))
+        for b, part in zip(*_split(names, bits), strict=True):
+            rows.append((b, _SEEN, names[part].tobytes()))
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "blob"])
 
 
@@ -82,18 +91,23 @@ def _split(keys: np.ndarray, bits: int) -> tuple[list[int], list[slice]]:
     return bucket[first].tolist(), [slice(a, a + c) for a, c in zip(first.tolist(), n.tolist(), strict=True)]
 
 
-def pack(signed: Iterator[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
-    """(orders of m sets, their m x bands keys), both of 64 bits, as PACKED_TYPE."""
-    held, size = [], 0
-    for orders, keys in signed:
+def pack(signed: Iterator[tuple[np.ndarray, ...]], bits: int) -> Iterator[pa.RecordBatch]:
+    """(orders of m sets, their m x bands keys), both of 64 bits, as PACKED_TYPE.
+
+    A third array, where there is one, tells the orders of sets as they occur, so that repeated_of() finds which do so
+    more than once.
+    """
+    held, seen, size = [], [], 0
+    for orders, keys, *occurring in signed:
         if keys.size:
             held.append((keys.reshape(-1).view(np.uint64), np.repeat(orders.view(np.uint64), keys.shape[1])))
-            size += keys.size
+        seen += [x.view(np.uint64) for x in occurring if len(x)]
+        size += keys.size + sum(map(len, occurring))
         if size >= PACKED:
-            yield _packed(held, bits)
-            held, size = [], 0
+            yield _packed(held, seen, bits)
+            held, seen, size = [], [], 0
     if size:
-        yield _packed(held, bits)
+        yield _packed(held, seen, bits)
 
 
 def _rows(a: np.ndarray, b: np.ndarray | None, band: np.ndarray | None) -> pa.RecordBatch:
@@ -107,6 +121,16 @@ class _Bucket:
     def __init__(self) -> None:
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.size, self.hot = 0, np.zeros(0, np.uint64)
+        self.seen: list[np.ndarray] = []
+
+    def occur(self, orders: np.ndarray) -> None:
+        """Orders as they occur, kept no more than twice each."""
+        self.seen.append(orders)
+        if sum(map(len, self.seen)) > HELD:
+            both = np.sort(np.concatenate(self.seen))
+            third = np.zeros(len(both), bool)
+            third[2:] = both[2:] == both[:-2]
+            self.seen = [both[~third]]
 
     def add(self, keys: np.ndarray, orders: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append((keys, orders))
@@ -141,6 +165,11 @@ class _Bucket:
         self.held, self.size = [(keys[stay], orders[stay])], int(stay.sum())
 
     def close(self) -> Iterator[pa.RecordBatch]:
+        if self.seen:
+            both = np.sort(np.concatenate(self.seen))
+            again = distinct(both[1:][both[1:] == both[:-1]])
+            if len(again):
+                yield _rows(again, None, None)
         if not self.size:
             return
         if not len(self.hot):  # most keys are of one set: they go before the slow sort
@@ -175,6 +204,8 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif kind == _MEMBERS:
                 keys, orders = _opened(blob)
                 yield _rows(orders, None, keys)
+            elif kind == _SEEN:
+                held.occur(np.frombuffer(blob, np.uint64))
             else:
                 yield from held.add(*_opened(blob))
     yield from held.close()
@@ -183,9 +214,10 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_bands(packed: DataFrame) -> DataFrame:
     """PACKED_TYPE rows of pack() -> (a, b, band), all long.
 
-    A row with a null band is a pair of orders a and b of two sets that share a band key of few sets. Other rows say that
-    the set of order a has the key `band` of many, whose least order is b, or null where no single task saw them all.
-    Rows repeat. Sets of equal order count as one.
+    A row with b and without band is a pair of orders of two sets that share a band key of few sets. Rows with a band say
+    that the set of order a has the key `band` of many, whose least order is b, or null where no single task saw them
+    all. Rows with neither tell that the set of order a occurs more than once. Rows repeat. Sets of equal order count as
+    one.
     """
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = packed.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
@@ -209,7 +241,7 @@ def packer(bits: int):
 def pairs_of(shared: DataFrame) -> DataFrame:
     """The distinct pairs (a, b), a > b, to compare first: of keys of few sets all, of the others each set with the hub."""
     pairs = shared.where("b is not null and a <> b").select("a", "b")
-    hot = shared.where("b is null").select("a", "band").distinct()
+    hot = shared.where("b is null and band is not null").select("a", "band").distinct()
     hubs = materialize(hot.groupBy("band").agg(F.min("a").alias("b"), F.count("*").alias("n")), "hubs")
     if not hubs.isEmpty():
         pairs = pairs.unionByName(join_hot(hot, hubs.select("band", "b"), "band", hubs.select("band", "n")).where("a <> b").select("a", "b"))
@@ -219,3 +251,8 @@ def pairs_of(shared: DataFrame) -> DataFrame:
 def members_of(shared: DataFrame) -> DataFrame:
     """(order, bands): each set with its keys of many sets, but for those whose hub it is."""
     return shared.where("band is not null and (b is null or a <> b)").groupBy(F.col("a").alias("order")).agg(F.collect_set("band").alias("bands"))
+
+
+def repeated_of(shared: DataFrame) -> DataFrame:
+    """(order): the sets that occur more than once, of those whose occurrence pack() was told."""
+    return shared.where("band is null and b is null").select(F.col("a").alias("order"))

@@ -1,10 +1,11 @@
 """Fuzzy line deduplication: character-shingle signatures, banding, exact Jaccard, distributed union-find.
 
-One pass cuts texts into lines and names each by 128 bits; lines equal after normalisation are one node. A second
-pass signs them, once for a line that repeats within a task, and sends the band keys in packed blobs, of which only
-what two different lines share comes back (see banding). A third fetches the lines that share a key. Candidates are
-verified on their full shingle sets, and union-find joins the links. One line per component stays: the first by
-document id, then by place. No line is left out: one of fewer than k characters is a shingle of its own.
+One pass cuts texts into lines, names each by 128 bits and signs it, once for a line that repeats within a task; band
+keys and names travel in packed blobs, of which only what two different lines share, and the names that occur again,
+come back (see banding). A second pass fetches the lines that share a key. Candidates are verified on their full shingle
+sets, and union-find joins the links; lines equal after normalisation are one node. A third pass places the lines of
+components and those that occur again, and one line of each stays: the first by document id, then by place. No line is
+left out: one of fewer than k characters is a shingle of its own.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .banding import PACKED_TYPE, bucket_bits, members_of, pack, pairs_of, shared_bands
+from .banding import PACKED_TYPE, bucket_bits, members_of, pack, pairs_of, repeated_of, shared_bands, size_in_bytes
 from .common import bitmap, discard, distinct, in_bitmap, join_hot, materialize, mix, slices, small
 from .linking import link_members, set_bits
 from .sketch import band_keys, fast_similarity_sketch
@@ -112,23 +113,34 @@ def _names(lines: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return names, np.frombuffer(b"".join(names), ">i8")[::2].astype(np.int64)
 
 
-def _namer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small(batches):
-        for rows, nos, lines in _lines(batch.column(2).cast(pa.binary()).to_pylist(), 1_000_000):
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(nos, pa.int32()), pa.array(_names(lines)[0], pa.binary())], names=["id", "th", "no", "sid"])
+def _namer(words: np.ndarray | None):
+    """(id, th, text) -> (id, th, no, sid) of the lines whose name's bit is set, of all with words None."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            for rows, nos, lines in _lines(batch.column(2).cast(pa.binary()).to_pylist(), 1_000_000):
+                names, prio = _names(lines)
+                if words is not None:
+                    own = np.flatnonzero(in_bitmap(words, prio.view(np.uint64))).tolist()
+                    rows, nos, names = ([x[i] for i in own] for x in (rows, nos, names))
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(nos, pa.int32()), pa.array(names, pa.binary())], names=["id", "th", "no", "sid"])
+
+    return name
 
 
 def _signer(k: int, bands: int, rows: int, bits: int):
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         seen: set[int] = set()
         for batch in small(batches):
             for _, _, lines in _lines(batch.column(0).cast(pa.binary()).to_pylist()):
                 _, prio = _names(lines)
                 fresh = [i for i, p in enumerate(prio.tolist()) if not (p in seen or seen.add(p))]
+                keys = np.zeros((0, bands), np.int64)
                 if fresh:
                     some = [lines[i] for i in fresh]
-                    yield prio[fresh], band_keys(fast_similarity_sketch(*_shingles(some, k), len(some), bands * rows), rows)
+                    keys = band_keys(fast_similarity_sketch(*_shingles(some, k), len(some), bands * rows), rows)
+                yield prio[fresh], keys, prio
                 if len(seen) > SEEN:
                     seen.clear()
 
@@ -236,18 +248,25 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.filter(pa.array([not (x in seen or seen.add(x)) for x in batch.column(0).to_pylist()], pa.bool_()))
 
 
-def _fetched(src: DataFrame, lines: DataFrame, wanted: DataFrame, bitmap_most: int) -> DataFrame:
+def _bits(prios: DataFrame, most: int) -> np.ndarray | None:
+    """A bitmap of a table of distinct prios with 32 times as many bits or more; None if it has more than `most` rows."""
+    n = prios.count()
+    return bitmap(prios, "prio", max(16, (32 * n).bit_length())) if n <= most else None
+
+
+def _fetched(src: DataFrame, kind_of_id: str, wanted: DataFrame, bitmap_most: int) -> DataFrame:
     """(sid, prio, line) of the lines whose prio is wanted, once each.
 
     Of up to bitmap_most wanted lines, every worker gets a bitmap of 32 times as many bits or more and looks through all
     texts; more are looked up where they stand. What comes is hashed against the wanted ones, not sorted: lines are long.
     """
-    n, kind = wanted.count(), "sid binary, prio bigint, line binary"
-    if n <= bitmap_most:
-        found = src.select("text").mapInArrow(_fetcher(bitmap(wanted, "prio", max(16, (32 * n).bit_length()))), kind)
+    kind, bits = "sid binary, prio bigint, line binary", _bits(wanted, bitmap_most)
+    if bits is not None:
+        found = src.select("text").mapInArrow(_fetcher(bits), kind)
     else:
         prio = F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long")
-        places = lines.withColumn("prio", prio).join(wanted, "prio").dropDuplicates(["sid"]).groupBy(F.col("id").alias("_i"), F.col("th").alias("_t")).agg(F.collect_set("no").alias("nos"))
+        lines = src.mapInArrow(_namer(None), f"id {kind_of_id}, th bigint, no int, sid binary").withColumn("prio", prio)
+        places = lines.join(wanted, "prio").dropDuplicates(["sid"]).groupBy(F.col("id").alias("_i"), F.col("th").alias("_t")).agg(F.collect_set("no").alias("nos"))
         there = src.join(places, src["id"].eqNullSafe(places["_i"]) & src["th"].eqNullSafe(places["_t"])).select("text", "nos")
         found = there.mapInArrow(_fetcher(None), kind)
     # Equal names have equal prio, so they meet in the partition that the join deals them to.
@@ -272,14 +291,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.drop(*counts)
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text"))
-    lines = materialize(src.mapInArrow(_namer, f"id {kind}, th bigint, no int, sid binary"), "lines")
-    signed = src.select("text").mapInArrow(_signer(k, bands, rows, bucket_bits(spark, bands * lines.count())), PACKED_TYPE)
+    # About 24 keys for a line of 300 characters, and twice as many characters as bytes of a file.
+    signed = src.select("text").mapInArrow(_signer(k, bands, rows, bucket_bits(spark, bands * size_in_bytes(src) // 150)), PACKED_TYPE)
     shared = materialize(shared_bands(signed), "shared")
-    pairs = materialize(pairs_of(shared), "pairs")
+    pairs_ = pairs = materialize(pairs_of(shared), "pairs")
     members = materialize(members_of(shared), "members")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("prio")).unionByName(members.select(F.col("order").alias("prio"))).distinct()
     wanted = materialize(wanted, "wanted")
-    fetched = _fetched(src, lines, wanted, bitmap_most)
+    fetched = _fetched(src, kind, wanted, bitmap_most)
     # Longs as nodes from here on: they aggregate by hash, names would by sorting.
     nodes = materialize(fetched.select("sid", "prio", "line").select(F.col("sid").alias("name"), "prio", "line", F.monotonically_increasing_id().alias("sid")), "nodes")
     node = lambda c: nodes.select(F.col("prio").alias(c), F.col("sid").alias(f"n{c}"))
@@ -293,14 +312,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     labels = link_members(pairs, sets, verified, num, den)
     # A component goes by the name of its least node.
-    named = labels.join(nodes.select(F.col("sid").alias("node"), F.col("name").alias("sid")), "node").join(nodes.select(F.col("sid").alias("label"), F.col("name").alias("group")), "label").select("sid", "group")
+    name = lambda c, to: nodes.select(F.col("sid").alias(c), F.col("name").alias(to))
+    named = materialize(labels.join(name("node", "sid"), "node").join(name("label", "group"), "label").select("sid", "group"), "named")
 
     # Only lines of a component or with equal ones matter from here on.
-    equal = lines.groupBy("sid").agg(F.count("*").alias("times")).where("times > 1").select("sid")
-    group = equal.join(named, "sid", "full").select("sid", F.coalesce("group", "sid").alias("label"))
+    prio = F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long")
+    matter = materialize(named.select(prio.alias("prio")).unionByName(repeated_of(shared).withColumnRenamed("order", "prio")).distinct(), "matter")
+    lines = src.mapInArrow(_namer(_bits(matter, 2 * bitmap_most)), f"id {kind}, th bigint, no int, sid binary")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "no")
-    some = materialize(lines.select("id", "th", "no", "sid").join(group, "sid").select("id", "th", "no", "label"), "some")
-    discard(lines, shared, wanted, members, nodes)
+    some = materialize(lines.join(named, "sid", "left").select("id", "th", "no", F.coalesce("group", "sid").alias("label")), "some")
+    discard(shared, pairs_, members, wanted, nodes, named, matter)
     firsts = materialize(some.groupBy("label").agg(F.min(place).alias("stays"), F.count("*").alias("n")), "firsts")
     gone = join_hot(some, firsts.drop("n"), "label", firsts.select("label", "n")).where(~place.eqNullSafe(F.col("stays"))).select("id", "th", "no")
     gone = materialize(gone.groupBy("id", "th").agg(F.collect_set("no").alias("gone")), "gone")

@@ -132,8 +132,8 @@ def test_line_dedup_looks_lines_up_where_they_stand(spark):
     say = lambda n: " ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(n))
     lines = [say(r.randint(1, 14)) for _ in range(60)]
     rows = [(i % 70 or None, "\n".join(r.choice(lines) + r.choice(["", "", ".", "!"]) for _ in range(r.randint(0, 6))), "x", 1, 2) for i in range(90)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, sid string, prio long, n_lines int").withColumn("text", F.when(F.col("doc_id") == 5, F.expr("cast(x'41ff420a41ff42' as string)")).otherwise(F.col("text")))
-    raw = lambda df: Counter(tuple(x) for x in df.select("doc_id", F.hex(F.col("text").cast("binary")), "sid", "prio", "n_lines", "n_dropped").collect())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, gone long, n_lines int").withColumn("text", F.when(F.col("doc_id") == 5, F.expr("cast(x'41ff420a41ff42' as string)")).otherwise(F.col("text")))
+    raw = lambda df: Counter(tuple(x) for x in df.select("doc_id", F.hex(F.col("text").cast("binary")), "_id", "gone", "n_lines", "n_dropped").collect())
     one, two = raw(linededup.dedup_lines(docs)), raw(linededup.dedup_lines(docs, bitmap_most=0))
     assert one == two and sum(one.values()) == 90
     assert {x[1] for x in one if x[0] == 5} <= {"41EFBFBD42", ""}

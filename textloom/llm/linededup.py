@@ -282,10 +282,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     characters is one shingle, and equals only itself. Of each component the line of the smallest id (null last), then
     of the first place, stays; the others are cut out with their line feed. Blank lines always stay. Rows equal in id
     and text are one document: each gets the same text. Null texts stay null, with 0 lines; a text whose lines all go
-    is empty. Bytes that are not UTF-8 are compared
-    as U+FFFD, and become that in a text that loses lines. Other columns pass through; columns named as counts are
-    replaced. An empty table gives no rows. A pair at similarity 0.8 is missed with probability 3e-6, at
-    0.9 with 1e-11 (24 bands of 4 bins).
+    is empty. Bytes that are not UTF-8 are compared as U+FFFD, and become that in a text that loses lines. Other columns
+    pass through; columns named as counts are replaced. An empty table gives no rows. A pair at similarity 0.8 is missed
+    with probability 3e-6, at 0.9 with 1e-11 (24 bands of 4 bins).
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -327,13 +326,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = materialize(gone.groupBy("id", "th").agg(F.collect_set("no").alias("gone")), "gone")
     discard(some, firsts)
 
-    key = [F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_th")]
+    key = [F.col(id_col).alias("_linededup_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_linededup_th")]
     marked = docs.select("*", *key)
-    g = gone.select(F.col("id").alias("_gid"), F.col("th").alias("_gth"), "gone")
+    g = gone.select(F.col("id").alias("_linededup_gid"), F.col("th").alias("_linededup_gth"), F.col("gone").alias("_linededup_gone"))
     # Each document has one row in g at most, so its side is small in every partition: hashed, the texts stay unsorted.
-    joined = marked.join(g.hint("shuffle_hash"), marked["_id"].eqNullSafe(g["_gid"]) & (marked["_th"] == g["_gth"]), "left").drop("_gid", "_gth", "_id", "_th").withColumnRenamed("gone", "_gone")
-    text, no = F.col(text_col).cast("string"), F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
+    joined = marked.join(g.hint("shuffle_hash"), marked["_linededup_id"].eqNullSafe(g["_linededup_gid"]) & (marked["_linededup_th"] == g["_linededup_gth"]), "left").drop("_linededup_gid", "_linededup_gth", "_linededup_id", "_linededup_th")
+    text, no = F.col(text_col).cast("string"), F.coalesce(F.col("_linededup_gone"), F.array().cast("array<int>"))
     parts = F.split(text, "\n", -1)
     lines_left = F.array_join(F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains(no, i), x)), lambda x: x.isNotNull()), "\n")
     out = joined.withColumns({text_col: F.when(F.size(no) == 0, text).otherwise(lines_left), counts[0]: F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"), counts[1]: F.size(no).cast("long")})
-    return out.drop("_gone")
+    return out.drop("_linededup_gone")

@@ -107,14 +107,15 @@ def _bin(cuts: list[float], value: Column) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= value)) if cuts else F.lit(0)
 
 
-def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = 8000, steps: int = 24, max_rules: int = 8, max_conditions: int = 3, precision: float = 0.9, least: int = 3, share: float = 0.004) -> list[tuple[Rule, int]]:
+def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = 8000, steps: int = 24, max_rules: int = 8, max_conditions: int = 3, max_failed: int = 4, precision: float = 0.9, least: int = 3, share: float = 0.004) -> list[tuple[Rule, int]]:
     """Rules for label 0, from the at most max_labels labelled documents whose crc32(id) comes first.
 
     A third of them (by another hash) prunes, the others grow. A rule grows by the condition of the most information
     gain until it covers no document of label 1, then loses the last conditions that do not help on the other part. It
     is kept if, on either part, at least `precision` of what it covers has label 0, and if it covers `least` documents
     of label 0 for growing, or a `share` of all of them where that is more, and one for pruning. Thresholds are
-    quantiles of all values and of those of label 0, and half of the least value above 0. Null texts have no words.
+    quantiles of all values and of those of label 0, and half of the least value above 0. After max_failed rules that
+    do not hold on the other part, each begun by another condition, the list is complete. Null texts have no words.
     Labels that are null, neither 0 nor 1, of a null id or held out (crc32 mod 4 = 2) are not used; of an id with both
     labels the larger one is. Without labels of both kinds, or on an empty table, there are no rules.
     """
@@ -137,7 +138,7 @@ def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     rules: list[tuple[Rule, int]] = []
     left = F.lit(True)
     banned: set[tuple[str, str]] = set()  # conditions that began a rule which did not hold on the other part
-    while len(rules) < max_rules and len(banned) < 2 * len(names):
+    while len(rules) < max_rules and len(banned) < max_failed:
         rule: Rule = []
         for _ in range(max_conditions):
             # One pass: how many of either label lie between neighbouring thresholds of each feature.

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .banding import PACKED_TYPE, bucket_bits, members_of, packer, pairs_of, shared_bands
-from .common import HashCache, discard, materialize, slices, small
+from .common import HashCache, discard, join_hot, materialize, slices, small
 from .linking import link_members, set_bits
 from .sketch import band_keys, sketch_sets, word_shingle_sets
 
@@ -82,7 +82,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     high = F.conv(F.hex(F.substring("sid", 1, 6)), 16, 10).cast("long")
     order = F.shiftleft(F.lit(16383) - F.least(F.col("copies"), F.lit(16383)), 48) + high
     classes = signed.where("sid is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    classes = materialize(classes.select("sid", "rep", "bands", order.alias("order")), "classes")
+    classes = materialize(classes.select("sid", "rep", "copies", "bands", order.alias("order")), "classes")
 
     shared = materialize(shared_bands(classes.select("order", "bands").mapInArrow(packer(bucket_bits(spark, bins // rows * classes.count())), PACKED_TYPE)), "shared")
     pairs, members = materialize(pairs_of(shared), "pairs"), materialize(members_of(shared), "members")
@@ -106,6 +106,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
     tied = grouped.join(least, "label").select(F.col("name").alias("sid"), "component_id")
     named = classes.select("sid", "rep").join(tied, "sid", "left").select("sid", F.when(F.col("component_id").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
-    out = signed.select("id", "sid", "n").join(named, "sid", "left")
-    component = F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    # A class of many copies is one key of many rows; wordless texts have none and would all be dealt to one task.
+    some = join_hot(signed.where("sid is not null").select("id", "sid", "n"), named, "sid", classes.select("sid", F.col("copies").alias("n")))
+    none = signed.where("sid is null").select("id", "n", F.col("id").alias("component_id"))
+    out = some.select("id", "n", "component_id").unionByName(none)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))

@@ -4,9 +4,11 @@ import os
 import random
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from textloom.functions import bidi, collation, hosts, properties, session
 from textloom.functions import codepoints as cp
@@ -230,6 +232,30 @@ def test_bidi(spark):
     assert _map(spark, [None], bidi.bidi_reorder_line(b)) == [None]
 
 
+def test_results_larger_than_texts_leave_in_parts():
+    """No worker holds the results of a whole batch: what one call of a worker's function returns is bounded."""
+    values = pa.array(["x" * 1000, None, "", "é" * tx.PART, *["y" * 1000] * 2000])
+    found = list(tx.parts(values))
+    assert [x for p in found for x in p.to_pylist()] == values.to_pylist()
+    sizes = [[len(x.encode()) for x in p.to_pylist() if x] for p in found]
+    assert all(sum(n) - max(n) <= tx.PART for n in sizes) and len(found) < 20
+    assert [len(p) for p in tx.parts(pa.array([], pa.string()))] == [0]
+
+
+def test_bidi_results_are_streamed(spark):
+    """A whole batch's levels took 200 times its texts' memory in a worker."""
+    texts = ["אב(a) 1" * 300, None, "", "a\u202eb\n"] * 100  # several parts
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    df = rows.select("i", bidi.bidi_resolve("t", "LTR").alias("b"))
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in df._jdf.queryExecution().optimizedPlan().toString()
+    got = [r.b for r in sorted(df.collect())]
+    assert got[1::4] == [None] * 100 and all(x == got[i % 4] for i, x in enumerate(got))
+    assert (got[2].level, got[2].direction, got[2].chars, got[2].visual, got[2].runs) == (0, "LTR", [], [], [])
+    assert [(c.cp, c.byte_offset, c.level, c["class"]) for c in got[3].chars] == [(97, 0, 0, "L"), (98, 4, 1, "L"), (10, 5, 0, "B")]
+    assert got == [r.b for r in sorted(bidi.with_bidi(rows, "t", "b", "LTR").collect())]
+    assert got[0].visual == bidi.visual_order([c.level for c in got[0].chars]) and [c.mirror for c in got[0].chars[:6]] == [0x5D0, 0x5D1, 0x28, 0x61, 0x29, 0x20]
+
+
 def test_code_point_values(spark):
     df = spark.createDataFrame([(x,) for x in (65, 178, 189, 1632, 20013, 8544, 1114112)], "cp int")
     df = properties.with_property(properties.with_property(properties.codepoint_block(df, "cp"), "cp", "Script", "script"), "cp", "East_Asian_Width", "width")

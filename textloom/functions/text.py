@@ -6,7 +6,9 @@ import itertools
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,32 @@ def _mapped(fn, kind: pa.DataType, ddl: str):
     return apply
 
 
+#: Bytes of texts whose results _streamed() holds at once.
+PART = 1 << 18
+
+
+def parts(values: pa.Array, limit: int = PART) -> Iterator[pa.Array]:
+    """An array of texts or bytes in slices of about `limit` bytes each; a longer value begins one."""
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // limit)) + 1).tolist(), len(values)]
+    return (values.slice(a, b - a) for a, b in itertools.pairwise(cuts))
+
+
+def _streamed(build, ddl: str):
+    """An Arrow function of one column of texts or bytes, for results much larger than these: they leave in parts.
+
+    build: a list of values, some None -> the array of their results. No worker holds the results of a whole batch.
+    """
+
+    @F.arrow_udf(ddl)
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            for part in parts(values):
+                yield build(part.to_pylist())
+
+    return apply
+
+
 def normalize(text, form: str) -> Column:
     """NFC, NFD, NFKC or NFKD. ASCII texts pass as they are."""
     form = form.upper()

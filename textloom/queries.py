@@ -425,9 +425,13 @@ def idna_scripts(spark, sf_dir):
 def bidi_mixed(spark, sf_dir):
     """Texts after three Hebrew letters: their direction by themselves, and their order from left to right, whole and by line."""
     t = F.concat(F.lit("אבג. a"), "text")
-    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", bidi.bidi_resolve(t).alias("auto"), bidi.bidi_resolve(t, "LTR").alias("b"))
+    d = bidi.with_bidi(_table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("t")), "t", "auto")
+    d = bidi.with_bidi(d.select("conv_id", "turn", "t", "auto.direction"), "t", "b", "LTR")
     text = lambda x: F.array_join(x.cast("array<string>"), ",")
-    return d.select("conv_id", "turn", "auto.direction", "b.level", F.size("b.chars").cast("long").alias("n"), F.size("b.runs").alias("n_runs"), text(F.slice("b.visual", 1, 6)).alias("shown"), text(bidi.bidi_reorder_line("b", 0, 4)).alias("line"))
+    # Of the characters only those of the line go on to the last function.
+    d = d.select("conv_id", "turn", "direction", "b.level", F.size("b.chars").cast("long").alias("n"), F.size("b.runs").alias("n_runs"), text(F.slice("b.visual", 1, 6)).alias("shown"), F.slice("b.chars", 1, 4).alias("chars"))
+    line = bidi.bidi_reorder_line(F.struct("level", "chars"), 0, 4)
+    return d.select("conv_id", "turn", "direction", "level", "n", "n_runs", "shown", text(line).alias("line"))
 
 
 def _replaced(col: str, table: dict[str, str]) -> str:

@@ -16,6 +16,7 @@ from textloom.functions import identity as ident
 from textloom.functions import linebreak as lb
 from textloom.functions import security as sec
 from textloom.functions import text as tx
+from textloom.queries import QUERIES
 
 
 def _map(spark, texts, column, ddl="t string"):
@@ -256,6 +257,18 @@ def test_bidi_results_are_streamed(spark):
     assert got[0].visual == bidi.visual_order([c.level for c in got[0].chars]) and [c.mirror for c in got[0].chars[:6]] == [0x5D0, 0x5D1, 0x28, 0x61, 0x29, 0x20]
 
 
+def test_encodings_are_streamed(spark):
+    """Bytes in four encodings of a whole batch are twelve times its texts; a form is made for its rows alone."""
+    df = QUERIES["encoding_marks"](spark, "/root/testdata/sf0.001") if os.path.isdir("/root/testdata/sf0.001") else None
+    if df is not None:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        made = [x for x in plan.splitlines() if "ArrowEvalPython" in x]
+        assert made and all(f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in x and "CASE WHEN" in x for x in made)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["aé" * 100_000, None, "", "x"])], "i int, t string").coalesce(1)
+    got = [r[1] for r in sorted(rows.select("i", tx.convert_encoding(F.encode("t", "UTF-8"), "UTF-8", "UTF-16BE").alias("b")).collect())]
+    assert [None if b is None else bytes(b) for b in got] == ["aé".encode("utf-16-be") * 100_000, None, b"", b"\0x"]
+
+
 def test_code_point_values(spark):
     df = spark.createDataFrame([(x,) for x in (65, 178, 189, 1632, 20013, 8544, 1114112)], "cp int")
     df = properties.with_property(properties.with_property(properties.codepoint_block(df, "cp"), "cp", "Script", "script"), "cp", "East_Asian_Width", "width")

@@ -500,13 +500,15 @@ def convert_encoding_result(data, source: str, target: str) -> Column:
     """
     src, dst = source.upper(), target.upper()
     kind = pa.struct([("output", pa.binary()), ("transformed", pa.bool_()), ("status", pa.string())])
-    return _mapped(lambda b: convert_str(b, src, dst), kind, "struct<output:binary,transformed:boolean,status:string>")(_col(data).cast("binary"))
+    build = lambda part: pa.array([None if b is None else convert_str(b, src, dst) for b in part], kind)
+    return _streamed(build, "struct<output:binary,transformed:boolean,status:string>")(_col(data).cast("binary"))
 
 
 def convert_encoding(data, source: str, target: str) -> Column:
     """Bytes re-encoded, null where convert_encoding_result() says why not."""
     src, dst = source.upper(), target.upper()
-    return _mapped(lambda b: convert_str(b, src, dst)["output"], pa.binary(), "binary")(_col(data).cast("binary"))
+    build = lambda part: pa.array([None if b is None else convert_str(b, src, dst)["output"] for b in part], pa.binary())
+    return _streamed(build, "binary")(_col(data).cast("binary"))
 
 
 def convert_encoding_into(data, source: str, target: str, max_bytes) -> Column:

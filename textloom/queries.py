@@ -139,8 +139,8 @@ def filter_numeric(spark, sf_dir):
 def encoding_marks(spark, sf_dir):
     """Texts in six byte forms: with the marks of UTF-8, UTF-16 and UTF-32, and cut within a character."""
     d, utf8 = _docs(spark, sf_dir).withColumn("k", F.col("doc_id") % 6), F.encode("text", "UTF-8")
-    form = lambda e, mark: F.concat(F.lit(mark), tx.convert_encoding(utf8, "UTF-8", e))
-    b = F.when(F.col("k") == 0, F.concat(F.lit(b"\xef\xbb\xbf"), utf8)).when(F.col("k") == 1, form("UTF-16LE", b"\xff\xfe")).when(F.col("k") == 2, form("UTF-16BE", b"\xfe\xff")).when(F.col("k") == 3, form("UTF-32LE", b"\xff\xfe\0\0")).when(F.col("k") == 4, form("UTF-32BE", b"\0\0\xfe\xff")).otherwise(F.concat(utf8, F.lit(b"\xc3")))
+    form = lambda k, e, mark: F.concat(F.lit(mark), tx.convert_encoding(F.when(F.col("k") == k, utf8), "UTF-8", e))
+    b = F.when(F.col("k") == 0, F.concat(F.lit(b"\xef\xbb\xbf"), utf8)).when(F.col("k") == 1, form(1, "UTF-16LE", b"\xff\xfe")).when(F.col("k") == 2, form(2, "UTF-16BE", b"\xfe\xff")).when(F.col("k") == 3, form(3, "UTF-32LE", b"\xff\xfe\0\0")).when(F.col("k") == 4, form(4, "UTF-32BE", b"\0\0\xfe\xff")).otherwise(F.concat(utf8, F.lit(b"\xc3")))
     d = d.where(~F.col("k").isin(0, 5) | (F.col("text") != "")).withColumn("b", b)
     odd = F.when(F.col("k") < 5, tx.is_utf16("b")).otherwise(F.lit(False))
     return d.select("doc_id", tx.detect_encoding("b").alias("detected"), odd.alias("utf16"), F.when(F.col("k") == 1, F.md5(tx.convert_encoding(F.when(F.col("k") == 1, F.col("b")), "UTF-16", "UTF-8"))).alias("back"))

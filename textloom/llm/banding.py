@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distinct, join_hot, materialize, mix
+from .common import distinct, join_hot, materialize, mix, trimmed
 
 #: Entries (key and order of a set) that a packer holds before it sends them, and a bucket before it thins them out.
 PACKED, HELD = 1 << 20, 1 << 22
@@ -221,7 +221,7 @@ def shared_bands(packed: DataFrame) -> DataFrame:
     """
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = packed.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
-    return dealt.mapInArrow(_reduce, "a bigint, b bigint, band bigint")
+    return dealt.mapInArrow(trimmed(_reduce), "a bigint, b bigint, band bigint")
 
 
 def packer(bits: int):

@@ -134,6 +134,23 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(work):
+    """A function of Arrow batches that gives freed memory back when it ends.
+
+    Spark keeps workers for later tasks, several to a core, and each would hold what its largest batch took.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 class HashCache(dict):
     """bytes -> 64-bit hash, emptied when it has grown to its limit."""
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HashCache, bitmap, discard, in_bitmap, join_hot, materialize, slices, small
+from .common import HashCache, bitmap, discard, in_bitmap, join_hot, materialize, slices, small, trimmed
 from .sketch import rolling
 
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of a text whose A-Z are lower-cased, as bytes: all else becomes a space.
@@ -128,15 +128,15 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc
     """
     ids, its = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     bench = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    windows = materialize(bench.mapInArrow(_windows(window, k), f"item_id {its}, words array<string>, tokens array<bigint>, k int"), "windows")
+    windows = materialize(bench.mapInArrow(trimmed(_windows(window, k)), f"item_id {its}, words array<string>, tokens array<bigint>, k int"), "windows")
     ks = [r["k"] for r in windows.select("k").distinct().collect()]  # at most k values
     bitmaps = {kk: bitmap(windows.where(F.col("k") == kk).select(F.explode("tokens").alias("token")), "token", log2_bits) for kk in ks}
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(src.mapInArrow(_stretches(bitmaps), f"id {ids}, n_words bigint, stretches array<string>"), "stretches")
+    found = materialize(src.mapInArrow(trimmed(_stretches(bitmaps)), f"id {ids}, n_words bigint, stretches array<string>"), "stretches")
 
     texts = found.where("size(stretches) > 0").select(F.explode("stretches").alias("stretch")).groupBy("stretch").agg(F.count("*").alias("times"))
     texts = materialize(texts.withColumn("sid", F.sha2("stretch", 256)), "texts")
-    tokens = materialize(texts.select("sid", "stretch").mapInArrow(_tokens(ks), "sid string, pos bigint, token bigint, k int"), "tokens")
+    tokens = materialize(texts.select("sid", "stretch").mapInArrow(trimmed(_tokens(ks)), "sid string, pos bigint, token bigint, k int"), "tokens")
     df = tokens.join(texts.select("sid", "times"), "sid").groupBy("token", "k").agg(F.sum("times").alias("df"))
     uses = windows.select("words", "tokens", "k").distinct().select("words", "k", F.posexplode("tokens").alias("offset", "token"))
     rarest = uses.join(df, ["token", "k"], "left").groupBy("words", "k").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "offset", "token")).alias("r"))

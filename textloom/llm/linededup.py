@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .banding import PACKED_TYPE, bucket_bits, members_of, pack, pairs_of, repeated_of, shared_bands, size_in_bytes
-from .common import bitmap, discard, distinct, in_bitmap, join_hot, materialize, mix, slices, small
+from .common import bitmap, discard, distinct, in_bitmap, join_hot, materialize, mix, slices, small, trimmed
 from .linking import link_members, set_bits
 from .sketch import band_keys, fast_similarity_sketch
 
@@ -262,16 +262,16 @@ def _fetched(src: DataFrame, kind_of_id: str, wanted: DataFrame, bitmap_most: in
     """
     kind, bits = "sid binary, prio bigint, line binary", _bits(wanted, bitmap_most)
     if bits is not None:
-        found = src.select("text").mapInArrow(_fetcher(bits), kind)
+        found = src.select("text").mapInArrow(trimmed(_fetcher(bits)), kind)
     else:
         prio = F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long")
-        lines = src.mapInArrow(_namer(None), f"id {kind_of_id}, th bigint, no int, sid binary").withColumn("prio", prio)
+        lines = src.mapInArrow(trimmed(_namer(None)), f"id {kind_of_id}, th bigint, no int, sid binary").withColumn("prio", prio)
         places = lines.join(wanted, "prio").dropDuplicates(["sid"]).groupBy(F.col("id").alias("_i"), F.col("th").alias("_t")).agg(F.collect_set("no").alias("nos"))
         there = src.join(places, src["id"].eqNullSafe(places["_i"]) & src["th"].eqNullSafe(places["_t"])).select("text", "nos")
-        found = there.mapInArrow(_fetcher(None), kind)
+        found = there.mapInArrow(trimmed(_fetcher(None)), kind)
     # Equal names have equal prio, so they meet in the partition that the join deals them to.
     dealt = found.repartition(int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")), "prio")
-    return dealt.join(wanted.hint("shuffle_hash"), "prio", "left_semi").select("sid", "prio", "line").mapInArrow(_first_of_each, kind)
+    return dealt.join(wanted.hint("shuffle_hash"), "prio", "left_semi").select("sid", "prio", "line").mapInArrow(trimmed(_first_of_each), kind)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 7, num: int = 80, den: int = 100, bands: int = 24, rows: int = 4, bitmap_most: int = 1 << 19, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
@@ -291,7 +291,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop(*counts)
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text"))
     # About 24 keys for a line of 300 characters, and twice as many characters as bytes of a file.
-    signed = src.select("text").mapInArrow(_signer(k, bands, rows, bucket_bits(spark, bands * size_in_bytes(src) // 150)), PACKED_TYPE)
+    signed = src.select("text").mapInArrow(trimmed(_signer(k, bands, rows, bucket_bits(spark, bands * size_in_bytes(src) // 150))), PACKED_TYPE)
     shared = materialize(shared_bands(signed), "shared")
     pairs_ = pairs = materialize(pairs_of(shared), "pairs")
     members = materialize(members_of(shared), "members")
@@ -303,11 +303,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     node = lambda c: nodes.select(F.col("prio").alias(c), F.col("sid").alias(f"n{c}"))
     pairs = pairs.join(node("a"), "a").join(node("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     sets = nodes.join(members.withColumnRenamed("order", "prio"), "prio").select("sid", "line", "bands")
-    sets = sets.mapInArrow(_measurer(k), "sid bigint, bands array<bigint>, n bigint, bits array<bigint>")
+    sets = sets.mapInArrow(trimmed(_measurer(k)), "sid bigint, bands array<bigint>, n bigint, bits array<bigint>")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = nodes.select(F.col("sid").alias("a"), F.col("line").alias("x")), nodes.select(F.col("sid").alias("b"), F.col("line").alias("y"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_checker(k, num, den), "a bigint, b bigint")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(trimmed(_checker(k, num, den)), "a bigint, b bigint")
 
     labels = link_members(pairs, sets, verified, num, den)
     # A component goes by the name of its least node.
@@ -317,7 +317,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Only lines of a component or with equal ones matter from here on.
     prio = F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long")
     matter = materialize(named.select(prio.alias("prio")).unionByName(repeated_of(shared).withColumnRenamed("order", "prio")).distinct(), "matter")
-    lines = src.mapInArrow(_namer(_bits(matter, 2 * bitmap_most)), f"id {kind}, th bigint, no int, sid binary")
+    lines = src.mapInArrow(trimmed(_namer(_bits(matter, 2 * bitmap_most))), f"id {kind}, th bigint, no int, sid binary")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th", "no")
     some = materialize(lines.join(named, "sid", "left").select("id", "th", "no", F.coalesce("group", "sid").alias("label")), "some")
     discard(shared, pairs_, members, wanted, nodes, named, matter)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .banding import PACKED_TYPE, bucket_bits, members_of, packer, pairs_of, shared_bands
-from .common import HashCache, discard, join_hot, materialize, slices, small
+from .common import HashCache, discard, join_hot, materialize, slices, small, trimmed
 from .linking import link_members, set_bits
 from .sketch import band_keys, sketch_sets, word_shingle_sets
 
@@ -77,20 +77,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    signed = materialize(src.mapInArrow(_signer(k, bins, rows), f"id {kind}, sid binary, n bigint, bands array<bigint>"), "signed")
+    signed = materialize(src.mapInArrow(trimmed(_signer(k, bins, rows)), f"id {kind}, sid binary, n bigint, bands array<bigint>"), "signed")
     # Of sets that share a band key, the one with the most copies comes first: the hub of its bucket.
     high = F.conv(F.hex(F.substring("sid", 1, 6)), 16, 10).cast("long")
     order = F.shiftleft(F.lit(16383) - F.least(F.col("copies"), F.lit(16383)), 48) + high
     classes = signed.where("sid is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     classes = materialize(classes.select("sid", "rep", "copies", "bands", order.alias("order")), "classes")
 
-    shared = materialize(shared_bands(classes.select("order", "bands").mapInArrow(packer(bucket_bits(spark, bins // rows * classes.count())), PACKED_TYPE)), "shared")
+    shared = materialize(shared_bands(classes.select("order", "bands").mapInArrow(trimmed(packer(bucket_bits(spark, bins // rows * classes.count()))), PACKED_TYPE)), "shared")
     pairs, members = materialize(pairs_of(shared), "pairs"), materialize(members_of(shared), "members")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("order")).unionByName(members.select("order")).distinct()
     wanted = materialize(classes.select("order", "sid", "rep").join(wanted, "order"), "wanted")
     reps = wanted.select(F.col("rep").alias("_rep")).distinct()
     texts = src.join(reps, src["id"].eqNullSafe(reps["_rep"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_setter(k), "sid binary, items array<bigint>, bits array<bigint>").dropDuplicates(["sid"]).join(wanted.select("sid", "order"), "sid")
+    sets = texts.mapInArrow(trimmed(_setter(k)), "sid binary, items array<bigint>, bits array<bigint>").dropDuplicates(["sid"]).join(wanted.select("sid", "order"), "sid")
     # Longs as nodes from here on: they aggregate by hash, names would by sorting.
     sets = materialize(sets.select(F.col("sid").alias("name"), "order", "items", "bits", F.monotonically_increasing_id().alias("sid")), "sets")
     names = materialize(sets.select("name", "order", "sid"), "names")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, release_memory, small
+from .common import distinct, release_memory, small, trimmed
 
 DIM = 1 << 18
 #: Everything but letters, digits and bytes of non-ASCII characters parts words; . ! ? and line feeds part sentences.
@@ -184,7 +184,7 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    out = src.mapInArrow(_scorer(model), f"id {kind}, score double, worst_sentence bigint, worst_score double, n_flagged bigint")
+    out = src.mapInArrow(trimmed(_scorer(model)), f"id {kind}, score double, worst_sentence bigint, worst_score double, n_flagged bigint")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -220,7 +220,7 @@ def locate_toxic_sentences(docs: DataFrame, model: dict, id_col: str = "doc_id",
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(_locator(model, threshold), f"id {kind}, start bigint, end bigint, score double").withColumnRenamed("id", id_col)
+    return src.mapInArrow(trimmed(_locator(model, threshold)), f"id {kind}, start bigint, end bigint, score double").withColumnRenamed("id", id_col)
 
 
 def _dropper(model: dict, place: int, threshold: float):
@@ -237,4 +237,4 @@ def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text", threshold:
 
     Null, empty and wordless texts score about 0 and stay. Repeated rows are scored alike. An empty table stays empty.
     """
-    return docs.mapInArrow(_dropper(model, docs.columns.index(text_col), threshold), docs.schema)
+    return docs.mapInArrow(trimmed(_dropper(model, docs.columns.index(text_col), threshold)), docs.schema)
